@@ -123,15 +123,15 @@ def top_k(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col:
         return qs.groupBy(*keys).cogroup(cs.groupBy(*keys)).applyInPandas(one, schema)
 
     # pass 1: the block of the longest vectors bounds each query's k-th score from below
-    top = groups.orderBy(F.desc("longest"), "bucket", "blk").limit(1).select("bucket", "blk")
+    top = groups.orderBy(F.desc("longest"), "bucket", "blk").select("bucket", "blk").first() or (0, 0)
     qparts = F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("qb")
-    first_q = queries.withColumn("bound", F.lit(float(-(2**63)))).join(F.broadcast(top))
-    first = run(first_q, cands.join(F.broadcast(top), ["bucket", "blk"]).select("*", qparts))
+    first_q = queries.withColumn("bound", F.lit(float(-(2**63)))).withColumns({"bucket": F.lit(top[0]), "blk": F.lit(top[1])})
+    first = run(first_q, cands.where((F.col("bucket") == top[0]) & (F.col("blk") == top[1])).select("*", qparts))
     bounds = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("low"))
     queries = cut(queries.join(bounds, F.col("query_id") == F.col("vec_id"), "left").select("vec_id", "vec", "norm", "qb", F.coalesce(F.col("low").cast("double"), F.lit(float(-(2**63)))).alias("bound")))
     # pass 2: blocks that no query of a part can use are left out before anything is copied
     reach = queries.groupBy("qb").agg(F.min(F.when(F.col("bound") > 0, F.col("bound") / F.greatest(F.col("norm"), F.lit(1e-300))).otherwise(0.0)).alias("least"))
-    pairs = cut(reach.join(F.broadcast(groups), F.col("longest") * (1 + 1e-9) >= F.col("least")).select("qb", "bucket", "blk"))
+    pairs = cut(groups.select("*", qparts).join(reach, "qb").where(F.col("longest") * (1 + 1e-9) >= F.col("least")).select("qb", "bucket", "blk"))
     found = run(queries.join(pairs, "qb"), cands.join(pairs, ["bucket", "blk"]))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
