@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mwspark.llm import bpe, packing, secrets, sharding, topk
+from mwspark.llm import bpe, langid, packing, secrets, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_ownership": secrets.op1_secret_ownership,
         "op2_bounded_packing": packing.op2_bounded_packing,
+        "op3_naive_bayes_language": langid.op3_naive_bayes_language,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op7_vector_sharding": sharding.op7_vector_sharding,
         "op10_top_k_search": topk.op10_top_k_search,
