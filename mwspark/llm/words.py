@@ -12,6 +12,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Breaks words at everything in ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,19 +38,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _POW: list = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 
 
-def hash_words(data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the white-space separated words in UTF-8 bytes, and where each begins.
+def hash_words(data: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in UTF-8 bytes, A-Z as a-z, and where each begins.
 
-    A word is a longest run of bytes other than 0x20 and 0x09-0x0D; lower maps A-Z to a-z first.
+    A word is a longest run of bytes outside breaks: by default 0x20 and 0x09-0x0D.
     """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~breaks[data]
     edge = np.diff(inside.view(np.int8), prepend=0, append=0)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if len(_POW[0]) < len(data) + 1:
         _POW[:] = _powers(max(1 << 20, len(data) + 1))
-    value = _BYTE[_LOWER[data] if lower else data]
+    value = _BYTE[_LOWER[data]]
     value *= _POW[0][: len(data)]
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(value, out=total[1:])
@@ -68,10 +70,10 @@ def batches(texts: list[bytes], most: int = 4 << 20):
         yield first, len(texts)
 
 
-def words_of(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def words_of(texts: list[bytes], breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts one after another, and len(texts) + 1 bounds into them."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8) if texts else np.zeros(0, np.uint8)
-    h, begin = hash_words(data, lower)
+    h, begin = hash_words(data, breaks)
     starts = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=starts[1:])
     return h, np.searchsorted(begin, starts)
