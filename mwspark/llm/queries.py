@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mwspark.llm import bpe, langid, packing, secrets, sharding, topk, toxicity
+from mwspark.llm import bpe, embed_dedup, langid, packing, secrets, sharding, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op7_vector_sharding": sharding.op7_vector_sharding,
         "op8_kneser_ney_toxicity": toxicity.op8_kneser_ney_toxicity,
+        "op9_cross_polytope_dedup": embed_dedup.op9_cross_polytope_dedup,
         "op10_top_k_search": topk.op10_top_k_search,
     }
 
