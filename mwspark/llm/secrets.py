@@ -109,3 +109,16 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("owned").cast("long").alias("n_owned"),
         F.col("n_example").cast("long").alias("n_example"),
     )
+
+
+def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
+    """The text with every stretch that spans cover replaced by mark."""
+    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def step(a: Column, s: Column) -> Column:
+        gap = F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - a["at"]).cast("int")))
+        new = s["start"] >= a["at"]  # else it only lengthens the stretch before
+        return F.struct(F.when(new, F.concat(gap, F.lit(mark))).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+
+    end = F.aggregate(F.sort_array(found), state, step)
+    return F.when(F.size(found) > 0, F.concat(end["out"], F.substring(text, (end["at"] + 1).cast("int"), F.length(text)))).otherwise(text)
