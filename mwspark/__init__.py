@@ -1,0 +1 @@
+"""Adaptive multiwavelet functions as Spark tables."""
