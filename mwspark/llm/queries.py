@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mwspark.llm import bpe, embed_dedup, jaccard, langid, packing, secrets, sharding, topk, toxicity
+from mwspark.llm import bpe, embed_dedup, jaccard, langid, licenses, packing, secrets, sharding, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_ownership": secrets.op1_secret_ownership,
         "op2_bounded_packing": packing.op2_bounded_packing,
         "op3_naive_bayes_language": langid.op3_naive_bayes_language,
+        "op4_license_inheritance": licenses.op4_license_inheritance,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_metric_jaccard_join": jaccard.op6_metric_jaccard_join,
         "op7_vector_sharding": sharding.op7_vector_sharding,
