@@ -20,6 +20,7 @@ null ids are no component's name. An empty table gives no rows; only id and text
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,15 +74,9 @@ def _texts(pdf: pd.DataFrame) -> list[bytes]:
     return [(t or "").encode() for t in pdf.text]
 
 
-def sets_of_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        sets = list(shingles(_texts(pdf)))
-        yield pd.DataFrame({"doc_id": pdf.doc_id, "cls": pd.array([class_of(s) if len(s) else None for s in sets], "Int64"), "n": [len(s) for s in sets]})
-
-
 def sampled_shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        own = [s for s in shingles(_texts(pdf)) if len(s) and class_of(s) % SAMPLE == 0]
+        own = list(shingles([t for t in _texts(pdf) if zlib.crc32(t) % SAMPLE == 0]))
         if own:
             yield pd.DataFrame({"key": np.concatenate(own).view(np.int64)})
 
@@ -93,42 +88,29 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(got.key.to_numpy(np.int64).view(np.uint64))
 
 
-def regions(hot: np.ndarray):
-    """A function for mapInPandas: (key, cls, n), the pivots that each text is replicated to."""
+def regions(hot):
+    """A function for mapInPandas: (doc_id, cls, n, keys), the class of each row's set and the pivots it is replicated to."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = hot.value
         for pdf in frames:
-            keys, cls, sizes, held = [], [], [], 0
-            for s in shingles(_texts(pdf)):
-                n = len(s)
-                if not n:
-                    continue
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    is_hot = known[at] == s
-                    s_in_order = np.concatenate([s[~is_hot], s[is_hot]])
-                else:
-                    s_in_order = s
-                p = reach(n)
-                keys.append(s_in_order[:p])
-                cls.append(class_of(s))
-                sizes.append(n)
-                held += p
-                if held > 200_000:
-                    yield _rows(keys, cls, sizes)
-                    keys, cls, sizes, held = [], [], [], 0
-            if keys:
-                yield _rows(keys, cls, sizes)
+            for at in range(0, len(pdf), 1000):
+                part = pdf[at : at + 1000]
+                cls, sizes, keys = [], [], []
+                for s in shingles(_texts(part)):
+                    n = len(s)
+                    sizes.append(n)
+                    cls.append(class_of(s) if n else None)
+                    if n and len(known):
+                        place = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        is_hot = known[place] == s
+                        s = np.concatenate([s[~is_hot], s[is_hot]])
+                    keys.append(s[: reach(n)].view(np.int64) if n else None)
+                yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "cls": pd.array(cls, "Int64"), "n": sizes, "keys": keys})
 
     return run
 
 
-def _rows(keys: list[np.ndarray], cls: list[int], sizes: list[int]) -> pd.DataFrame:
-    per = [len(k) for k in keys]
-    return pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "cls": np.repeat(np.array(cls, np.int64), per), "n": np.repeat(np.array(sizes, np.int32), per)})
-
-
 def alike(a: Column, b: Column) -> Column:
     """Whether sets of these sizes can link."""
     return F.least(a, b) * 4 >= F.greatest(a, b) * 3
@@ -148,6 +130,9 @@ def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
         for pdf in frames:
             kept: list[tuple[int, int, np.ndarray]] = []
             for s in shingles(_texts(pdf)):
+                if len(kept) == 1000:
+                    yield pd.DataFrame(kept, columns=["cls", "n", "items"])
+                    kept = []
                 if len(s):
                     c = class_of(s)
                     h = (c & (1 << 64) - 1) >> (64 - bits)
@@ -182,13 +167,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(docs.mapInPandas(sets_of_rows, "doc_id long, cls long, n long"))
     texts = docs.select("text").where("text IS NOT NULL")
     hot = spark.sparkContext.broadcast(common_shingles(texts))
-    spread = texts.mapInPandas(regions(hot), "key long, cls long, n int")
+    placed = cut(docs.mapInPandas(regions(hot), "doc_id long, cls long, n int, keys array<long>"))
+    rows = placed.select("doc_id", "cls", F.col("n").cast("long").alias("n"))
+    spread = placed.select(F.explode("keys").alias("key"), "cls", "n")
     several = spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    member = spread.join(several, "key").groupBy("key", "cls", "n").agg(F.lit(1).alias("one")).select("key", "cls", "n")
-    member = cut(member)
+    member = cut(spread.join(several, "key").groupBy("key", "cls", "n").agg(F.lit(1).alias("one")).select("key", "cls", "n"))
     sizes = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     member = cut(member.join(sizes, "key"))
     large = member.where(F.col("c") > SMALL)

@@ -58,7 +58,7 @@ def hash_words(data: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarra
     return mix(h ^ ((end - begin).astype(np.uint64) * _MULT)), begin
 
 
-def batches(texts: list[bytes], most: int = 4 << 20):
+def batches(texts: list[bytes], most: int = 1 << 20):
     """(first, last) ranges of texts of about most bytes each."""
     first, held = 0, 0
     for i, t in enumerate(texts):
