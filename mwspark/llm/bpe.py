@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token's bytes are a doubly linked list. Every adjacent pair that has a merge rank puts its left
-position into the bucket of that rank; a three-level bitmap over the ranks says which buckets hold
-anything, so that find-first-set gives the lowest rank in a few steps. The leftmost position of that
+position into the bucket of that rank; a bitmap in two levels over the ranks says which buckets hold
+anything, so that find-first-set gives the lowest rank in two steps. The leftmost position of that
 bucket is merged unless the entry is stale (one of the two nodes has changed since), and the two new
 pairs at its sides are queued. A pre-token of n bytes takes at most n merges and 3n queue entries, so a very long one
 costs little more than n steps. Each worker keeps what it encoded in a bounded table.
@@ -14,8 +14,9 @@ rows and ties are ordinary. An empty table gives no rows; only the id and text c
 from __future__ import annotations
 
 import base64
-import heapq
+import struct
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -28,51 +29,9 @@ from mwspark.llm.chunks import ChunkTable
 from mwspark.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 CACHE_BYTES = 64  # longer pre-tokens are encoded anew each time
-
-
-class RankQueue:
-    """Positions by rank; find-first-set over three levels of 64-bit words gives the lowest rank.
-
-    It is empty again after each pre-token, so one queue serves all that a worker encodes.
-    """
-
-    def __init__(self, ranks: int) -> None:
-        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
-        self.low = [0] * (ranks // 64 + 1)
-        self.mid = [0] * (ranks // 4096 + 1)
-        self.top = 0
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket:
-            heapq.heappush(bucket, at)
-            return
-        bucket.append(at)
-        a = rank >> 6
-        if not self.low[a]:
-            self.mid[a >> 6] |= 1 << (a & 63)
-            self.top |= 1 << (a >> 6)
-        self.low[a] |= 1 << (rank & 63)
-
-    def pop(self) -> tuple[int, int]:
-        """The leftmost position of the lowest rank; there must be one."""
-        top, low, mid = self.top, self.low, self.mid
-        b = (top & -top).bit_length() - 1
-        word = mid[b]
-        a = b << 6 | (word & -word).bit_length() - 1
-        word = low[a]
-        rank = a << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heapq.heappop(bucket)
-        low[a] = word & (word - 1)
-        if not low[a]:
-            mid[b] &= mid[b] - 1
-            if not mid[b]:
-                self.top = top & (top - 1)
-        return rank, bucket.pop()
+PACKED = [struct.Struct(f"<{n}I") for n in range(64)]
 
 
 class Codec:
@@ -83,52 +42,108 @@ class Codec:
         self.tokens = [b""] * size
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        # a pair of ids merges if its bytes together are a token, whose id is the rank
-        get = self.ranks.get
-        self.pairs = {x << 32 | y: rank for token, rank in self.ranks.items() for i in range(1, len(token)) if (x := get(token[:i])) is not None and (y := get(token[i:])) is not None}
-        self.bytes = [self.ranks[bytes([i])] for i in range(256)]
-        self.queue = RankQueue(size)
+        # a pair of ids merges if its bytes together are a token, whose id is the rank: right[x][y].
+        # Inside, a token's number is last - id, so that the lowest rank is the highest bit, which bit_length finds
+        get, self.last = self.ranks.get, size - 1
+        self.right: list[dict[int, int]] = [{} for _ in range(size)]
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                x, y = get(token[:i]), get(token[i:])
+                if x is not None and y is not None:
+                    self.right[self.last - x][self.last - y] = self.last - rank
+        self.bytes = [self.last - self.ranks[bytes([i])] for i in range(256)]
+        # the queue is empty again after each pre-token, so one serves all that a worker encodes
+        self.buckets: list[list[int]] = [[] for _ in range(size)]
+        self.words = [0] * (size // 256 + 1)  # 256 ranks each; a word over these words is made in merge
+        self.bit = [1 << i for i in range(256)]
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.cache: dict[str, bytes] = {}
-        self.chunks = ChunkTable(lambda runs: [b"".join(map(self.piece, self.split(r))) for r in runs])
+        self.chunks = ChunkTable(lambda runs: [self.run(r) for r in runs])
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        right, buckets, words, bit = self.right, self.buckets, self.words, self.bit
         ids = [self.bytes[x] for x in piece]  # -1: merged into the node before
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n))
-        queue, get = self.queue, self.pairs.get
-        push, pop = queue.push, queue.pop
-        for i in range(n - 1):
-            rank = get(ids[i] << 32 | ids[i + 1])
+        top, x = 0, ids[0]  # top says which words hold a bit
+        for i in range(1, n):
+            y = ids[i]
+            rank = right[x].get(y)
             if rank is not None:
-                push(rank, i)
-        while queue.top:
-            rank, i = pop()
+                bucket = buckets[rank]
+                if not bucket:
+                    a = rank >> 8
+                    word = words[a]
+                    if not word:
+                        top |= bit[a]
+                    words[a] = word | bit[rank & 255]
+                bucket.append(i - 1)  # these come in order
+            x = y
+        while top:
+            a = top.bit_length() - 1
+            word = words[a]
+            low = word.bit_length() - 1
+            rank = a << 8 | low
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket.pop()
+                words[a] = word = word ^ bit[low]
+                if not word:
+                    top ^= bit[a]
             x, j = ids[i], after[i]
-            if x < 0 or j == n or get(x << 32 | ids[j]) != rank:
+            if x < 0 or j == n or right[x].get(ids[j]) != rank:
                 continue  # stale: a node was merged away or has grown
             ids[i], ids[j] = rank, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                right = get(rank << 32 | ids[k])
-                if right is not None:
-                    push(right, i)
+                new = right[rank].get(ids[k])
+                if new is not None:
+                    bucket = buckets[new]
+                    if bucket:
+                        heappush(bucket, i)
+                    else:
+                        bucket.append(i)
+                        a = new >> 8
+                        word = words[a]
+                        if not word:
+                            top |= bit[a]
+                        words[a] = word | bit[new & 255]
             if i:
                 h = before[i]
-                left = get(ids[h] << 32 | rank)
-                if left is not None:
-                    push(left, h)
-        return [x for x in ids if x >= 0]
+                new = right[ids[h]].get(rank)
+                if new is not None:
+                    bucket = buckets[new]
+                    if bucket:
+                        heappush(bucket, h)
+                    else:
+                        bucket.append(h)
+                        a = new >> 8
+                        word = words[a]
+                        if not word:
+                            top |= bit[a]
+                        words[a] = word | bit[new & 255]
+        last = self.last
+        return [last - x for x in ids if x >= 0]
+
+    def pack(self, word: str) -> bytes:
+        ids = self.merge(word.encode())
+        return PACKED[len(ids)].pack(*ids) if len(ids) < len(PACKED) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def run(self, text: str) -> bytes:
+        words = self.split(text)
+        return self.pack(words[0]) if len(words) == 1 else b"".join(map(self.piece, words))
 
     def piece(self, word: str) -> bytes:
         found = self.cache.get(word)
         if found is None:
-            found = np.array(self.merge(word.encode()), "<u4").tobytes()
+            found = self.pack(word)
             if len(word) <= CACHE_BYTES:
                 if len(self.cache) >= CACHE_ENTRIES:
                     self.cache.clear()

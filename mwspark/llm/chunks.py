@@ -10,24 +10,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 LONGEST = 64  # longer chunks aren't kept
+AT_ONCE = 1 << 19  # characters
 
 
 class ChunkTable:
     """Ids (bytes) of the chunks met so far, at most entries of them; one for each worker process."""
 
-    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], entries: int = 600_000) -> None:
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], entries: int = 700_000) -> None:
         self.encode_all, self.entries = encode_all, entries
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, joined."""
+        """The ids of each text, joined; a few at a time, since a text in parts takes ten times its memory."""
+        out, some, held = [], [], 0
+        for text in texts:
+            some.append(text)
+            held += len(text)
+            if held >= AT_ONCE:
+                out += self.encode_some(some)
+                some, held = [], 0
+        return out + self.encode_some(some)
+
+    def encode_some(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.entries:
             self.known.clear()
         known, plans, todo = self.known, [], {}
         for text in texts:
             first, *parts = text.split(" ")
-            new = set(parts) - known.keys()
-            if (first and first[-1].isspace()) or not first or any(not p or p[0].isspace() or p[-1].isspace() for p in new):
+            new = set(parts).difference(known)  # known.keys() would be walked whole
+            if (first and first[-1].isspace()) or not first or not all([p and not p[0].isspace() and not p[-1].isspace() for p in new]):
                 runs = together(first, parts)
                 todo.update(dict.fromkeys(runs))
                 plans.append((runs, None))
