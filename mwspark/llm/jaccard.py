@@ -9,7 +9,8 @@ n - ceil(3n/4) + 1 pivots, and every link has a region that holds both ends. Sma
 of which those survive whose sizes and whose number of shared regions allow a link. In a large region one
 text becomes the pivot: exact distances to it cut the region into shells as wide as the threshold, each text
 is replicated to the next shell, and shells whose texts are one component already are done; the others
-join in the same way, and after ROUNDS, or once small, by all pairs of different components. No step leaves a
+join in the same way (two texts that were both copied in one round meet a shell further in as well, so here
+they are no pair), and after ROUNDS, or once small, by all pairs of different components. No step leaves a
 link out, whatever the sample holds. Survivors are verified on their whole sets.
 
 Equal sets are one class before anything is joined. Shingles and classes are known by 64-bit hashes.
@@ -187,7 +188,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sets = whole_sets(texts, close.select(F.col("a").alias("cls")).union(close.select("b")).union(wide.select("cls")))
     links = cut(distances(close, sets).where(LINK).select("a", "b"))
     done: DataFrame | None = None
-    group = large.select(F.col("key").alias("g"), "cls", "n", F.lit(True).alias("home"))
+    group = large.select(F.col("key").alias("g"), "cls", "n", F.lit(0).alias("guest"))  # guest: bit k is set in what the round k copied
     for turn in range(ROUNDS + 1):
         group, comp = unsettled(group, links)
         if group.isEmpty():
@@ -196,13 +197,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         group = group.join(big, "g")
         last = turn == ROUNDS
         few = group if last else group.where(F.col("c") <= SMALL)
-        pairs = few.select("g", "cls", "n", "home", "comp")
+        pairs = few.select("g", "cls", "n", "guest", "comp")
         if last:  # whatever is left, in one join by region
-            x, y = (pairs.select("g", F.struct("cls", "n", "home", "comp").alias(k)) for k in "xy")
+            x, y = (pairs.select("g", F.struct("cls", "n", "guest", "comp").alias(k)) for k in "xy")
             pairs = x.join(y, "g").where("x.cls < y.cls").select("x", "y")
         else:
-            pairs = pairs_within(pairs, "g", "struct(cls, n, home, comp)")
-        pairs = pairs.where((F.col("x.comp") != F.col("y.comp")) & (F.col("x.home") | F.col("y.home")) & alike(F.col("x.n"), F.col("y.n")))
+            pairs = pairs_within(pairs, "g", "struct(cls, n, guest, comp)")
+        pairs = pairs.where((F.col("x.comp") != F.col("y.comp")) & (F.col("x.guest").bitwiseAND(F.col("y.guest")) == 0) & alike(F.col("x.n"), F.col("y.n")))
         pairs = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
         rest_of = group.where(F.col("c") > SMALL)
         to_pivot = rest_of.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
@@ -217,8 +218,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         # shells around the pivot, as wide as the threshold; each text is copied to the next shell outwards
         shell = F.floor((F.col("both") - F.col("inter")) * 4 / F.col("both")).cast("int")
         placed = rest_of.where("cls <> pivot").join(done.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), shell.alias("shell")), ["pivot", "cls"])
-        out = F.explode(F.array(F.struct(F.lit(0).alias("up"), F.col("home").alias("home")), F.struct(F.lit(1).alias("up"), F.lit(False).alias("home")))).alias("s")
-        group = placed.select("g", "cls", "n", "shell", out).groupBy(F.xxhash64("g", F.col("shell") + F.col("s.up")).alias("g"), "cls", "n").agg(F.max("s.home").alias("home"))
+        out = F.explode(F.array(F.struct(F.lit(0).alias("up"), F.col("guest").alias("guest")), F.struct(F.lit(1).alias("up"), F.col("guest").bitwiseOR(F.lit(1 << turn)).alias("guest")))).alias("s")
+        group = placed.select("g", "cls", "n", "shell", out).select(F.xxhash64("g", F.col("shell") + F.col("s.up")).alias("g"), "cls", "n", "s.guest")
         group = cut(group)
     root = components(links).select(F.col("node").alias("cls"), "root")
     named = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least")).join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -229,11 +230,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def unsettled(group: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with their component so far, of the groups that hold several components and one at home."""
+    """Members with their component so far, of the groups that hold several components and were not copied whole in one round."""
     comp = components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
     g = group.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     g = cut(g)
-    open_ = g.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any_home")).where("lo <> hi AND any_home").select("g")
+    open_ = g.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.expr("bit_and(guest)").alias("all_guest")).where("lo <> hi AND all_guest = 0").select("g")
     return cut(g.join(open_, "g")), comp
 
 

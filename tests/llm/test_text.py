@@ -216,6 +216,22 @@ def test_jaccard_join_is_exact(spark, monkeypatch, small, rounds):
     assert got.n_shingles.tolist() == sizes and got.component_id.tolist() == root
 
 
+def test_jaccard_join_keeps_links_between_copies_of_different_rounds(spark, monkeypatch):
+    """One passage with many tails: a large region that is cut into shells several times."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "COMMON", 1 << 60)
+    rng = random.Random(8)
+    passage = [f"c{rng.randrange(10**6)}" for _ in range(rng.choice([6, 8, 10, 14]))]
+    most, kinds, texts = rng.choice([6, 10]), rng.choice([2, 3]), set()
+    for _ in range(60):
+        size = rng.randrange(most), rng.randrange(most)
+        tails = [[f"{side}{i}_{rng.randrange(kinds) if rng.random() < 0.3 else 0}" for i in range(k)] for side, k in zip("lr", size, strict=True)]
+        texts.add(" ".join([*tails[0][::-1], *passage, *tails[1]]))
+    texts = sorted(texts)
+    got = jaccard.join(make(spark, texts)).toPandas().sort_values("doc_id")
+    assert got.component_id.tolist() == brute_components(texts)[1]
+
+
 def test_jaccard_edge_cases(spark, odd):
     got = jaccard.join(odd).toPandas()
     assert len(got) == 10
