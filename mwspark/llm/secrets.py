@@ -3,8 +3,9 @@
 Base kinds are found by fixed patterns in each text. Beyond them, every token-like string (20 or more of
 A-Za-z0-9+/_=-, with a digit and a letter), inside a base span or not, is a candidate. Candidates are hashed and
 counted over the corpus by distinct repositories and distinct owners: a hash that at most MAX_OWNERS owners
-hold is owner-specific and becomes a span of kind "owned"; one that more owners hold is a widely copied
-example and is only counted.
+and at most MAX_REPOS repositories hold is owner-specific and becomes a span of kind "owned"; one that more
+owners or more repositories hold is a widely copied example and is only counted. Exact copies of a text count
+once, as of the least owner and repository that hold it: they are one origin, however often it was copied.
 
 Rows: one per input row. A null text is an empty one. Repeated rows give repeated results; null ids are
 kept. A null owner or repository counts as one owner or repository of its own. Empty tables give no rows. Only the named columns are read. Spans are code points, end exclusive.
@@ -24,6 +25,7 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "owned")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 MAX_OWNERS = 2
+MAX_REPOS = 8
 SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"
 
 
@@ -64,8 +66,8 @@ def base_spans(text: Column) -> Column:
     return F.concat(assign, spans(text, ACCESS, 1), spans(text, HEX, 2))
 
 
-def scan(docs: DataFrame, owner_col: str = "source", repo_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """doc_id, text_key, base, owned (arrays of spans), n_example for each row of docs.
+def scan(docs: DataFrame, owner_col: str = "source", repo_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """doc_id, text_key, base, owned (arrays of spans), n_example, n_repos (of the candidate in most repositories) for each row of docs.
 
     repo_col names the repository of a row; without one, each text is a repository of its own.
     """
@@ -81,16 +83,19 @@ def scan(docs: DataFrame, owner_col: str = "source", repo_col: str | None = None
     rows = cut(rows)  # a few spans a text: each text is matched once, whatever is read of it below
     # spans follow from the text, so equal texts share one list of candidates
     cand = rows.where(F.size("tokens") > 0).select("text_key", "owner", "repo", F.explode("tokens").alias("s")).withColumn("hash", F.xxhash64("s.value", F.lit(12)))
-    by_owner = cand.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("n_owners"))
-    by_repo = cand.groupBy("hash", "repo").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("n_repos"))
+    origin = cand.groupBy("hash", "text_key").agg(F.min(F.struct("owner", "repo")).alias("o")).select("hash", "o.owner", "o.repo")
+    by_owner = origin.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("n_owners"))
+    by_repo = origin.groupBy("hash", "repo").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("n_repos"))
     freq = by_owner.join(by_repo, "hash")
     held = cand.groupBy("hash", "text_key", "s").agg(F.lit(1).alias("one")).join(freq, "hash")
+    own = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
     verdict = held.groupBy("text_key").agg(
-        F.collect_list(F.when(F.col("n_owners") <= max_owners, F.col("s"))).alias("owned"),
-        F.count(F.when(F.col("n_owners") > max_owners, 1)).alias("n_example"),
+        F.collect_list(F.when(own, F.col("s"))).alias("owned"),
+        F.count(F.when(~own, 1)).alias("n_example"),
+        F.max("n_repos").alias("n_repos"),
     )
     out = rows.select("doc_id", "text_key", "base").join(verdict, "text_key", "left")
-    return out.select("doc_id", "text_key", "base", F.coalesce("owned", F.lit([]).cast(SPAN)).alias("owned"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
+    return out.select("doc_id", "text_key", "base", F.coalesce("owned", F.lit([]).cast(SPAN)).alias("owned"), F.coalesce("n_example", F.lit(0)).alias("n_example"), F.coalesce("n_repos", F.lit(0)).alias("n_repos"))
 
 
 def _count(kind: int) -> Column:

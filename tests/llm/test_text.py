@@ -61,6 +61,16 @@ def test_ownership_separates_examples_from_own_tokens(spark):
     assert {r.doc_id: r.t for r in text.collect()}[3] == "mine [SECRET]"
 
 
+def test_ownership_reads_repositories_and_counts_exact_copies_once(spark):
+    example, live, few = "EXAMPLEtoken1234567890abcd", "9f8e7d6c5b4a39281706f5e4d3c2b1a0", "fewTEXTSoken1234567890abcd"
+    rows = [(k, f"text {k} {example}", "one") for k in range(secrets.MAX_REPOS + 1)] + [(100 + k, f"mine {live}", f"s{k}") for k in range(secrets.MAX_OWNERS + 2)]
+    rows += [(200 + k, f"text {k} {few}", "one") for k in range(secrets.MAX_REPOS)]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for i, text, _ in rows:
+        n = secrets.MAX_REPOS + 1 if i < 100 else 1 if i < 200 else secrets.MAX_REPOS
+        assert (got[i].n_example, [s.value for s in got[i].owned], got[i].n_repos) == ((1, [], n) if i < 100 else (0, [text.split()[-1]], n))
+
+
 @pytest.fixture(scope="module")
 def oracle():
     t = Tokenizer.from_file(packing.VOCABULARY)
