@@ -102,6 +102,16 @@ def test_both_engines_give_the_same_ids(oracle):
     assert all(np.frombuffer(packing.ids_of(t, packing.VOCABULARY), "<u4").tolist() == w.ids for t, w in zip(texts, want, strict=True))
 
 
+def test_added_tokens_in_a_text_are_matched(spark):
+    default = Tokenizer.from_file(packing.VOCABULARY)
+    rng = random.Random(6)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", *("".join(rng.choices(["<|endoftext|>", "<|endof", "text|>", " ", "\n", "a", "é", "'s", "1", "<|ENDOFTEXT|>"], k=rng.randint(0, 20))) for _ in range(1000))]
+    for t in texts:
+        assert np.frombuffer(packing.ids_of(t, packing.VOCABULARY), "<u4").tolist() == default.encode(t, add_special_tokens=False).ids, repr(t)
+    got = packing.pack(make(spark, texts[:1])).first()
+    assert np.frombuffer(got.ids, "<u4").tolist() == [64, 220, 50256, 275, packing.END] and got.doc_tokens == 5
+
+
 def test_bpe_equals_tiktoken_and_decodes_back(spark, odd):
     codec = bpe.Codec(bpe.RANKS)
     enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
