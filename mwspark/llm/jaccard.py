@@ -6,12 +6,13 @@ which only texts that hold it have a distance under 1. Pivots have one order for
 last, then by hash. A text's Voronoi region is that of its first pivot; a linked text may lack at most a
 quarter of its shingles (the window that the triangle inequality leaves), so it is replicated to its first
 n - ceil(3n/4) + 1 pivots, and every link has a region that holds both ends. Small regions give their pairs,
-of which those survive whose sizes and whose number of shared regions allow a link. In a large region one
-text becomes the pivot: exact distances to it cut the region into shells as wide as the threshold, each text
-is replicated to the next shell, and shells whose texts are one component already are done; the others
-join in the same way (two texts that were both copied in one round meet a shell further in as well, so here
-they are no pair), and after ROUNDS, or once small, by all pairs of different components. No step leaves a
-link out, whatever the sample holds. Survivors are verified on their whole sets.
+of which those survive whose sizes and whose number of shared regions allow a link, and survivors are verified
+on their whole sets. Large regions join recursively (link_large): pivots made of a sample of their members cut them
+into Voronoi cells, windows that follow from the triangle inequality copy texts at a boundary to the cells where a link may need
+them, and whoever is near the middle of a cell is linked at once, by its distance to the pivot alone. Cells that
+are one component by then are done; the others are cut again while that helps. What is left strange in a cell is
+compared with the members in its window of distances to the pivot, in blocks of bounded size, of which
+only links leave a task. No step leaves two linked texts in different components, whatever the samples hold.
 
 Equal sets are one class before anything is joined. Shingles and classes are known by 64-bit hashes.
 Null, empty and white-space texts have no set, n_shingles 0, and are a group of their own; texts with
@@ -37,7 +38,10 @@ SAMPLE = 8  # one class in so many is counted to find common shingles
 COMMON = 4  # so many of them in the sample make a shingle common
 HOT_MAX = 1_000_000  # common shingles that are broadcast, at most: the most common ones
 SMALL = 32
-ROUNDS = 4
+SAMPLED = 48  # members of a region from which its pivots are made
+PIVOTS = 16
+QUERIES, MEMBERS = 512, 2048  # of a block
+HITS = 1 << 22  # words looked up at once in a block
 FILTER_BITS = 27  # the filter of needed classes has at most 2^27 bits
 
 
@@ -187,40 +191,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     close = cut(close.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")))
     sets = whole_sets(texts, close.select(F.col("a").alias("cls")).union(close.select("b")).union(wide.select("cls")))
     links = cut(distances(close, sets).where(LINK).select("a", "b"))
-    done: DataFrame | None = None
-    group = large.select(F.col("key").alias("g"), "cls", "n", F.lit(0).alias("guest"))  # guest: bit k is set in what the round k copied
-    for turn in range(ROUNDS + 1):
-        group, comp = unsettled(group, links)
-        if group.isEmpty():
-            break
-        big = group.groupBy("g").agg(F.count("*").alias("c"), F.min("cls").alias("pivot"))
-        group = group.join(big, "g")
-        last = turn == ROUNDS
-        few = group if last else group.where(F.col("c") <= SMALL)
-        pairs = few.select("g", "cls", "n", "guest", "comp")
-        if last:  # whatever is left, in one join by region
-            x, y = (pairs.select("g", F.struct("cls", "n", "guest", "comp").alias(k)) for k in "xy")
-            pairs = x.join(y, "g").where("x.cls < y.cls").select("x", "y")
-        else:
-            pairs = pairs_within(pairs, "g", "struct(cls, n, guest, comp)")
-        pairs = pairs.where((F.col("x.comp") != F.col("y.comp")) & (F.col("x.guest").bitwiseAND(F.col("y.guest")) == 0) & alike(F.col("x.n"), F.col("y.n")))
-        pairs = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-        rest_of = group.where(F.col("c") > SMALL)
-        to_pivot = rest_of.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-        ask = pairs if last else pairs.union(to_pivot).distinct()
-        if done is not None:
-            ask = ask.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        known = cut(distances(ask, sets))
-        done = known if done is None else done.union(known)
-        links = cut(links.union(known.where(LINK).select("a", "b")).distinct())
-        if last:
-            break
-        # shells around the pivot, as wide as the threshold; each text is copied to the next shell outwards
-        shell = F.floor((F.col("both") - F.col("inter")) * 4 / F.col("both")).cast("int")
-        placed = rest_of.where("cls <> pivot").join(done.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), shell.alias("shell")), ["pivot", "cls"])
-        out = F.explode(F.array(F.struct(F.lit(0).alias("up"), F.col("guest").alias("guest")), F.struct(F.lit(1).alias("up"), F.col("guest").bitwiseOR(F.lit(1 << turn)).alias("guest")))).alias("s")
-        group = placed.select("g", "cls", "n", "shell", out).select(F.xxhash64("g", F.col("shell") + F.col("s.up")).alias("g"), "cls", "n", "s.guest")
-        group = cut(group)
+    links = link_large(large.select(F.col("key").alias("g"), "cls", "n"), sets, links)
     root = components(links).select(F.col("node").alias("cls"), "root")
     named = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least")).join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = cut(named)
@@ -229,13 +200,145 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def unsettled(group: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with their component so far, of the groups that hold several components and were not copied whole in one round."""
+def members_of_open_regions(group: DataFrame, links: DataFrame) -> DataFrame:
+    """Adds comp and strange (not of the region's main component) to the members of regions that hold several components."""
     comp = components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
-    g = group.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    g = cut(g)
-    open_ = g.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.expr("bit_and(guest)").alias("all_guest")).where("lo <> hi AND all_guest = 0").select("g")
-    return cut(g.join(open_, "g")), comp
+    group = cut(group.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    count = group.groupBy("g", "comp").agg(F.count("*").alias("c")).groupBy("g").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("main"))
+    return cut(group.join(count.where("comps > 1").select("g", "main"), "g").withColumn("strange", F.col("comp") != F.col("main")).drop("main"))
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def pivots_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The pivots of one region from a sample of its members: what most of each bundle of texts within distance 1/2 of a text hold."""
+    sets = [np.sort(x) for x in pdf.sort_values("cls")["items"]]
+    left, found = list(range(len(sets))), []
+    while left:
+        a = sets[left[0]]
+        near = [i for i in left if 3 * shared(a, sets[i]) >= len(a) + len(sets[i])]
+        item, n = np.unique(np.concatenate([sets[i] for i in near]), return_counts=True)
+        found.append((len(near), item[2 * n > len(near)]))
+        left = [i for i in left if i not in set(near)]
+    found.sort(key=lambda x: -x[0])
+    return pd.DataFrame({"g": [pdf.g.iloc[0]], "pivots": [[p for _, p in found[:PIVOTS]]]})
+
+
+def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Members with their region's pivots to cells: the nearest pivot's as home, others as guest where a link may need it.
+
+    Within 1/2 of a pivot a text is at home in the nearest one's cell, else in the cell of no pivot (the empty set). A text that links
+    with one at home in a cell is within 1/2 + 1/4 of its pivot, and farther from it than from its own pivot by 1/2 at most.
+    delta is the symmetric difference to the pivot, excess 7 |delta| - n, shell the distance to the pivot in sixteenths (for no
+    pivot the size in quarters of a factor of 4/3).
+    """
+    for pdf in frames:
+        rows: list[tuple] = []
+        for g, cls, n, items, pivots in zip(pdf.g, pdf.cls, pdf.n, pdf["items"], pdf.pivots, strict=True):
+            items = np.sort(items)
+            sizes = [(shared(items, p), len(p)) for p in pivots]
+            d = [1 - o / (n + m - o) for o, m in sizes]
+            home = min(range(len(d)), key=d.__getitem__, default=-1)
+            least = d[home] if len(d) else 1.0
+            if least > 0.5:
+                home = -1
+            for j, (p, (o, m)) in enumerate(zip(pivots, sizes, strict=True)):
+                if j == home or d[j] <= 0.75 + 1e-9 and (home < 0 or j < home and d[j] - least <= 0.5 + 1e-9):
+                    delta = np.setxor1d(items, p, assume_unique=True)
+                    rows.append((g, j, cls, n, j != home, 16 * len(delta) // (n + m - o), 7 * len(delta) - n, delta))
+            if home < 0:
+                rows.append((g, -1, cls, n, False, int(4 * np.log(n) / np.log(4.001 / 3)), 6 * n, items))
+        yield pd.DataFrame(rows, columns=["g", "j", "cls", "n", "guest", "shell", "excess", "delta"])
+
+
+CELL = "g long, j int, cls long, n int, guest boolean, shell int, excess long, delta array<long>"
+
+
+def cells_of(group: DataFrame, sets: DataFrame) -> DataFrame:
+    """(g, cls, n, guest, shell, excess, delta): the regions of group cut into the cells of pivots, each a region of its own."""
+    size = group.groupBy("g").agg(F.count(F.when(F.col("strange"), 1)).alias("s"), F.count("*").alias("c"))
+    lot = F.pmod(F.xxhash64("g", "cls"), F.when(F.col("strange"), F.col("s")).otherwise(F.col("c") - F.col("s")))
+    some = group.join(size, "g").where(lot < F.when(F.col("strange"), SAMPLED).otherwise(SAMPLED // 4)).select("g", "cls")
+    pivots = cut(some.join(sets.select("cls", "items"), "cls").groupBy("g").applyInPandas(pivots_of, "g long, pivots array<array<long>>"))
+    dealt = group.select("g", "cls").join(sets, "cls").join(pivots, "g", "left").withColumn("pivots", F.coalesce("pivots", F.array().cast("array<array<long>>")))
+    cells = dealt.select("g", "cls", "n", "items", "pivots").mapInPandas(deal, CELL)
+    return cut(cells.withColumn("g", F.xxhash64("g", "j")).drop("j"))
+
+
+def links_of_block(query: pd.DataFrame, member: pd.DataFrame) -> pd.DataFrame:
+    """(a, b): for each query one link to each other component in the block that it has links to."""
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    if not len(query) or not len(member):
+        return none
+    nq, nm = len(query), len(member)
+    q, m = np.concatenate(query.delta.to_list()), np.concatenate(member.delta.to_list())
+    of_q, of_m = np.repeat(np.arange(nq), query.delta.map(len)), np.repeat(np.arange(nm), member.delta.map(len))
+    order = np.argsort(q, kind="stable")
+    word, first, often = np.unique(q[order], return_index=True, return_counts=True)
+    both = np.zeros(nq * nm, np.int64)
+    if len(word):
+        at = np.minimum(np.searchsorted(word, m), len(word) - 1)
+        hit = np.flatnonzero(word[at] == m)
+        rows = of_q[order]
+        step = max(1, HITS // int(often.max()))
+        for lo in range(0, len(hit), step):  # the queries that hold each hit's word
+            some = hit[lo : lo + step]
+            n = often[at[some]]
+            start = np.repeat(first[at[some]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            both += np.bincount(np.repeat(of_m[some], n) * nq + rows[start + np.arange(len(start))], minlength=nq * nm)
+    both = both.reshape(nm, nq)
+    i, j = np.nonzero(member.excess.to_numpy()[:, None] + query.excess.to_numpy()[None] <= 14 * both)
+    fine = (member.comp.to_numpy()[i] != query.comp.to_numpy()[j]) & ~(member.guest.to_numpy(bool)[i] & query.guest.to_numpy(bool)[j])
+    i, j = i[fine], j[fine]
+    if not len(i):
+        return none
+    out = pd.DataFrame({"a": query.cls.to_numpy()[j], "b": member.cls.to_numpy()[i], "comp": member.comp.to_numpy()[i]})
+    return out.groupby(["a", "comp"], as_index=False).min()[["a", "b"]]
+
+
+def links_of_cells(cells: DataFrame) -> DataFrame:
+    """(a, b): what the strange members of each cell link to, by windows of shells and in blocks of bounded size."""
+    part = ["g", "shell"]
+    member = cells.select("g", "cls", "guest", "shell", "excess", "delta", "comp")
+    query = cells.where("strange").select("g", "cls", "guest", F.explode(F.sequence(F.col("shell") - 4, F.col("shell") + 4)).alias("shell"), "excess", "delta", "comp")
+    sizes = cells.groupBy(*part).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("nm"))
+    asked = query.groupBy(*part).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq")).join(sizes, part)
+    own = lambda n, k: F.pmod(F.xxhash64("cls", F.lit(k)), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    query = query.join(asked, part).withColumn("qb", own("nq", 5)).withColumn("mb", all_of("nm")).drop("nq", "nm")
+    member = member.join(asked, part).withColumn("mb", own("nm", 6)).withColumn("qb", all_of("nq")).drop("nq", "nm")
+    keys = [*part, "qb", "mb"]
+    query = query.select(*[F.col(c).alias(c) for c in query.columns])  # both sides come from the same table
+    return query.groupBy(*keys).cogroup(member.groupBy(*keys)).applyInPandas(links_of_block, "a long, b long")
+
+
+def link_large(group: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """links with what joins the components of the large regions (g, cls, n) besides, and perhaps not every other link.
+
+    In each cell the text of least excess, y, links with all x where excess(x) + excess(y) <= 0: two texts link when the sum of
+    their excesses is at most 14 times what their deltas share. Cells that this leaves in several components are regions again, as
+    long as a round settles a quarter of what was strange; then the strange members are compared with all in their windows.
+    """
+    group = members_of_open_regions(group, links)
+    before = group.where("strange").count()
+    while before:
+        cells = cells_of(group, sets)
+        centre = cells.groupBy("g").agg(F.min(F.struct("excess", "cls")).alias("y"))
+        ball = cells.join(centre, "g").where("excess + y.excess <= 0 AND cls <> y.cls").select(F.least("cls", "y.cls").alias("a"), F.greatest("cls", "y.cls").alias("b"))
+        links = cut(links.union(ball).distinct())
+        group = members_of_open_regions(cells, links)
+        after = group.where("strange").count()
+        if 4 * after > 3 * before:
+            return cut(links.union(links_of_cells(group)).distinct())
+        before = after
+    return links
 
 
 def op6_metric_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,11 +213,11 @@ def brute_components(texts):
     return [len(s) for s in sets], root
 
 
-@pytest.mark.parametrize(("small", "rounds"), [(32, 4), (2, 2)])
-def test_jaccard_join_is_exact(spark, monkeypatch, small, rounds):
-    """Chains of edits, a group of near copies, and one passage in many texts; with small regions and with large ones."""
-    monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+@pytest.mark.parametrize(("small", "block"), [(32, 512), (2, 512), (2, 3)])
+def test_jaccard_join_is_exact(spark, monkeypatch, small, block):
+    """Chains of edits, a group of near copies, and one passage in many texts; with small regions and with large ones, in blocks of several sizes."""
+    for name, value in (("SMALL", small), ("QUERIES", block), ("MEMBERS", 2 * block), ("SAMPLED", block // 2 + 1), ("PIVOTS", block // 2 + 1), ("HITS", 50 * block)):
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(400)]
     passage = " ".join(rng.choices(vocabulary, k=30))
@@ -229,6 +229,12 @@ def test_jaccard_join_is_exact(spark, monkeypatch, small, rounds):
             words = list(words)
             words[rng.randrange(len(words))] = rng.choice(vocabulary)
     texts += [passage + " " + " ".join(rng.choices(vocabulary, k=rng.randint(2, 60))) for _ in range(40)]
+    base = rng.choices(vocabulary, k=60)
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append(" ".join(words))
     texts += [texts[10]] * 5
     rng.shuffle(texts)
     got = jaccard.join(make(spark, texts)).toPandas().sort_values("doc_id")
