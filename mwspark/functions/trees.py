@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,24 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mwspark.functions.shared import write_shared
 from mwspark.mra import KEY, MRA, TREE_KEY
 
 KEYS = "tree_id string, n int, lx int, ly int, lz int"
 NODE = f"{KEYS}, is_end boolean, coef array<double>"
 
 
-def write_shared(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir (our own only where that is unset)."""
-    spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="mwspark-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    path, schema = f"{place.rstrip('/')}/tree-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def stack(arrays: pd.Series, width: int) -> np.ndarray:
     return np.stack(arrays.to_numpy()).astype(float) if len(arrays) else np.zeros((0, width))
 
