@@ -68,3 +68,9 @@ def test_top_k_edge_cases(spark):
     assert got.score.tolist()[1:] == [8192, 4096, 0, 0] and got.score.iloc[0] == 2**63 - 1
     assert topk.top_k(make(spark, odd).where("false"), F.col("vec_id") == 0).count() == 0
     assert topk.top_k(make(spark, odd[:1]), F.col("vec_id") == 0).count() == 0
+
+
+def test_top_k_takes_rows_of_one_id_as_rows(spark):
+    df = make(spark, [[1, 0], [1, 0], [2, 0], [3, 0], [3, 0]], ids=[0, 1, 1, 0, None])
+    got = topk.top_k(df, F.col("vec_id") == 0, k=5).toPandas()
+    assert sorted(zip(got["rank"], got.vec_id, got.score, strict=True)) == [(1, 0, 3 * 4096), (1, 0, 3 * 4096), (2, 1, 8192), (2, 1, 3 * 8192), (3, 1, 4096), (3, 1, 3 * 4096)]
