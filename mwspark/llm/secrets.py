@@ -3,8 +3,9 @@
 Base kinds are found by fixed patterns in each text. Beyond them, every token-like string (20 or more of
 A-Za-z0-9+/_=-, with a digit and a letter), inside a base span or not, is a candidate. Candidates are hashed and
 counted over the corpus by distinct repositories and distinct owners: a hash that at most MAX_OWNERS owners
-and at most MAX_REPOS repositories hold is owner-specific and becomes a span of kind "owned"; one that more
-owners or more repositories hold is a widely copied example and is only counted. Exact copies of a text count
+and at most MAX_REPOS repositories hold is owner-specific and becomes a span of kind "owned" if it looks live (it names no
+placeholder and has LIVE_CHARACTERS different characters or more); one that more
+owners or more repositories hold, or that looks like no live one, is an example and is only counted. Exact copies of a text count
 once, as of the least owner and repository that hold it: they are one origin, however often it was copied.
 
 Rows: one per input row. A null text is an empty one. Repeated rows give repeated results; null ids are
@@ -24,6 +25,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # the longest run of 16 or more: shorter matches
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "owned")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|change_?me|your_|xxxx"
+LIVE_CHARACTERS = 10
 MAX_OWNERS = 2
 MAX_REPOS = 8
 SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"
@@ -33,26 +36,38 @@ def _lit(pattern: str) -> Column:
     return F.lit(pattern)
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def spans(text: Column, pattern: str, kind: int) -> Column:
-    """Leftmost non-overlapping matches as structs of (start, kind, end, value)."""
-    found = F.regexp_extract_all(text, _lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    place = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit")),
-        F.lit([]).cast(SPAN),
-        lambda a, x: F.concat(
-            a,
-            F.array(
-                F.struct(
-                    (F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0)) + F.length(x["gap"])).cast("long").alias("start"),
-                    F.lit(kind).alias("kind"),
-                    (F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0)) + F.length(x["gap"]) + F.length(x["hit"])).cast("long").alias("end"),
-                    x["hit"].alias("value"),
-                )
-            ),
-        ),
-    )
-    return F.when(text.rlike(pattern), place).otherwise(F.lit([]).cast(SPAN))
+    """Leftmost non-overlapping matches as structs of (start, kind, end, value).
+
+    Positions are running sums of the lengths of gaps and matches: first over blocks of about the square root of
+    their number, then within each block, so that no list grows long while it is appended to.
+    """
+    zero = F.lit(0).cast("long")
+
+    def within(z: Column) -> Column:
+        def add(a: Column, x: Column) -> Column:
+            start = a["at"] + F.length(x["gap"])
+            end = start + F.length(x["hit"])
+            return F.struct(F.concat(a["list"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("value")))).alias("list"), end.alias("at"))
+
+        return F.aggregate(z["block"], F.struct(F.lit([]).cast(SPAN).alias("list"), z["before"].alias("at")), add, lambda a: a["list"])
+
+    def of_blocks(blocks: Column) -> Column:
+        long = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: a + F.length(x["gap"]) + F.length(x["hit"])))
+        before = let(long, lambda n: F.aggregate(F.slice(n, F.lit(1), F.size(n) - 1), F.array(zero), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), before.alias("before")), within))
+
+    def of_pairs(p: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(p))).cast("int")
+        return let(F.transform(F.sequence(F.lit(1), F.size(p), step), lambda i: F.slice(p, i, step)), of_blocks)
+
+    found = let(F.regexp_extract_all(text, _lit(pattern), F.lit(0)), lambda hit: let(F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hit)).alias("gap"), hit.alias("hit")), of_pairs))
+    return F.when(text.rlike(pattern), found).otherwise(F.lit([]).cast(SPAN))
 
 
 def joined(spans: Column) -> Column:
@@ -66,6 +81,10 @@ def base_spans(text: Column) -> Column:
     return F.concat(assign, spans(text, ACCESS, 1), spans(text, HEX, 2))
 
 
+def looks_live(value: Column) -> Column:
+    return ~value.rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split(value, ""))) >= LIVE_CHARACTERS)
+
+
 def scan(docs: DataFrame, owner_col: str = "source", repo_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """doc_id, text_key, base, owned (arrays of spans), n_example, n_repos (of the candidate in most repositories) for each row of docs.
 
@@ -88,7 +107,7 @@ def scan(docs: DataFrame, owner_col: str = "source", repo_col: str | None = None
     by_repo = origin.groupBy("hash", "repo").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("n_repos"))
     freq = by_owner.join(by_repo, "hash")
     held = cand.groupBy("hash", "text_key", "s").agg(F.lit(1).alias("one")).join(freq, "hash")
-    own = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    own = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos) & looks_live(F.col("s.value"))
     verdict = held.groupBy("text_key").agg(
         F.collect_list(F.when(own, F.col("s"))).alias("owned"),
         F.count(F.when(~own, 1)).alias("n_example"),
