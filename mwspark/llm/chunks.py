@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 LONGEST = 64  # longer chunks aren't kept
-AT_ONCE = 1 << 19  # characters
+AT_ONCE = 1 << 22  # characters
 
 
 class ChunkTable:
