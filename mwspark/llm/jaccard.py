@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mwspark.llm.common import components, cut, table
+from mwspark.llm.common import bounded_batches, components, cut, table
 from mwspark.llm.words import batches, mix, words_of
 
 WORDS = 5
@@ -41,6 +41,7 @@ SMALL = 32
 SAMPLED = 48  # members of a region from which its pivots are made
 PIVOTS = 16
 QUERIES, MEMBERS = 512, 2048  # of a block
+DEALT = 2048  # members that one task measures to pivots at a time
 HITS = 1 << 22  # words looked up at once in a block
 FILTER_BITS = 27  # the filter of needed classes has at most 2^27 bits
 
@@ -171,6 +172,7 @@ def pairs_within(groups: DataFrame, by: str, members: str) -> DataFrame:
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts = docs.select("text").where("text IS NOT NULL")
     hot = spark.sparkContext.broadcast(common_shingles(texts))
@@ -231,31 +233,31 @@ def pivots_of(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"g": [pdf.g.iloc[0]], "pivots": [[p for _, p in found[:PIVOTS]]]})
 
 
-def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members with their region's pivots to cells: the nearest pivot's as home, others as guest where a link may need it.
+def deal(member: pd.DataFrame, pivot: pd.DataFrame) -> pd.DataFrame:
+    """Members of some regions to the cells of their region's pivots: the nearest pivot's as home, others as guest where a link may need it.
 
     Within 1/2 of a pivot a text is at home in the nearest one's cell, else in the cell of no pivot (the empty set). A text that links
     with one at home in a cell is within 1/2 + 1/4 of its pivot, and farther from it than from its own pivot by 1/2 at most.
     delta is the symmetric difference to the pivot, excess 7 |delta| - n, shell the distance to the pivot in sixteenths (for no
     pivot the size in quarters of a factor of 4/3).
     """
-    for pdf in frames:
-        rows: list[tuple] = []
-        for g, cls, n, items, pivots in zip(pdf.g, pdf.cls, pdf.n, pdf["items"], pdf.pivots, strict=True):
-            items = np.sort(items)
-            sizes = [(shared(items, p), len(p)) for p in pivots]
-            d = [1 - o / (n + m - o) for o, m in sizes]
-            home = min(range(len(d)), key=d.__getitem__, default=-1)
-            least = d[home] if len(d) else 1.0
-            if least > 0.5:
-                home = -1
-            for j, (p, (o, m)) in enumerate(zip(pivots, sizes, strict=True)):
-                if j == home or d[j] <= 0.75 + 1e-9 and (home < 0 or j < home and d[j] - least <= 0.5 + 1e-9):
-                    delta = np.setxor1d(items, p, assume_unique=True)
-                    rows.append((g, j, cls, n, j != home, 16 * len(delta) // (n + m - o), 7 * len(delta) - n, delta))
-            if home < 0:
-                rows.append((g, -1, cls, n, False, int(4 * np.log(n) / np.log(4.001 / 3)), 6 * n, items))
-        yield pd.DataFrame(rows, columns=["g", "j", "cls", "n", "guest", "shell", "excess", "delta"])
+    of = dict(zip(pivot.g, pivot.pivots, strict=True))
+    rows: list[tuple] = []
+    for g, cls, n, items in zip(member.g, member.cls, member.n, member["items"], strict=True):
+        items, pivots = np.sort(items), of.get(g, ())
+        sizes = [(shared(items, p), len(p)) for p in pivots]
+        d = [1 - o / (n + m - o) for o, m in sizes]
+        home = min(range(len(d)), key=d.__getitem__, default=-1)
+        least = d[home] if len(d) else 1.0
+        if least > 0.5:
+            home = -1
+        for j, (p, (o, m)) in enumerate(zip(pivots, sizes, strict=True)):
+            if j == home or d[j] <= 0.75 + 1e-9 and (home < 0 or j < home and d[j] - least <= 0.5 + 1e-9):
+                delta = np.setxor1d(items, p, assume_unique=True)
+                rows.append((g, j, cls, n, j != home, 16 * len(delta) // (n + m - o), 7 * len(delta) - n, delta))
+        if home < 0:
+            rows.append((g, -1, cls, n, False, int(4 * np.log(n) / np.log(4.001 / 3)), 6 * n, items))
+    return pd.DataFrame(rows, columns=["g", "j", "cls", "n", "guest", "shell", "excess", "delta"])
 
 
 CELL = "g long, j int, cls long, n int, guest boolean, shell int, excess long, delta array<long>"
@@ -267,8 +269,12 @@ def cells_of(group: DataFrame, sets: DataFrame) -> DataFrame:
     lot = F.pmod(F.xxhash64("g", "cls"), F.when(F.col("strange"), F.col("s")).otherwise(F.col("c") - F.col("s")))
     some = group.join(size, "g").where(lot < F.when(F.col("strange"), SAMPLED).otherwise(SAMPLED // 4)).select("g", "cls")
     pivots = cut(some.join(sets.select("cls", "items"), "cls").groupBy("g").applyInPandas(pivots_of, "g long, pivots array<array<long>>"))
-    dealt = group.select("g", "cls").join(sets, "cls").join(pivots, "g", "left").withColumn("pivots", F.coalesce("pivots", F.array().cast("array<array<long>>")))
-    cells = dealt.select("g", "cls", "n", "items", "pivots").mapInPandas(deal, CELL)
+    # a task gets some hundred members each of some regions, and the pivots of these regions once
+    tasks = 1 + group.count() // DEALT
+    task = F.pmod(F.xxhash64("g", F.pmod(F.xxhash64("cls", F.lit(8)), F.ceil(F.col("c") / (DEALT // 4)))), F.lit(tasks)).alias("task")
+    member = cut(group.join(size, "g").select("g", "cls", task).join(sets, "cls"))
+    asked = member.select("g", F.col("task").alias("task")).distinct().join(pivots, "g").select(F.col("g").alias("g"), F.col("task").alias("task"), "pivots")
+    cells = member.groupBy("task").cogroup(asked.groupBy("task")).applyInPandas(deal, CELL)
     return cut(cells.withColumn("g", F.xxhash64("g", "j")).drop("j"))
 
 

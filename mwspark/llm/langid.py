@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mwspark.llm.common import fold, table
+from mwspark.llm.common import bounded_batches, fold, table
 
 BITS = 16
 SAMPLE_PER_LANG = 3000
@@ -138,6 +138,7 @@ def fit(rows: DataFrame, bits: int = BITS, per_lang: int = SAMPLE_PER_LANG, id_c
 
 def predict(spark: SparkSession, model: Model, text: Column) -> Column:
     """Struct (lang_pred, score) of a text column; the matrix is a broadcast variable."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")

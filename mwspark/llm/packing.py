@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mwspark.llm.common import cut, table
+from mwspark.llm.common import bounded_batches, cut, table
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
@@ -150,6 +150,7 @@ def pack(docs: DataFrame, window: int = WINDOW, open_windows: int = OPEN_WINDOWS
     ids are little-endian unsigned 32-bit numbers; with keep_ids=False they are null (their CRC-32 is there
     in any case) and the table that is written on the way holds none but those of open windows.
     """
+    bounded_batches(docs.sparkSession)
     tail = np.array([end], "<u4").tobytes()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

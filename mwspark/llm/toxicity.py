@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mwspark.llm.common import cut, fold, table
+from mwspark.llm.common import bounded_batches, cut, fold, table
 from mwspark.llm.jaccard import shingles
 from mwspark.llm.words import PUNCTUATION, batches, mix, words_of
 
@@ -222,6 +222,7 @@ def feature_rows(rows: DataFrame, model: Model) -> pd.DataFrame:
 
 def score(spark: SparkSession, model: Model, text: Column) -> Column:
     """Probability that a text is toxic; the model is a broadcast variable."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -71,6 +72,20 @@ def test_ownership_reads_repositories_and_counts_exact_copies_once(spark):
         assert (got[i].n_example, [s.value for s in got[i].owned], got[i].n_repos) == ((1, [], n) if i < 100 else (0, [text.split()[-1]], n))
 
 
+def test_only_live_looking_tokens_are_owned(spark):
+    texts = ["key ExampleKey0a1b2c3d4e5f6g", "key ababababababababab12", "key q8W3e7R1t6Y2u5I9o0P4"]
+    got = {r.doc_id: r for r in secrets.scan(make(spark, texts)).collect()}
+    assert [len(got[i].owned) for i in range(3)] == [0, 0, 1] and [got[i].n_example for i in range(3)] == [1, 1, 0]
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"token=abcdefgh{i}" for i in range(20_000))
+    began = time.time()
+    got = secrets.scan(make(spark, [text])).first()
+    assert [(s.start, s.end) for s in sorted(got.base)] == [m.span() for m in re.finditer(r"token=\w+", text)]
+    assert time.time() - began < 30
+
+
 @pytest.fixture(scope="module")
 def oracle():
     t = Tokenizer.from_file(packing.VOCABULARY)
@@ -152,6 +167,13 @@ def test_shards_are_even_and_slots_gapless(spark, odd):
     sums = got.groupby("shard")["size"].sum()
     assert sums.max() / sums.mean() < 1.02
     assert all(sorted(s.slot) == list(range(len(s))) for _, s in got.groupby("shard"))
+    where = got.assign(text=[texts[i] for i in got.doc_id])
+    assert (where.groupby("text").shard.nunique() == 1).sum() == where.text.nunique() - 1  # the hot copies alone are more than a shard holds
+    assert all(zlib.crc32(t.encode()) == c and len(t.encode()) + 8 == n for t, c, n in zip(where.text, where.text_crc32, where["size"], strict=True))
+    equal = sharding.shard(make(spark, [f"text number {i % 30}" for i in range(600)]), shards=6).toPandas()
+    assert (equal.groupby("text_crc32").shard.nunique() == 1).all() and equal.groupby("shard")["size"].sum().max() < 1.02 * equal["size"].sum() / 6
+    one = sharding.shard(make(spark, ["same text"] * 3000, [5] * 3000), shards=6).toPandas()
+    assert one.groupby("shard")["size"].sum().max() < 1.15 * one["size"].sum() / 6 and all(sorted(s.slot) == list(range(len(s))) for _, s in one.groupby("shard"))
     some = sharding.shard(odd, shards=3).toPandas()
     assert len(some) == 10 and some["size"].min() == 8
     assert sharding.shard(odd.where("false")).count() == 0
