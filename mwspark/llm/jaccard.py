@@ -38,7 +38,7 @@ SAMPLE = 8  # one class in so many is counted to find common shingles
 COMMON = 4  # so many of them in the sample make a shingle common
 HOT_MAX = 1_000_000  # common shingles that are broadcast, at most: the most common ones
 SMALL = 32
-SAMPLED = 48  # members of a region from which its pivots are made
+SAMPLED = 24  # members of a region from which its pivots are made
 PIVOTS = 16
 QUERIES, MEMBERS = 512, 2048  # of a block
 DEALT = 2048  # members that one task measures to pivots at a time
@@ -193,7 +193,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     close = cut(close.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")))
     sets = whole_sets(texts, close.select(F.col("a").alias("cls")).union(close.select("b")).union(wide.select("cls")))
     links = cut(distances(close, sets).where(LINK).select("a", "b"))
-    links = link_large(large.select(F.col("key").alias("g"), "cls", "n"), sets, links)
+    links = link_large(large.select(F.col("key").alias("g"), "cls", "c"), sets, links)
     root = components(links).select(F.col("node").alias("cls"), "root")
     named = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least")).join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = cut(named)
@@ -202,12 +202,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def members_of_open_regions(group: DataFrame, links: DataFrame) -> DataFrame:
-    """Adds comp and strange (not of the region's main component) to the members of regions that hold several components."""
+def open_regions(group: DataFrame, links: DataFrame) -> DataFrame:
+    """(g, cls, comp, strange) for the members of regions that hold several components; strange: not of the region's main one."""
     comp = components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
-    group = cut(group.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    group = cut(group.select("g", "cls").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
     count = group.groupBy("g", "comp").agg(F.count("*").alias("c")).groupBy("g").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("main"))
-    return cut(group.join(count.where("comps > 1").select("g", "main"), "g").withColumn("strange", F.col("comp") != F.col("main")).drop("main"))
+    return cut(group.join(count.where("comps > 1").select("g", "main"), "g").select("g", "cls", "comp", (F.col("comp") != F.col("main")).alias("strange")))
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -272,8 +272,9 @@ def cells_of(group: DataFrame, sets: DataFrame) -> DataFrame:
     # a task gets some hundred members each of some regions, and the pivots of these regions once
     tasks = 1 + group.count() // DEALT
     task = F.pmod(F.xxhash64("g", F.pmod(F.xxhash64("cls", F.lit(8)), F.ceil(F.col("c") / (DEALT // 4)))), F.lit(tasks)).alias("task")
-    member = cut(group.join(size, "g").select("g", "cls", task).join(sets, "cls"))
-    asked = member.select("g", F.col("task").alias("task")).distinct().join(pivots, "g").select(F.col("g").alias("g"), F.col("task").alias("task"), "pivots")
+    dealt = cut(group.join(size, "g").select("g", "cls", task))
+    asked = dealt.select("g", "task").distinct().join(pivots, "g").select(*[F.col(c).alias(c) for c in ("g", "task", "pivots")])
+    member = dealt.join(sets, "cls")
     cells = member.groupBy("task").cogroup(asked.groupBy("task")).applyInPandas(deal, CELL)
     return cut(cells.withColumn("g", F.xxhash64("g", "j")).drop("j"))
 
@@ -325,24 +326,32 @@ def links_of_cells(cells: DataFrame) -> DataFrame:
     return query.groupBy(*keys).cogroup(member.groupBy(*keys)).applyInPandas(links_of_block, "a long, b long")
 
 
+def near_pivots(cells: DataFrame) -> DataFrame:
+    """(a, b): in each cell the text of least excess, y, with all x for which excess(x) + excess(y) <= 0."""
+    centre = cells.groupBy("g").agg(F.min(F.struct("excess", "cls")).alias("y"))
+    ball = cells.select("g", "cls", "excess").join(centre, "g").where("excess + y.excess <= 0 AND cls <> y.cls")
+    return ball.select(F.least("cls", "y.cls").alias("a"), F.greatest("cls", "y.cls").alias("b"))
+
+
 def link_large(group: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """links with what joins the components of the large regions (g, cls, n) besides, and perhaps not every other link.
+    """links with what joins the components of the large regions (g, cls, c members) besides, and perhaps not every other link.
 
-    In each cell the text of least excess, y, links with all x where excess(x) + excess(y) <= 0: two texts link when the sum of
-    their excesses is at most 14 times what their deltas share. Cells that this leaves in several components are regions again, as
+    Two texts link when the sum of their excesses over a pivot is at most 14 times what their deltas share; so those near a pivot
+    link by their distances to it alone (near_pivots). This is done first with each text in its largest region only, which settles most of
+    them. Of the regions that are left with several components the cells are regions again, as
     long as a round settles a quarter of what was strange; then the strange members are compared with all in their windows.
     """
-    group = members_of_open_regions(group, links)
-    before = group.where("strange").count()
+    first = group.groupBy("cls").agg(F.max(F.struct("c", "g"))["g"].alias("g")).select("g", "cls", F.lit(True).alias("strange"))
+    links = cut(links.union(near_pivots(cells_of(cut(first), sets))).distinct())
+    keys = open_regions(group, links)
+    before = keys.where("strange").count()
     while before:
-        cells = cells_of(group, sets)
-        centre = cells.groupBy("g").agg(F.min(F.struct("excess", "cls")).alias("y"))
-        ball = cells.join(centre, "g").where("excess + y.excess <= 0 AND cls <> y.cls").select(F.least("cls", "y.cls").alias("a"), F.greatest("cls", "y.cls").alias("b"))
-        links = cut(links.union(ball).distinct())
-        group = members_of_open_regions(cells, links)
-        after = group.where("strange").count()
+        cells = cells_of(keys, sets)
+        links = cut(links.union(near_pivots(cells)).distinct())
+        keys = open_regions(cells, links)
+        after = keys.where("strange").count()
         if 4 * after > 3 * before:
-            return cut(links.union(links_of_cells(group)).distinct())
+            return cut(links.union(links_of_cells(cells.join(keys, ["g", "cls"]))).distinct())
         before = after
     return links
 
