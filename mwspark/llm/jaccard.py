@@ -310,6 +310,21 @@ def links_of_block(query: pd.DataFrame, member: pd.DataFrame) -> pd.DataFrame:
     return out.groupby(["a", "comp"], as_index=False).min()[["a", "b"]]
 
 
+def links_of_regions(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(a, b): what the strange members of some whole regions (g, cls, n, items, comp, strange) of bounded size link to."""
+    found = []
+    for _, own in pdf.groupby("g"):
+        own = own.sort_values("cls").reset_index(drop=True)
+        cells = deal(own, pivots_of(own[:: 1 + len(own) // (2 * SAMPLED)]))
+        at = np.searchsorted(own.cls.to_numpy(), cells.cls.to_numpy())
+        cells["comp"], strange = own.comp.to_numpy()[at], own.strange.to_numpy(bool)[at]
+        for _, rows in cells.groupby("j").indices.items():
+            asked = rows[strange[rows]]
+            for k in range(0, len(asked), QUERIES):
+                found.append(links_of_block(cells.iloc[asked[k : k + QUERIES]], cells.iloc[rows]))
+    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+
+
 def links_of_cells(cells: DataFrame) -> DataFrame:
     """(a, b): what the strange members of each cell link to, by windows of shells and in blocks of bounded size."""
     part = ["g", "shell"]
@@ -338,12 +353,21 @@ def link_large(group: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame
 
     Two texts link when the sum of their excesses over a pivot is at most 14 times what their deltas share; so those near a pivot
     link by their distances to it alone (near_pivots). This is done first with each text in its largest region only, which settles most of
-    them. Of the regions that are left with several components the cells are regions again, as
-    long as a round settles a quarter of what was strange; then the strange members are compared with all in their windows.
+    them. Of the regions that are left with several components those of at most MEMBERS texts are joined in one task each, in the
+    same way. In the others the cells are regions again, as long as a round settles a quarter of what was strange; then the strange members are compared with all in their windows.
     """
     first = group.groupBy("cls").agg(F.max(F.struct("c", "g"))["g"].alias("g")).select("g", "cls", F.lit(True).alias("strange"))
     links = cut(links.union(near_pivots(cells_of(cut(first), sets))).distinct())
     keys = open_regions(group, links)
+    size = keys.groupBy("g").agg(F.count("*").alias("c"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who"))
+    # regions of the same members are one region
+    size = size.groupBy("c", "who").agg(F.min("g").alias("g")).select("g", "c")
+    keys = cut(keys.join(size, "g"))
+    small = keys.where(F.col("c") <= MEMBERS)
+    task = F.pmod(F.xxhash64("g"), F.lit(1 + small.count() // DEALT)).alias("task")
+    whole = small.join(sets, "cls").select("g", "cls", "n", "items", "comp", "strange", task)
+    links = cut(links.union(whole.groupBy("task").applyInPandas(lambda pdf: links_of_regions(pdf), "a long, b long")).distinct())
+    keys = open_regions(keys.where(F.col("c") > MEMBERS), links)
     before = keys.where("strange").count()
     while before:
         cells = cells_of(keys, sets)

@@ -238,7 +238,7 @@ def brute_components(texts):
 @pytest.mark.parametrize(("small", "block"), [(32, 512), (2, 512), (2, 3)])
 def test_jaccard_join_is_exact(spark, monkeypatch, small, block):
     """Chains of edits, a group of near copies, and one passage in many texts; with small regions and with large ones, in blocks of several sizes."""
-    for name, value in (("SMALL", small), ("QUERIES", block), ("MEMBERS", 2 * block), ("SAMPLED", block // 2 + 1), ("PIVOTS", block // 2 + 1), ("HITS", 50 * block)):
+    for name, value in (("SMALL", small), ("QUERIES", block), ("MEMBERS", 2 * block), ("SAMPLED", block // 2 + 1), ("PIVOTS", block // 2 + 1), ("HITS", 50 * block), ("DEALT", 8 * block)):
         monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(400)]
