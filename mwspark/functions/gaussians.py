@@ -11,12 +11,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mwspark.mra import COORDS
 
-ROW = "fn_id string, term int, coef double, alpha array<double>, pos array<double>, power array<int>"
+ROW = "fn_id string, term long, coef double, alpha array<double>, pos array<double>, power array<int>"
 NAMES = ["fn_id", "term", "coef", "alpha", "pos", "power"]
 
 
@@ -40,15 +40,33 @@ def term_value(dim: int, nstd: float | None = None) -> Column:
     return F.when(inside, value).otherwise(0.0)
 
 
+REACH = 60.0  # exponent at which a term counts as 0, where no deviations are named
+
+
 def evaluate(points: DataFrame, gaussians: DataFrame, dim: int, nstd: float | None = None, by: list[str] | None = None) -> DataFrame:
-    """(pid, fn_id, value): every function at every point; with by, only at points that share those columns.
+    """(pid, fn_id, value): every function at the points that a term of it reaches; with by, at those that share these columns.
 
-    Without by each function meets each point, which is what is asked for; the table of terms is the small side.
+    A term reaches as far as nstd says, else to exp(-REACH). Its box is cut into the cells of a grid about as wide as the box, at most
+    2^dim of them, and every point knows its cell in each of the few grids that terms use; so points and terms meet by an equi-join.
     """
+    cut = REACH if nstd is None else nstd
     if by:
         joined = points.join(gaussians, by)
     else:
-        joined = points.withColumn("one", F.lit(1)).join(gaussians.withColumn("one", F.lit(1)), "one")
+        reach = F.sqrt(F.lit(cut) / F.array_min("alpha"))
+        terms = gaussians.withColumn("grid", F.floor(-F.log2(2 * reach)).cast("int"))
+        grids = terms.select("grid").distinct()
+        size = F.pow(F.lit(2.0), F.col("grid"))
+        cells = [f"cell{d}" for d in range(dim)]
+        for d in range(dim):
+            r = F.sqrt(F.lit(cut) / F.col("alpha")[d])
+            terms = terms.withColumn(cells[d], F.explode(F.sequence(F.floor((F.col("pos")[d] - r) * size), F.floor((F.col("pos")[d] + r) * size))))
+        # one row for each power of two between the narrowest and the widest term, at most some hundreds
+        held = points.join(F.broadcast(grids))
+        for d in range(dim):
+            held = held.withColumn(cells[d], F.floor(F.col(COORDS[d]) * size))
+        joined = held.join(terms, ["grid", *cells])
+        joined = joined.where(reduce(lambda a, b: a & b, [F.abs(F.col(COORDS[d]) - F.col("pos")[d]) <= F.sqrt(F.lit(cut) / F.col("alpha")[d]) for d in range(dim)]))
     return joined.groupBy("pid", "fn_id").agg(F.sum(term_value(dim, nstd)).alias("value"))
 
 
@@ -130,10 +148,23 @@ def normalize(g: DataFrame, dim: int) -> DataFrame:
 
 def add(*tables: DataFrame, fn_id: str | None = None) -> DataFrame:
     """All terms together, renumbered by function; with fn_id as one function of that name."""
-    out = reduce(DataFrame.unionByName, tables)
+    out = reduce(DataFrame.unionByName, [t.select(*NAMES).withColumn("table", F.lit(i)) for i, t in enumerate(tables)])
     if fn_id is not None:
         out = out.withColumn("fn_id", F.lit(fn_id))
-    return out
+    rank = F.row_number().over(Window.partitionBy("fn_id").orderBy("table", "term", "coef")) - 1
+    return out.withColumn("term", rank.cast("long")).select(*NAMES)
+
+
+def expand_polynomials(polys: DataFrame) -> DataFrame:
+    """Gaussians times polynomials (fn_id, term, alpha[D], pos[D], poly[D][]), poly[d][i] the coefficient of x_d^i, as monomial rows, zeros left out."""
+    rows = polys.withColumn("coef", F.lit(1.0)).withColumn("power", F.array().cast("array<int>"))
+    grown = F.aggregate(
+        "poly",
+        F.array(F.struct(F.lit(1.0).alias("c"), F.array().cast("array<int>").alias("p"))),
+        lambda found, one: F.flatten(F.transform(found, lambda t: F.transform(one, lambda c, i: F.struct((t["c"] * c).alias("c"), F.concat(t["p"], F.array(i.cast("int"))).alias("p"))))),
+    )
+    each = rows.select("fn_id", "term", "alpha", "pos", F.posexplode(F.filter(grown, lambda t: t["c"] != 0)).alias("i", "t"))
+    return each.select("fn_id", F.xxhash64("term", "i").alias("term"), F.col("t.c").alias("coef"), "alpha", "pos", F.col("t.p").alias("power"))
 
 
 def scale(g: DataFrame, c: float) -> DataFrame:
@@ -150,7 +181,7 @@ def differentiate(g: DataFrame, d: int) -> DataFrame:
         )
     ).alias("t")
     out = g.select("fn_id", "term", "alpha", "pos", two).where("t.c <> 0")
-    return out.select("fn_id", (F.col("term") * 2 + F.col("t.s")).cast("int").alias("term"), F.col("t.c").alias("coef"), "alpha", "pos", F.col("t.p").alias("power"))
+    return out.select("fn_id", (F.col("term") * 2 + F.col("t.s")).alias("term"), F.col("t.c").alias("coef"), "alpha", "pos", F.col("t.p").alias("power"))
 
 
 def multiply(pairs: DataFrame, a: DataFrame, b: DataFrame, dim: int) -> DataFrame:
@@ -159,20 +190,34 @@ def multiply(pairs: DataFrame, a: DataFrame, b: DataFrame, dim: int) -> DataFram
 
     def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                a1, b1, xa, xb = (np.asarray(v, float) for v in (r.a_alpha, r.b_alpha, r.a_pos, r.b_pos))
-                p = a1 + b1
-                mid = (a1 * xa + b1 * xb) / p
-                base = r.a_coef * r.b_coef * np.exp(-(a1 * b1 / p * (xa - xb) ** 2).sum())
-                terms = [(base, ())]
-                for d in range(dim):  # (x - xa)^i (x - xb)^j in powers of x - mid
-                    poly = np.polynomial.polynomial.polymul(np.polynomial.polynomial.polypow([mid[d] - xa[d], 1], int(r.a_power[d])), np.polynomial.polynomial.polypow([mid[d] - xb[d], 1], int(r.b_power[d])))
-                    terms = [(c * q, (*w, e)) for c, w in terms for e, q in enumerate(poly) if q != 0]
-                rows += [(r.out_id, int(r.a_term) * 100_000 + int(r.b_term) * 1000 + i, c, p, mid, list(w)) for i, (c, w) in enumerate(terms)]
-            yield pd.DataFrame(rows, columns=NAMES)
-
-    return j.mapInPandas(expand, ROW)
+            if not len(pdf):
+                continue
+            a1, b1, xa, xb = (np.stack(pdf[c].to_numpy()).astype(float) for c in ("a_alpha", "b_alpha", "a_pos", "b_pos"))
+            pa, pb = (np.stack(pdf[c].to_numpy()).astype(int) for c in ("a_power", "b_power"))
+            p = a1 + b1
+            mid = (a1 * xa + b1 * xb) / p
+            base = (pdf.a_coef * pdf.b_coef).to_numpy(float) * np.exp(-(a1 * b1 / p * (xa - xb) ** 2).sum(1))
+            # in each dimension the coefficients of (x - xa)^i (x - xb)^j in powers of x - mid, for all pairs at once
+            polys = []
+            for d in range(dim):
+                poly = np.zeros((len(pdf), int((pa[:, d] + pb[:, d]).max()) + 1))
+                poly[:, 0] = 1
+                for shift, power in ((mid[:, d] - xa[:, d], pa[:, d]), (mid[:, d] - xb[:, d], pb[:, d])):
+                    for turn in range(int(power.max())):
+                        more = poly * shift[:, None]
+                        more[:, 1:] += poly[:, :-1]
+                        poly = np.where((power > turn)[:, None], more, poly)
+                polys.append(poly)
+            out = base.reshape((-1,) + (1,) * dim)
+            for d, poly in enumerate(polys):
+                out = out * poly.reshape((len(pdf),) + (1,) * d + (poly.shape[1],) + (1,) * (dim - d - 1))
+            row, *power = np.nonzero(out)
+            yield pd.DataFrame(
+                {"fn_id": pdf.out_id.to_numpy()[row], "a": pdf.a_term.to_numpy()[row], "b": pdf.b_term.to_numpy()[row], "coef": out[row, *power], "alpha": list(p[row]), "pos": list(mid[row]), "power": list(np.stack(power, 1).astype("int32"))}
+            )
+
+    rows = j.mapInPandas(expand, "fn_id string, a long, b long, coef double, alpha array<double>, pos array<double>, power array<int>")
+    return rows.select("fn_id", F.xxhash64("a", "b", "power").alias("term"), "coef", "alpha", "pos", "power")
 
 
 def periodify(g: DataFrame, period: list[float], nstd: float = 4.0) -> DataFrame:

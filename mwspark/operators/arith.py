@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mwspark.functions.shared import write_shared
 from mwspark.functions.trees import NODE, keys_of, map_coefs, stack, with_norms
 from mwspark.mra import MRA, TREE_KEY
 from mwspark.operators.keys import children, end_nodes
@@ -81,21 +82,23 @@ def multiply(terms: DataFrame, nodes: DataFrame, mra: MRA, prec: float = -1.0, m
     both = terms.select("out_id", F.col("a_id").alias("tree_id")).union(terms.select("out_id", F.col("b_id").alias("tree_id"))).distinct()
     cells = children(union_leaves(both, nodes), mra.dim, extra).select(*TREE_KEY)
 
-    def calc(level: DataFrame) -> DataFrame:
-        found = _on_cells(level, both, nodes, mra)
-        a = found.select("out_id", F.col("tree_id").alias("a_id"), *TREE_KEY[1:], F.col("coef").alias("ca"))
-        b = found.select("out_id", F.col("tree_id").alias("b_id"), *TREE_KEY[1:], F.col("coef").alias("cb"))
-        j = terms.join(a, ["out_id", "a_id"]).join(b, ["out_id", "b_id", *TREE_KEY[1:]])
-        j = j.select(F.col("out_id").alias("tree_id"), *TREE_KEY[1:], "c", "ca", "cb")
+    return adaptive(cells, lambda level: _products(level, both, terms, nodes, mra), mra, prec, max_iter, abs_prec)
 
-        def run(pdf: pd.DataFrame, ca: np.ndarray) -> pd.DataFrame:
-            n = pdf.n.to_numpy()
-            v = to_values(ca, n, mra) * to_values(stack(pdf.cb, ca.shape[1]), n, mra) * pdf.c.to_numpy()[:, None]
-            return keys_of(pdf).assign(is_end=True, coef=list(from_values(v, n, mra)))
 
-        return map_coefs(j, NODE, run, mra.blocks * mra.size, "ca")
+def _products(level: DataFrame, both: DataFrame, terms: DataFrame, nodes: DataFrame, mra: MRA) -> DataFrame:
+    """Products at the cells of level, through values at the quadrature points of their children."""
+    found = _on_cells(level, both, nodes, mra)
+    a = found.select("out_id", F.col("tree_id").alias("a_id"), *TREE_KEY[1:], F.col("coef").alias("ca"))
+    b = found.select("out_id", F.col("tree_id").alias("b_id"), *TREE_KEY[1:], F.col("coef").alias("cb"))
+    j = terms.join(a, ["out_id", "a_id"]).join(b, ["out_id", "b_id", *TREE_KEY[1:]])
+    j = j.select(F.col("out_id").alias("tree_id"), *TREE_KEY[1:], "c", "ca", "cb")
 
-    return adaptive(cells, calc, mra, prec, max_iter, abs_prec)
+    def run(pdf: pd.DataFrame, ca: np.ndarray) -> pd.DataFrame:
+        n = pdf.n.to_numpy()
+        v = to_values(ca, n, mra) * to_values(stack(pdf.cb, ca.shape[1]), n, mra) * pdf.c.to_numpy()[:, None]
+        return keys_of(pdf).assign(is_end=True, coef=list(from_values(v, n, mra)))
+
+    return map_coefs(j, NODE, run, mra.blocks * mra.size, "ca")
 
 
 def tree_map(nodes: DataFrame, mra: MRA, f: Callable[[np.ndarray], np.ndarray], prec: float = -1.0, max_iter: int = -1, extra: int = 0) -> DataFrame:
@@ -151,4 +154,109 @@ def dot_field(pairs: DataFrame, nodes: DataFrame, mra: MRA, prec: float = -1.0)
     return add(terms, products, mra)
 
 
-__all__ = ["absadd", "add", "dot_field", "lookup", "multiply", "normalize", "power", "rescale", "square", "sum_arrays", "tree_map", "union_leaves"]
+def _renamed(nodes: DataFrame, prefix: str) -> DataFrame:
+    return nodes.withColumn("tree_id", F.concat(F.lit(prefix), "tree_id"))
+
+
+def add_in_place(nodes: DataFrame, other: DataFrame, mra: MRA, c: float = 1.0) -> DataFrame:
+    """T + c X on the union of both grids, for each tree of nodes; other holds X under T's tree_id."""
+    ids = nodes.select("tree_id").distinct()
+    own = ids.select(F.col("tree_id").alias("out_id"), F.concat(F.lit("T/"), "tree_id").alias("tree_id"), F.lit(1.0).alias("c"))
+    theirs = other.select("tree_id").distinct().select(F.col("tree_id").alias("out_id"), F.concat(F.lit("X/"), "tree_id").alias("tree_id"), F.lit(float(c)).alias("c"))
+    both = _renamed(nodes.select(*TREE_KEY, "is_end", "coef"), "T/").unionByName(_renamed(other.select(*TREE_KEY, "is_end", "coef"), "X/"))
+    return add(own.unionByName(theirs.join(ids.withColumnRenamed("tree_id", "out_id"), "out_id", "left_semi")), both, mra)
+
+
+def add_in_place_fixed(nodes: DataFrame, other: DataFrame, mra: MRA, c: float = 1.0) -> DataFrame:
+    """T + c X on T's own grid."""
+    ends = nodes.where("is_end").select(*TREE_KEY, "coef")
+    found = lookup(other, ends.select(*TREE_KEY), mra).withColumnRenamed("coef", "cx")
+    total = F.when(F.col("cx").isNull(), F.col("coef")).otherwise(F.zip_with("coef", "cx", lambda a, b: a + float(c) * b))
+    return rebuild(ends.join(found, TREE_KEY, "left").select(*TREE_KEY, total.alias("coef")), mra)
+
+
+def multiply_in_place(nodes: DataFrame, other: DataFrame, mra: MRA, c: float = 1.0) -> DataFrame:
+    """c T X on T's own grid."""
+    ends = nodes.where("is_end").select(*TREE_KEY, "coef")
+    j = ends.join(lookup(other, ends.select(*TREE_KEY), mra).withColumnRenamed("coef", "cx"), TREE_KEY)
+
+    def run(pdf: pd.DataFrame, a: np.ndarray) -> pd.DataFrame:
+        n = pdf.n.to_numpy()
+        v = float(c) * to_values(a, n, mra) * to_values(stack(pdf.cx, a.shape[1]), n, mra)
+        return keys_of(pdf).assign(is_end=True, coef=list(from_values(v, n, mra)))
+
+    return rebuild(map_coefs(j, NODE, run, mra.blocks * mra.size), mra)
+
+
+def max_norm_grid(terms: DataFrame, nodes: DataFrame, mra: MRA, prec: float) -> DataFrame:
+    """Leaves (tree_id = out_id, n, l..) of the grid of each product of two, judged by norms alone.
+
+    A cell splits where w0 s1 + w1 s0 + w0 w1 > prec, for the largest wavelet norms w and norms s (in units of values) of the
+    factors in that cell and below, unless it is a leaf of both. Below a factor's leaf w is 0 and s that of the leaf.
+    """
+    from mwspark.operators.keys import ancestors, end_node_of
+    from mwspark.operators.transform import max_norms
+
+    norms = max_norms(nodes, mra).select(*TREE_KEY, F.sqrt("max_sq").alias("s"), F.sqrt("max_w").alias("w"))
+    norms = write_shared(norms.join(nodes.select(*TREE_KEY, "is_end"), TREE_KEY))
+    pairs = terms.select("out_id", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a_id").alias("tree_id")), F.struct(F.lit("b").alias("side"), F.col("b_id").alias("tree_id")))).alias("x")).select("out_id", "x.side", "x.tree_id")
+    cells = pairs.join(nodes.select(*TREE_KEY), "tree_id").select("out_id", *TREE_KEY[1:]).distinct()
+    wanted = write_shared(cells.join(pairs, "out_id"))
+    here = wanted.join(norms, TREE_KEY)
+    below = wanted.join(norms.select(*TREE_KEY), TREE_KEY, "left_anti")
+    found = end_node_of(below, norms.where("is_end").select(*TREE_KEY, "s"), mra.world, tree_key=True)
+    cols = ["out_id", "side", *TREE_KEY[1:]]
+    both = here.select(*cols, "s", "w", "is_end").unionByName(found.select(*cols, "s", F.lit(0.0).alias("w"), F.lit(True).alias("is_end")))
+    side = lambda c, x: F.max(F.when(F.col("side") == x, F.col(c)))
+    judged = both.groupBy("out_id", *TREE_KEY[1:]).agg(*[side(c, x).alias(f"{c}_{x}") for c in ("s", "w") for x in "ab"], F.min("is_end").alias("leaf"))
+    wants = (F.col("w_a") * F.col("s_b") + F.col("w_b") * F.col("s_a") + F.col("w_a") * F.col("w_b") > prec) & ~F.col("leaf")
+    judged = write_shared(judged.select(F.col("out_id").alias("tree_id"), *TREE_KEY[1:], F.coalesce(wants, F.lit(False)).alias("wants")))
+    # a cell is reached if all cells above it split
+    names = {"an": "n", "ax": "lx", "ay": "ly", "az": "lz"}
+    above = ancestors(judged.where("wants").select(*TREE_KEY), mra.world.scale, itself=False)
+    stopped = above.join(judged.where("not wants").select("tree_id", *[F.col(v).alias(k) for k, v in names.items()]), ["tree_id", *names], "left_semi").select(*TREE_KEY).distinct()
+    split = judged.where("wants").select(*TREE_KEY).join(stopped, TREE_KEY, "left_anti")
+    roots = judged.where(F.col("n") == mra.world.scale).select(*TREE_KEY)
+    return end_nodes(roots.unionByName(children(split, mra.dim).select(*TREE_KEY)))
+
+
+def multiply_max_norm(terms: DataFrame, nodes: DataFrame, mra: MRA, prec: float) -> DataFrame:
+    """Products of two on the grid that their largest norms call for."""
+    both = terms.select("out_id", F.col("a_id").alias("tree_id")).union(terms.select("out_id", F.col("b_id").alias("tree_id"))).distinct()
+    return adaptive(write_shared(max_norm_grid(terms, nodes, mra, prec)), lambda level: _products(level, both, terms, nodes, mra), mra)
+
+
+def multiply_by_function(nodes: DataFrame, mra: MRA, f: Callable[[np.ndarray], np.ndarray], refine: int = 0, prec: float = -1.0) -> DataFrame:
+    """Every tree times f(points[N, D]) -> values[N], each on its own leaf grid split refine times.
+
+    f is evaluated once for each cell, however many trees own it. prec crops the results.
+    """
+    from mwspark.operators.grid import crop
+    from mwspark.operators.project import cell_points
+
+    ends = nodes.where("is_end").select(*TREE_KEY)
+    if refine:
+        ends = children(ends, mra.dim, refine).select(*TREE_KEY)
+    cell = TREE_KEY[1:]
+
+    def values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                x = cell_points(pdf, mra)
+                yield pdf[cell].assign(fv=list(np.asarray(f(x.reshape(-1, mra.dim)), float).reshape(len(pdf), -1)))
+
+    of_f = ends.select(*cell).distinct().mapInPandas(values, "n int, lx int, ly int, lz int, fv array<double>")
+    j = lookup(nodes, ends, mra).join(of_f, cell)
+
+    def run(pdf: pd.DataFrame, a: np.ndarray) -> pd.DataFrame:
+        n = pdf.n.to_numpy()
+        return keys_of(pdf).assign(is_end=True, coef=list(from_values(to_values(a, n, mra) * stack(pdf.fv, a.shape[1]), n, mra)))
+
+    out = rebuild(map_coefs(j, NODE, run, mra.blocks * mra.size), mra)
+    return out if prec < 0 else crop(out, mra, prec)
+
+
+__all__ = [
+    "absadd", "add", "add_in_place", "add_in_place_fixed", "dot_field", "lookup", "max_norm_grid", "multiply", "multiply_by_function", "multiply_in_place", "multiply_max_norm",
+    "normalize", "power", "rescale", "square", "sum_arrays", "tree_map", "union_leaves",
+]

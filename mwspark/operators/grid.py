@@ -12,7 +12,7 @@ from mwspark.functions.trees import wavelet_square, with_norms, write_shared
 from mwspark.mra import KEY, MRA, TREE_KEY
 from mwspark.operators.keys import ancestors, children, end_nodes, node_bounds, parent_key
 from mwspark.operators.project import start_grid, threshold
-from mwspark.operators.transform import child_scaling, rebuild
+from mwspark.operators.transform import child_scaling
 
 
 def build_uniform(grid: DataFrame, mra: MRA, scales: int) -> DataFrame:
@@ -79,6 +79,40 @@ def refine_like(nodes: DataFrame, other: DataFrame, mra: MRA) -> DataFrame:
     return _split(nodes, nodes.where("is_end").select(*TREE_KEY).join(parents, TREE_KEY, "left_semi"), mra)
 
 
+def refine_by_gaussians(nodes: DataFrame, gaussians: DataFrame, mra: MRA) -> tuple[DataFrame, int]:
+    """One split step of the leaves where a term of the function (fn_id = tree_id) isn't visible and not zero; and the number of new nodes."""
+    ends = nodes.where("is_end").select(*TREE_KEY)
+    seen = ends.join(gaussians.withColumnRenamed("fn_id", "tree_id"), "tree_id").select("*", *node_bounds(mra.world))
+    wants = ~G.visible(mra.k + 1, mra.dim) & ~G.zero_on_cell(mra.dim) & (F.col("n") + 2 <= mra.max_scale)
+    cells = write_shared(seen.where(wants).select(*TREE_KEY).distinct())
+    return _split(nodes, cells, mra), cells.count() * mra.blocks
+
+
+def closure(nodes: DataFrame, cells: DataFrame, mra: MRA) -> DataFrame:
+    """The least grid that holds the nodes and the cells: whatever stands above a cell is split."""
+    up = ancestors(cells.select(*TREE_KEY), mra.world.scale, itself=False)
+    above = up.select("tree_id", F.col("an").alias("n"), *[F.col("a" + a[1]).alias(a) for a in KEY[1:]]).distinct()
+    return nodes.select(*TREE_KEY).unionByName(children(above, mra.dim).select(*TREE_KEY)).distinct()
+
+
+def copy_function(nodes: DataFrame, tree_id: str) -> DataFrame:
+    """The same function under another id."""
+    return nodes.withColumn("tree_id", F.lit(tree_id))
+
+
+def project_until(gaussians: DataFrame, mra: MRA, prec: float, most: int = 30) -> DataFrame:
+    """Projects on a fixed grid, refines it by precision and projects anew on the finer grid, until a step adds no node."""
+    from mwspark.operators.project import project_gaussians
+
+    tree = write_shared(project_gaussians(gaussians, mra, -1.0))
+    for _ in range(most):
+        finer, new = refine_adaptive(tree, mra, prec)
+        if not new:
+            break
+        tree = write_shared(project_gaussians(gaussians, mra, -1.0, start=finer.where("is_end").select(*TREE_KEY)))
+    return tree
+
+
 def crop(nodes: DataFrame, mra: MRA, prec: float, split_factor: float = 1.0, abs_prec: bool = True) -> DataFrame:
     """Prunes from the leaves up: a node becomes a leaf if a child of it is one and its own wavelets fail the split test."""
     if prec < 0:
@@ -112,4 +146,4 @@ def set_zero(nodes: DataFrame, mra: MRA) -> DataFrame:
     return with_norms(nodes.select(*TREE_KEY, "is_end", zero.alias("coef")), mra)
 
 
-__all__ = ["KEY", "build_gaussian", "build_uniform", "clear", "copy_grid", "crop", "rebuild", "refine_adaptive", "refine_like", "refine_uniform", "set_zero", "union_grid"]
+__all__ = ["build_gaussian", "build_uniform", "clear", "closure", "copy_function", "copy_grid", "crop", "project_until", "refine_adaptive", "refine_by_gaussians", "refine_like", "refine_uniform", "set_zero", "union_grid"]

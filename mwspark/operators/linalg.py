@@ -8,42 +8,56 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mwspark.functions.trees import stack
+from mwspark.functions.shared import write_shared
+from mwspark.functions.trees import stack, wavelet_square, with_norms
 from mwspark.mra import MRA, TREE_KEY
 from mwspark.operators import arith
-from mwspark.operators.reduce import dot_pairs, square_norm
+from mwspark.operators.keys import ancestors, parent_key
+from mwspark.operators.reduce import square_norm
+from mwspark.operators.transform import reconstruct_down
 
 CELLS_PER_TASK = 2048
 
 
+def _products(bra: pd.DataFrame, ket: pd.DataFrame, mra: MRA) -> pd.DataFrame:
+    """(i, j, re): the inner products of some cells, summed: a matrix product for each cell that both own."""
+    width = mra.blocks * mra.size
+    i_names, i_at = np.unique(bra.tree_id.to_numpy(str), return_inverse=True)
+    j_names, j_at = np.unique(ket.tree_id.to_numpy(str), return_inverse=True)
+    total = np.zeros((len(i_names), len(j_names)))
+    met = np.zeros(total.shape, bool)
+    own = {cell: rows for cell, rows in ket.reset_index(drop=True).groupby(TREE_KEY[1:]).indices.items()}
+    a, b = stack(bra.coef, width), stack(ket.coef, width)
+    for cell, rows in bra.reset_index(drop=True).groupby(TREE_KEY[1:]).indices.items():
+        cols = own.get(cell)
+        if cols is not None:
+            first = 0 if cell[0] == mra.world.scale else mra.size
+            total[np.ix_(i_at[rows], j_at[cols])] += a[rows, first:] @ b[cols, first:].T
+            met[np.ix_(i_at[rows], j_at[cols])] = True
+    i, j = np.nonzero(met)
+    return pd.DataFrame({"i": i_names[i], "j": j_names[j], "re": total[i, j]})
+
+
+def _tasks(nodes: DataFrame) -> int:
+    return 1 + nodes.select(*TREE_KEY[1:]).distinct().count() // CELLS_PER_TASK
+
+
 def overlap_matrix(nodes: DataFrame, mra: MRA, tasks: int | None = None) -> DataFrame:
-    """(i, j, re) = <i|j> for all pairs of the set: the functions that own a cell meet there, one matrix product each.
+    """(i, j, re) = <i|j> for all pairs of the set that share cells: the functions that own a cell meet there.
 
-    Cells are dealt to tasks by a hash; each task sums its products before it gives them up.
+    Cells are dealt to tasks by a hash; each task sums its products in one matrix before it gives them up.
     """
-    tasks = tasks or 1 + nodes.select(*TREE_KEY[1:]).distinct().count() // CELLS_PER_TASK
-    width = mra.blocks * mra.size
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total: dict[tuple[str, str], float] = {}
-        for (n, *_), own in pdf.groupby(TREE_KEY[1:]):
-            a = stack(own.coef, width)[:, 0 if n == mra.world.scale else mra.size :]
-            s, ids = a @ a.T, list(own.tree_id)
-            for x, i in enumerate(ids):
-                for y, j in enumerate(ids):
-                    total[i, j] = total.get((i, j), 0.0) + s[x, y]
-        return pd.DataFrame([(i, j, v) for (i, j), v in total.items()], columns=["i", "j", "re"])
-
-    task = F.pmod(F.xxhash64(*TREE_KEY[1:]), F.lit(tasks))
-    part = nodes.select(*TREE_KEY, "coef").groupBy(task).applyInPandas(run, "i string, j string, re double")
+    task = F.pmod(F.xxhash64(*TREE_KEY[1:]), F.lit(tasks or _tasks(nodes)))
+    part = nodes.select(*TREE_KEY, "coef").groupBy(task).applyInPandas(lambda pdf: _products(pdf, pdf, mra), "i string, j string, re double")
     return part.groupBy("i", "j").agg(F.sum("re").alias("re"))
 
 
-def cross_overlap(bra: DataFrame, ket: DataFrame, mra: MRA) -> DataFrame:
-    """(i, j, re) = <bra_i|ket_j>; cells of one side alone add nothing."""
-    b = bra.select(F.col("tree_id").alias("bra_id")).distinct().withColumn("one", F.lit(1))
-    k = ket.select(F.col("tree_id").alias("ket_id")).distinct().withColumn("one", F.lit(1))
-    return dot_pairs(b.join(k, "one").drop("one"), bra, ket, mra).select(F.col("bra_id").alias("i"), F.col("ket_id").alias("j"), F.col("dot").alias("re"))
+def cross_overlap(bra: DataFrame, ket: DataFrame, mra: MRA, tasks: int | None = None) -> DataFrame:
+    """(i, j, re) = <bra_i|ket_j>; cells of one side alone add nothing. Both sides' nodes go once to the task of their cell."""
+    task = F.pmod(F.xxhash64(*TREE_KEY[1:]), F.lit(tasks or _tasks(bra))).alias("task")
+    left, right = bra.select(*TREE_KEY, "coef", task), ket.select(*[F.col(c).alias(c) for c in [*TREE_KEY, "coef"]]).withColumn("task", task)
+    part = left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(lambda a, b: _products(a, b, mra), "i string, j string, re double")
+    return part.groupBy("i", "j").agg(F.sum("re").alias("re"))
 
 
 def lowdin_matrix(overlap: DataFrame) -> DataFrame:
@@ -59,14 +73,27 @@ def lowdin_matrix(overlap: DataFrame) -> DataFrame:
 
 
 def rotate(nodes: DataFrame, u: DataFrame, mra: MRA, prec: float = -1.0) -> DataFrame:
-    """out_j = sum over i of in_i U_ij for a matrix (i, j, re); with prec, leaves whose wavelets are small are pruned."""
+    """out_j = sum over i of in_i U_ij for a matrix (i, j, re).
+
+    With prec a node of an output has children only where its wavelets' square norm is above prec^2 2^-(n+1), and so is
+    that of every node above it. Wavelets of an output are the sums of the inputs' own, cell by cell (a missing node has none);
+    scaling parts follow from the roots.
+    """
     terms = u.where("re <> 0").select(F.col("j").alias("out_id"), F.col("i").alias("tree_id"), F.col("re").alias("c"))
-    out = arith.add(terms, nodes, mra)
     if prec < 0:
-        return out
-    from mwspark.operators.grid import crop
-
-    return crop(out, mra, prec)
+        return arith.add(terms, nodes, mra)
+    j = nodes.select(*TREE_KEY, "coef").join(terms, "tree_id")
+    scaled = j.select(F.col("out_id").alias("tree_id"), *TREE_KEY[1:], F.transform("coef", lambda x: x * F.col("c")).alias("coef"))
+    sums = arith.sum_arrays(scaled, TREE_KEY, "tree_id string, n int, lx int, ly int, lz int, coef array<double>", mra.blocks * mra.size, nodes.count())
+    sums = write_shared(with_norms(sums, mra).withColumn("open", wavelet_square() > prec**2 * F.pow(F.lit(2.0), -(F.col("n") + 1))))
+    names = {"an": "n", "ax": "lx", "ay": "ly", "az": "lz"}
+    above = ancestors(sums.select(*TREE_KEY), mra.world.scale, itself=False)
+    closed = sums.where("not open").select("tree_id", *[F.col(v).alias(k) for k, v in names.items()])
+    gone = above.join(closed, ["tree_id", *names], "left_semi").select(*TREE_KEY).distinct()
+    kept = write_shared(sums.join(gone, TREE_KEY, "left_anti").select(*TREE_KEY, "coef"))
+    parents = kept.select("tree_id", *parent_key()).distinct().withColumn("inner", F.lit(True))
+    flagged = kept.join(parents, TREE_KEY, "left").select(*TREE_KEY, F.col("inner").isNull().alias("is_end"), "coef")
+    return reconstruct_down(flagged, mra)
 
 
 def orthonormalize(nodes: DataFrame, mra: MRA) -> DataFrame:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mwspark.functions import basis as B
 from mwspark.functions.trees import NODE, keys_of, with_norms, write_shared
-from mwspark.mra import AXES, MRA, TREE_KEY
-from mwspark.operators.keys import children, root_cells
+from mwspark.mra import AXES, KEY, MRA, TREE_KEY
+from mwspark.operators.keys import children, parent_key, root_cells
 from mwspark.operators.transform import from_values, rebuild
 
 TWO_E_15 = 2e-15
@@ -55,33 +56,51 @@ def project(cells: DataFrame, mra: MRA, values: Evaluate, prec: float = -1.0, ma
     return adaptive(cells, lambda level: level.mapInPandas(run, schema), mra, prec, max_iter, abs_prec, payload)
 
 
-def adaptive(cells: DataFrame, calc: Callable[[DataFrame], DataFrame], mra: MRA, prec: float = -1.0, max_iter: int = -1, abs_prec: bool = False, payload: list[str] | None = None) -> DataFrame:
+def adaptive(
+    cells: DataFrame, calc: Callable[[DataFrame], DataFrame], mra: MRA, prec: float = -1.0, max_iter: int = -1, abs_prec: bool = False, payload: list[str] | None = None,
+    finish: Callable[[DataFrame], DataFrame] | None = None, local: Callable[[DataFrame], DataFrame] | None = None, split: Column | None = None,
+) -> DataFrame:
     """Builds trees from start cells: calc gives the coefficients of new cells, which split where they need to.
 
     prec < 0 or max_iter 0 keeps the grid. A cell splits by the tree's running norm: the scaling norm of the start
     cells and all wavelet norms so far. Each pass is written, so that no plan grows with the depth.
+    finish gets all nodes, inner ones too, as calc made them; without it the tree is rebuilt from its leaves. local adds to
+    cells the factor tight by which the precision is sharper there. split (a Column) replaces the test by norms.
     """
     payload = payload or []
     done: DataFrame | None = None
+    inner: DataFrame | None = None
     norms: DataFrame | None = None
     turn = 0
     while True:
         level = write_shared(with_norms(calc(cells), mra))
         w2 = F.aggregate(F.slice("comp_norm", 2, mra.blocks), F.lit(0.0), lambda a, x: a + x * x)
-        if prec < 0 or max_iter == turn:
+        if prec < 0 and split is None or max_iter == turn:
             done = level if done is None else done.unionByName(level)
             break
         part = level.groupBy("tree_id").agg(F.sum(w2 + (F.pow(F.col("comp_norm")[0], 2) if turn == 0 else 0.0)).alias("t2"))
         norms = write_shared(part if norms is None else norms.union(part).groupBy("tree_id").agg(F.sum("t2").alias("t2")))
         tree_norm = F.lit(1.0) if abs_prec else F.sqrt("t2")
-        split = (F.sqrt(w2) > threshold(prec, tree_norm, F.col("n"))) & (F.col("n") + 2 <= mra.max_scale)
-        judged = level.join(norms, "tree_id").withColumn("split", split)
-        kept = judged.where("not split").drop("t2", "split")
+        if split is None:
+            test = F.sqrt(w2) * (F.col("tight") if local else 1.0)
+            # tight multiplies the norm, as it would divide the precision
+            wants = test > threshold(prec, tree_norm, F.col("n"))
+        else:
+            wants = split
+        judged = level.join(norms, "tree_id")
+        judged = (local(judged) if local else judged).withColumn("split", wants & (F.col("n") + 2 <= mra.max_scale))
+        judged = judged.drop("t2", "tight")
+        kept = judged.where("not split").drop("split")
         done = kept if done is None else done.unionByName(kept)
+        if finish:
+            more = judged.where("split").drop("split").withColumn("is_end", F.lit(False))
+            inner = more if inner is None else inner.unionByName(more)
         cells = write_shared(children(judged.where("split").select(*TREE_KEY, *payload), mra.dim).select(*TREE_KEY, *payload))
         turn += 1
         if cells.isEmpty():
             break
+    if finish:
+        return finish(done if inner is None else done.unionByName(inner))
     return rebuild(done, mra)
 
 
@@ -102,20 +121,83 @@ def project_function(spark: SparkSession, mra: MRA, f: Callable[[np.ndarray], np
     return project(cells, mra, values, prec, **options)
 
 
+CUT = 60.0  # a Gaussian counts as 0 where its exponent is below minus this
+
+
+def project_functions(spark: SparkSession, mra: MRA, fs: dict[str, Callable[[np.ndarray], np.ndarray]], prec: float, **options) -> DataFrame:
+    """One tree for each callable f(points[N, D]) -> values[N], by name, all in one job."""
+    cells = start_grid(spark.createDataFrame([(name,) for name in fs], "tree_id string"), mra)
+
+    def values(pdf: pd.DataFrame, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(x.shape[:2])
+        for name, rows in pdf.reset_index(drop=True).groupby("tree_id").indices.items():
+            out[rows] = np.asarray(fs[name](x[rows].reshape(-1, mra.dim)), float).reshape(len(rows), -1)
+        return out
+
+    return project(cells, mra, values, prec, **options)
+
+
 def gaussian_values(pdf: pd.DataFrame, x: np.ndarray) -> np.ndarray:
-    """Sums of the Gaussian terms in each row's list column terms."""
-    out = np.zeros(x.shape[:2])
-    for i, terms in enumerate(pdf["terms"]):
-        for t in terms:
-            r = x[i] - np.asarray(t["pos"], float)
-            out[i] += t["coef"] * np.prod(r ** np.asarray(t["power"], int) * np.exp(-np.asarray(t["alpha"], float) * r * r), axis=1)
-    return out
+    """Values (rows, points) of each row's own Gaussian term at its points (rows, points, D)."""
+    pos, alpha, power = (np.stack(pdf[c].to_numpy()).astype(float)[:, None] for c in ("pos", "alpha", "power"))
+    r = x - pos
+    return pdf["coef"].to_numpy(float)[:, None] * np.prod(np.where(power == 0, 1.0, r**power), axis=2) * np.exp(-np.minimum((alpha * r * r).sum(2), 700.0))
+
+
+def near_cell(mra: MRA) -> Column:
+    """Whether the row's term reaches the row's cell, by the distance of the nearest point."""
+    far = []
+    for d in range(mra.dim):
+        side = F.pow(F.lit(2.0), -F.col("n")) * mra.world.sf[d]
+        gap = F.greatest(F.col(AXES[d]) * side - F.col("pos")[d], F.col("pos")[d] - (F.col(AXES[d]) + 1) * side, F.lit(0.0))
+        far.append(F.col("alpha")[d] * gap * gap)
+    return reduce(lambda a, b: a + b, far) < CUT
 
 
-def project_gaussians(gaussians: DataFrame, mra: MRA, prec: float, **options) -> DataFrame:
-    """One tree per fn_id of a Gaussian table."""
-    terms = gaussians.groupBy(F.col("fn_id").alias("tree_id")).agg(F.sort_array(F.collect_list(F.struct("term", "coef", "alpha", "pos", "power"))).alias("terms"))
-    return project(start_grid(terms, mra), mra, gaussian_values, prec, payload=["terms"], **options)
+def project_gaussians(gaussians: DataFrame, mra: MRA, prec: float, start: DataFrame | None = None, **options) -> DataFrame:
+    """One tree per fn_id of a Gaussian table, from the roots or from start cells (tree_id, n, l..).
 
+    Cells meet only the terms that reach them: the pairs of the cells that split are handed to the children that the
+    term still reaches. Values are summed over the pairs in each task, then by cell, so no cell gathers its terms in one row.
+    """
+    from mwspark.operators.arith import sum_arrays
+
+    terms = gaussians.withColumnRenamed("fn_id", "tree_id")
+    own = ["coef", "alpha", "pos", "power"]
+    points = mra.blocks * mra.size
+    values = "tree_id string, n int, lx int, ly int, lz int, coef array<double>"
+    held: dict[str, DataFrame] = {}
 
-__all__ = ["adaptive", "cell_points", "gaussian_values", "project", "project_function", "project_gaussians", "start_grid", "threshold"]
+    def evaluate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for at in range(0, len(pdf), 4096):
+                some = pdf.iloc[at : at + 4096]
+                v = gaussian_values(some, cell_points(some, mra))
+                cell = some.groupby(TREE_KEY, sort=False).ngroup().to_numpy()
+                total = np.zeros((cell.max(initial=-1) + 1, points))
+                np.add.at(total, cell, v)
+                yield some[TREE_KEY].drop_duplicates().reset_index(drop=True).assign(coef=list(total))
+
+    def calc(cells: DataFrame) -> DataFrame:
+        if "pairs" in held:
+            up = cells.select(*TREE_KEY, *[c.alias(f"p{k}") for c, k in zip(parent_key(), KEY, strict=True)])
+            before = held["pairs"].select("tree_id", *[F.col(k).alias(f"p{k}") for k in KEY], *own)
+            pairs = up.join(before, ["tree_id", *[f"p{k}" for k in KEY]])
+        else:
+            pairs = cells.join(terms.select("tree_id", *own), "tree_id")
+        held["pairs"] = pairs = write_shared(pairs.where(near_cell(mra)).select(*TREE_KEY, *own))
+        zero = cells.select(*TREE_KEY, F.array_repeat(F.lit(0.0), points).alias("coef"))
+        sums = sum_arrays(pairs.mapInPandas(evaluate, values).unionByName(zero), TREE_KEY, values, points, cells.count())
+
+        def coefs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                if len(pdf):
+                    yield keys_of(pdf).assign(is_end=True, coef=list(from_values(np.stack(pdf["coef"].to_numpy()), pdf.n.to_numpy(), mra)))
+
+        return sums.mapInPandas(coefs, NODE)
+
+    grid = start_grid(gaussians.select(F.col("fn_id").alias("tree_id")).distinct(), mra) if start is None else start
+    return adaptive(write_shared(grid.select(*TREE_KEY)), calc, mra, prec, **options)
+
+
+__all__ = ["adaptive", "cell_points", "gaussian_values", "project", "project_function", "project_functions", "project_gaussians", "start_grid", "threshold"]

@@ -80,6 +80,23 @@ def node_norm_dot(pairs: DataFrame, bra: DataFrame, ket: DataFrame, mra: MRA) ->
     return both.groupBy("bra_id", F.col("tree_id").alias("ket_id")).agg(F.sum(F.col("nb") * F.col("nk")).alias("bound"))
 
 
+def node_norm_dot_exact(pairs: DataFrame, bra: DataFrame, ket: DataFrame, mra: MRA) -> DataFrame:
+    """(bra_id, ket_id, bound) on one grid: both functions' values are squared in each leaf, and the squared products of the coefficients of these squares are summed."""
+    from mwspark.operators.transform import from_values, to_values
+
+    b = bra.where("is_end").select(F.col("tree_id").alias("bra_id"), *TREE_KEY[1:], F.col("coef").alias("cb"))
+    k = ket.where("is_end").select(F.col("tree_id").alias("ket_id"), *TREE_KEY[1:], F.col("coef").alias("ck"))
+    j = pairs.join(b, "bra_id").join(k, ["ket_id", *TREE_KEY[1:]])
+
+    def run(pdf: pd.DataFrame, a: np.ndarray) -> pd.DataFrame:
+        n = pdf.n.to_numpy()
+        squared = [from_values(to_values(x, n, mra) ** 2, n, mra) for x in (a, stack(pdf.ck, a.shape[1]))]
+        return pdf[["bra_id", "ket_id"]].assign(part=((squared[0] * squared[1]) ** 2).sum(1))
+
+    parts = map_coefs(j, "bra_id string, ket_id string, part double", run, mra.blocks * mra.size, "cb")
+    return parts.groupBy("bra_id", "ket_id").agg(F.sum("part").alias("bound"))
+
+
 def evaluate(points: DataFrame, nodes: DataFrame, mra: MRA, precise: bool = False) -> DataFrame:
     """(pid, tree_id, value) at points (pid, tree_id, x, ..): the scaling part of the leaf that holds the point.
 
@@ -126,4 +143,4 @@ def grid_cells(nodes: DataFrame, world: World) -> DataFrame:
     return nodes.where((F.col("n") == world.scale) | F.col("is_end")).select(*TREE_KEY, "is_end", *node_bounds(world))
 
 
-__all__ = ["dot_pairs", "evaluate", "grid_cells", "integrate", "integrate_end_nodes", "integrate_side", "lattice_points", "node_norm_dot", "square_norm", "stack", "tree_stats"]
+__all__ = ["dot_pairs", "evaluate", "grid_cells", "integrate", "integrate_end_nodes", "integrate_side", "lattice_points", "node_norm_dot", "node_norm_dot_exact", "square_norm", "stack", "tree_stats"]

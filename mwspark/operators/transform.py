@@ -1,7 +1,9 @@
 """Multiresolution transforms of whole trees.
 
-compress_up works from the leaves to the roots. It groups nodes by an anchor, the ancestor at a scale in
-between, and does the levels below it in one task; the few levels above follow by single joins of levels.
+compress_up and reconstruct_down work by bands of scales. The nodes of a band under one ancestor at the band's top are at most
+SUBTREE leaves' worth; a task takes some such subtrees, of any trees, by a hash and does all levels of the band.
+Between bands only the scaling blocks at the top of each subtree go on, and each band is written, so plans don't grow with
+the depth and no task holds more than its share, whatever the shape of the trees.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mwspark.functions import basis as B
-from mwspark.functions.trees import NODE, keys_of, map_coefs, stack, with_norms, write_shared
+from mwspark.functions.trees import NODE, keys_of, map_coefs, no_nodes, stack, with_norms, write_shared
 from mwspark.mra import AXES, KEY, MRA, TREE_KEY
 from mwspark.operators.keys import ancestors
 
+SUBTREE = 4096  # leaves of a subtree at most
+NODES_PER_TASK = 8192
 SCALING = "tree_id string, n int, lx int, ly int, lz int, s array<double>"
 
 
@@ -53,22 +57,41 @@ def _climb(pdf: pd.DataFrame, mra: MRA, stop: int) -> pd.DataFrame:
     return nodes.assign(is_end=False)[[*TREE_KEY, "is_end", "coef"]]
 
 
-def compress_up(scaling: DataFrame, mra: MRA, anchor: int | None = None) -> DataFrame:
+def band_height(dim: int) -> int:
+    """Levels of a band: a subtree of so many has SUBTREE leaves at most."""
+    return max(1, (SUBTREE.bit_length() - 1) // dim)
+
+
+def _subtree(scale: int, tasks: int):
+    """Column: the task of a node's subtree, by its ancestor at the given scale."""
+    return F.pmod(F.xxhash64("tree_id", *[F.expr(f"shiftright({a}, n - ({scale}))") for a in AXES]), F.lit(tasks)).alias("task")
+
+
+def _climb_to(mra: MRA, stop: int):
+    return lambda pdf: _climb(pdf, mra, stop)
+
+
+def compress_up(scaling: DataFrame, mra: MRA) -> DataFrame:
     """All nodes above the given scaling blocks (tree_id, n, l.., s), is_end false, without norms."""
-    stop = mra.world.scale
-    if anchor is None:  # a scale with cells enough to share out the work
-        seen = scaling.groupBy("n").count().orderBy("n").collect()
-        anchor = next((r[0] - 1 for r in seen if r[1] >= 512), stop)
-        anchor = max(stop, anchor)  # every level above it holds fewer than 512 nodes
-    below = scaling.where(F.col("n") > anchor)
-    up = [F.expr(f"shiftright({a}, n - {anchor})").alias(f"g{a}") for a in AXES]
-    low = below.groupBy("tree_id", *up).applyInPandas(lambda pdf: _climb(pdf, mra, anchor), NODE)
-    if anchor == stop:
-        return low
-    low = write_shared(low)
-    tops = low.where(F.col("n") == anchor).select(*TREE_KEY, F.slice("coef", 1, mra.size).alias("s"))
-    coarse = scaling.where(F.col("n") <= anchor).unionByName(tops)
-    return low.union(coarse.groupBy("tree_id").applyInPandas(lambda pdf: _climb(pdf, mra, stop), NODE))
+    stop, height = mra.world.scale, band_height(mra.dim)
+    scaling = write_shared(scaling)
+    count = {r[0]: r[1] for r in scaling.groupBy("n").count().collect()}
+    front = scaling.where(F.col("n") == max(count, default=stop)).select(*TREE_KEY, "s")
+    out = None
+    bottom = max(count, default=stop)
+    tops = 0
+    while bottom > stop:
+        anchor = max(stop, bottom - height)
+        inside = scaling.where((F.col("n") > anchor) & (F.col("n") < bottom)).select(*TREE_KEY, "s")
+        rows = sum(c for n, c in count.items() if anchor < n <= bottom) + tops
+        band = front.unionByName(inside)
+        task = _subtree(anchor, 1 + rows // NODES_PER_TASK)
+        band = write_shared(band.groupBy(task).applyInPandas(_climb_to(mra, anchor), NODE))
+        out = band if out is None else out.unionByName(band)
+        top = band.where(F.col("n") == anchor).select(*TREE_KEY, F.slice("coef", 1, mra.size).alias("s"))
+        tops = top.count() if anchor > stop else 0
+        front, bottom = scaling.where(F.col("n") == anchor).select(*TREE_KEY, "s").unionByName(top), anchor
+    return no_nodes(scaling.sparkSession) if out is None else out
 
 
 def rebuild(leaves: DataFrame, mra: MRA) -> DataFrame:
@@ -125,24 +148,61 @@ def push_down(leaves: DataFrame, target: DataFrame, mra: MRA) -> DataFrame:
     return map_coefs(j, NODE, run, mra.blocks * mra.size)
 
 
-def reconstruct_down(nodes: DataFrame, mra: MRA, add: bool = False) -> DataFrame:
-    """Scaling blocks of every node from the wavelets above it; with add, on top of what it has.
+def _descend(pdf: pd.DataFrame, mra: MRA, bottom: int, add: bool) -> pd.DataFrame:
+    """The nodes of some subtrees with the scaling blocks that come from above, and what they give to children at scale bottom (given)."""
+    width = mra.blocks * mra.size
+    given = pdf[pdf.given.to_numpy(bool)].reset_index(drop=True)
+    own = pdf[~pdf.given.to_numpy(bool)]
+    out = []
+    steps = B.child_steps(mra.dim)
+    for n in range(int(pdf.n.min()), bottom):
+        level = own[own.n == n].reset_index(drop=True)
+        if not len(level):
+            given = given[given.n > n]
+            continue
+        a = stack(level.coef, width)
+        from_above = given[given.n == n]
+        if len(from_above):
+            at = level[TREE_KEY].merge(from_above[TREE_KEY].assign(at=np.arange(len(from_above))), on=TREE_KEY, how="left")["at"].to_numpy(float)
+            hit = np.flatnonzero(~np.isnan(at))
+            s = stack(from_above.coef, mra.size)[at[hit].astype(int)]
+            a[hit, : mra.size] = s + (a[hit, : mra.size] if add else 0)
+        out.append(level[[*TREE_KEY, "is_end"]].assign(coef=list(a), given=False))
+        inner = np.flatnonzero(~level.is_end.to_numpy(bool))
+        if len(inner):
+            s = B.reconstruct(a[inner], mra.dim, mra.k, mra.basis).reshape(-1, mra.size)
+            keys = level[TREE_KEY].iloc[np.repeat(inner, mra.blocks)].reset_index(drop=True)
+            keys["n"] += 1
+            for d in range(mra.dim):
+                keys[AXES[d]] = 2 * keys[AXES[d]] + np.tile(steps[:, d], len(inner))
+            given = pd.concat([given, keys.assign(is_end=False, coef=list(s), given=True)], ignore_index=True)
+    left = given[given.n == bottom]
+    return pd.concat([*out, left[[*TREE_KEY, "is_end", "coef", "given"]]], ignore_index=True) if out or len(left) else pdf.iloc[:0][[*TREE_KEY, "is_end", "coef", "given"]]
 
-    Level by level from the roots; the levels above have been dealt with when a level is joined.
-    """
-    lo, hi = nodes.agg(F.min("n"), F.max("n")).first()
-    if lo is None:
-        return nodes
-    size = mra.size
-    level = nodes.where(F.col("n") == lo).select(*TREE_KEY, "is_end", "coef")
-    out = level
-    for n in range(lo, hi):
-        s = child_scaling(level, mra)
-        below = nodes.where(F.col("n") == n + 1).select(*TREE_KEY, "is_end", "coef").join(s, TREE_KEY, "left")
-        old, rest = F.slice("coef", 1, size), F.slice("coef", size + 1, F.size("coef"))
-        new = F.when(F.col("s").isNull(), old).otherwise(F.zip_with(old, "s", lambda a, b: a + b) if add else F.col("s"))
-        level = below.select(*TREE_KEY, "is_end", F.concat(new, rest).alias("coef"))
-        out = out.union(level)
+
+def _descend_to(mra: MRA, bottom: int, add: bool):
+    return lambda pdf: _descend(pdf, mra, bottom, add)
+
+
+def reconstruct_down(nodes: DataFrame, mra: MRA, add: bool = False) -> DataFrame:
+    """Scaling blocks of every node from the wavelets above it; with add, on top of what it has."""
+    nodes = write_shared(nodes.select(*TREE_KEY, "is_end", "coef", F.lit(False).alias("given")))
+    count = {r[0]: r[1] for r in nodes.groupBy("n").count().collect()}
+    if not count:
+        return with_norms(nodes.drop("given"), mra)
+    top, last, height = min(count), max(count), band_height(mra.dim)
+    given, out, passed = None, None, 0
+    while top <= last:
+        bottom = min(last + 1, top + height)
+        band = nodes.where((F.col("n") >= top) & (F.col("n") < bottom))
+        rows = sum(c for n, c in count.items() if top <= n < bottom) + passed
+        task = _subtree(top, 1 + rows // NODES_PER_TASK)
+        both = band if given is None else band.unionByName(given)
+        band = write_shared(both.groupBy(task).applyInPandas(_descend_to(mra, bottom, add), f"{NODE}, given boolean"))
+        done = band.where("not given").drop("given")
+        out = done if out is None else out.unionByName(done)
+        given, top = band.where("given"), bottom
+        passed = given.count() if top <= last else 0
     return with_norms(out, mra)
 
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mwspark.functions.basis import child_steps, values_to_coefs
 from mwspark.functions.gaussians import ROW
-from mwspark.functions.trees import with_norms
-from mwspark.mra import MRA, TREE_KEY
-from mwspark.operators.keys import end_nodes
+from mwspark.functions.shared import write_shared
+from mwspark.functions.trees import stack, with_norms
+from mwspark.mra import AXES, MRA, TREE_KEY
+from mwspark.operators.keys import children, end_nodes, parent_key
+from mwspark.operators.transform import SCALING, compress_up, to_values
 
 
 def save_trees(nodes: DataFrame, path: str, buckets: int = 16) -> None:
@@ -33,3 +40,77 @@ def read_gaussians(spark: SparkSession, path: str) -> DataFrame:
 
 def write_samples(points: DataFrame, path: str) -> None:
     points.write.option("header", True).csv(path)
+
+
+def export_leaf_text(nodes: DataFrame, mra: MRA, path: str) -> None:
+    """Text exchange of trees, a folder for each: the dimension, the world's bounds, points a side, how many cells, then for each child
+    of a leaf a line "scale l.." counted from the world's corner and a line of its values, x slowest and all axes from the last point.
+
+    Lines of a cell stay together in one file; the header is in the file that sorts first. Worlds are cubes from -L to L.
+    """
+    dim, k1 = mra.dim, mra.k + 1
+    if mra.world.corner != (-1,) * dim or mra.world.boxes != (2,) * dim:
+        raise ValueError("the text form takes worlds from -L to L only")
+    root, half = mra.world.scale, 2.0**-mra.world.scale
+    order = np.arange(k1**dim).reshape((k1,) * dim).transpose(*range(dim)[::-1])[(slice(None, None, -1),) * dim].ravel()
+
+    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        steps = child_steps(dim)
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            n = pdf.n.to_numpy()
+            v = to_values(stack(pdf.coef, mra.blocks * mra.size), n, mra).reshape(len(pdf), mra.blocks, -1)
+            out = []
+            for i, tree in enumerate(pdf.tree_id):
+                first = 2 * (pdf[list(AXES[:dim])].iloc[i].to_numpy(np.int64) + int(2.0 ** n[i] * half))
+                for c in range(mra.blocks):
+                    at = " ".join(map(str, [n[i] - root + 2, *(first + steps[c])]))
+                    out.append((tree, at + "\n" + " ".join(f"{x:.17g}" for x in v[i, c][order])))
+            yield pd.DataFrame(out, columns=["tree_id", "value"])
+
+    ends = nodes.where("is_end").select(*TREE_KEY, "coef")
+    body = ends.mapInPandas(cells, "tree_id string, value string").withColumn("rank", F.lit(1))
+    bounds = "\n".join(f"{-half * s:.14g} {half * s:.14g}" for s in mra.world.sf)
+    head = ends.groupBy("tree_id").agg(F.count("*").alias("c")).select("tree_id", F.concat(F.lit(f"{dim}\n{bounds}\n{k1}\n"), (F.col("c") * mra.blocks).cast("string")).alias("value"), F.lit(0).alias("rank"))
+    body.unionByName(head).repartition("tree_id").sortWithinPartitions("tree_id", "rank").select("tree_id", "value").write.partitionBy("tree_id").text(path)
+
+
+def import_leaf_text(spark: SparkSession, path: str, mra: MRA) -> DataFrame:
+    """Trees from the text form: siblings make a leaf, missing ones count as zero, and the leaves' ancestors are built up to the roots."""
+    dim, k1 = mra.dim, mra.k + 1
+    root, half = mra.world.scale, 2.0**-mra.world.scale
+    order = np.arange(k1**dim).reshape((k1,) * dim).transpose(*range(dim)[::-1])[(slice(None, None, -1),) * dim].ravel()
+    files = spark.read.option("wholetext", True).option("basePath", path).text(f"{path}/tree_id=*")
+    lines = F.split("value", "\n")
+    head = files.where(F.element_at(lines, 1) == str(dim)).select("tree_id", F.element_at(lines, dim + 2).cast("int").alias("k1"), *[F.split(F.element_at(lines, 2 + d), " ")[1].cast("double").alias(f"b{d}") for d in range(dim)])
+    odd = head.where((F.col("k1") != k1) | F.greatest(*[F.abs(F.col(f"b{d}") - half * mra.world.sf[d]) for d in range(dim)], F.lit(0.0)).__gt__(1e-9))
+    if not odd.isEmpty():
+        raise ValueError("the text's world or order is not that of the analysis")
+    # a cell is two lines one after another
+    numbered = files.select("tree_id", F.posexplode(lines).alias("i", "line")).where("line <> ''")
+    start = dim + 3  # lines of the header, which is at the head of the tree's one file
+    body = numbered.where(F.col("i") >= start).select("tree_id", ((F.col("i") - start) / 2).cast("int").alias("cell"), ((F.col("i") - start) % 2).alias("which"), "line")
+    cells = body.groupBy("tree_id", "cell").agg(F.max(F.when(F.col("which") == 0, F.col("line"))).alias("at"), F.max(F.when(F.col("which") == 1, F.col("line"))).alias("values"))
+    at = F.split(F.trim("at"), " +")
+    n = (at[0].cast("int") + root - 1).alias("n")
+    keys = [(at[d + 1].cast("long") - F.pow(F.lit(2.0), at[0].cast("int") + root - 1).cast("long") * int(half)).cast("int").alias(a) if d < dim else F.lit(0).alias(a) for d, a in enumerate(AXES)]
+    child = cells.select("tree_id", n, *keys, F.transform(F.split(F.trim("values"), " +"), lambda x: x.cast("double")).alias("v"))
+
+    def scaling(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        back = np.argsort(order)
+        for pdf in frames:
+            if len(pdf):
+                v = stack(pdf.v, mra.size)[:, back]
+                yield pdf[TREE_KEY].assign(s=list(values_to_coefs(v, dim, mra.k, mra.basis, pdf.n.to_numpy(), mra.world.volume_factor)))
+
+    inner = compress_up(child.mapInPandas(scaling, SCALING), mra)
+    nodes = write_shared(inner.select(*TREE_KEY, "coef"))
+    # siblings of a deep node that the text left out are leaves of zeros
+    inner_keys = nodes.select("tree_id", *parent_key()).where(F.col("n") >= root).distinct()
+    zero = F.array_repeat(F.lit(0.0), mra.blocks * mra.size)
+    missing = children(inner_keys, dim).select(*TREE_KEY).join(nodes.select(*TREE_KEY), TREE_KEY, "left_anti").select(*TREE_KEY, zero.alias("coef"))
+    whole = write_shared(nodes.unionByName(missing))
+    ends = end_nodes(whole.select(*TREE_KEY)).select(*TREE_KEY, F.lit(True).alias("is_end"))
+    flagged = whole.join(ends, TREE_KEY, "left").select(*TREE_KEY, F.coalesce("is_end", F.lit(False)).alias("is_end"), "coef")
+    return with_norms(flagged, mra)
