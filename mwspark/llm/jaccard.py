@@ -123,8 +123,8 @@ def alike(a: Column, b: Column) -> Column:
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, n, items) of the given classes; texts that a bounded bitmap rules out never leave their task."""
-    classes = cut(classes.distinct())
+    """(cls, n, items, wide) of the given classes (cls, wide); texts that a bounded bitmap rules out never leave their task."""
+    classes = cut(classes.groupBy("cls").agg(F.max("wide").alias("wide")))
     bits = min(FILTER_BITS, max(16, int(16 * max(1, classes.count())).bit_length()))
     place = F.shiftrightunsigned("cls", 64 - bits)
     bytes_ = classes.select(F.shiftright(place, 3).cast("int").alias("w"), (place % 8).cast("int").alias("k")).distinct().groupBy("w").agg(F.sum(F.pow(F.lit(2), F.col("k"))).cast("int").alias("x")).toPandas()
@@ -147,7 +147,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pd.DataFrame(kept, columns=["cls", "n", "items"])
 
     found = docs.mapInPandas(run, "cls long, n int, items array<long>")
-    return cut(found.groupBy("cls").agg(F.first("n").alias("n"), F.first("items").alias("items")).join(classes, "cls", "left_semi"))
+    return cut(found.groupBy("cls").agg(F.first("n").alias("n"), F.first("items").alias("items")).join(classes, "cls"))
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -191,9 +191,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     enough = F.col("o") + F.least("x.h", "y.h") + F.greatest(rest(F.col("x.n")), rest(F.col("y.n"))) >= F.ceil((F.col("x.n") + F.col("y.n")) * 3 / 7)
     close = pairs_within(small, "key", "struct(cls, n, h)").where(alike(F.col("x.n"), F.col("y.n"))).groupBy("x", "y").agg(F.count("*").alias("o")).where(enough)
     close = cut(close.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")))
-    sets = whole_sets(texts, close.select(F.col("a").alias("cls")).union(close.select("b")).union(wide.select("cls")))
+    narrow = close.select(F.col("a").alias("cls")).union(close.select("b")).select("cls", F.lit(False).alias("wide"))
+    sets = whole_sets(texts, narrow.union(wide.select("cls", F.lit(True).alias("wide"))))
     links = cut(distances(close, sets).where(LINK).select("a", "b"))
-    links = link_large(large.select(F.col("key").alias("g"), "cls", "c"), sets, links)
+    links = link_large(large.select(F.col("key").alias("g"), "cls", "c"), sets.where("wide").select("cls", "n", "items"), links)
     root = components(links).select(F.col("node").alias("cls"), "root")
     named = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least")).join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = cut(named)
@@ -310,11 +311,14 @@ def links_of_block(query: pd.DataFrame, member: pd.DataFrame) -> pd.DataFrame:
     return out.groupby(["a", "comp"], as_index=False).min()[["a", "b"]]
 
 
-def links_of_regions(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(a, b): what the strange members of some whole regions (g, cls, n, items, comp, strange) of bounded size link to."""
+def links_of_regions(keys: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    """(a, b): what the strange members of some whole regions (g, cls, comp, strange) of bounded size link to; texts has their sets."""
     found = []
-    for _, own in pdf.groupby("g"):
+    texts = texts.sort_values("cls").reset_index(drop=True)
+    for _, own in keys.groupby("g"):
         own = own.sort_values("cls").reset_index(drop=True)
+        of = texts.iloc[np.searchsorted(texts.cls.to_numpy(), own.cls.to_numpy())]
+        own["n"], own["items"] = of.n.to_numpy(), of["items"].to_numpy()
         cells = deal(own, pivots_of(own[:: 1 + len(own) // (2 * SAMPLED)]))
         at = np.searchsorted(own.cls.to_numpy(), cells.cls.to_numpy())
         cells["comp"], strange = own.comp.to_numpy()[at], own.strange.to_numpy(bool)[at]
@@ -359,14 +363,17 @@ def link_large(group: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame
     first = group.groupBy("cls").agg(F.max(F.struct("c", "g"))["g"].alias("g")).select("g", "cls", F.lit(True).alias("strange"))
     links = cut(links.union(near_pivots(cells_of(cut(first), sets))).distinct())
     keys = open_regions(group, links)
-    size = keys.groupBy("g").agg(F.count("*").alias("c"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who"))
-    # regions of the same members are one region
-    size = size.groupBy("c", "who").agg(F.min("g").alias("g")).select("g", "c")
-    keys = cut(keys.join(size, "g"))
-    small = keys.where(F.col("c") <= MEMBERS)
-    task = F.pmod(F.xxhash64("g"), F.lit(1 + small.count() // DEALT)).alias("task")
-    whole = small.join(sets, "cls").select("g", "cls", "n", "items", "comp", "strange", task)
-    links = cut(links.union(whole.groupBy("task").applyInPandas(lambda pdf: links_of_regions(pdf), "a long, b long")).distinct())
+    size = keys.groupBy("g").agg(F.count("*").alias("c"), F.min("cls").alias("least"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who"))
+    # regions of the same members are one region; those that share their least member go to few tasks, which get each text once
+    size = cut(size.groupBy("c", "least", "who").agg(F.min("g").alias("g")).select("g", "c", "least"))
+    some = size.where(F.col("c") <= MEMBERS)
+    rows = some.groupBy("least").agg(F.sum("c").alias("rows"))
+    tasks = 1 + (some.agg(F.sum("c")).first()[0] or 0) // (4 * DEALT)
+    task = F.pmod(F.xxhash64("least", F.pmod(F.xxhash64("g", F.lit(3)), F.ceil(F.col("rows") / (4 * DEALT)))), F.lit(tasks)).alias("task")
+    small = cut(keys.join(some.join(rows, "least").select("g", task), "g"))
+    texts = small.select(F.col("cls").alias("cls"), F.col("task").alias("task")).distinct().join(sets, "cls").select(*[F.col(c).alias(c) for c in ("task", "cls", "n", "items")])
+    links = cut(links.union(small.groupBy("task").cogroup(texts.groupBy("task")).applyInPandas(links_of_regions, "a long, b long")).distinct())
+    keys = keys.join(size, "g")
     keys = open_regions(keys.where(F.col("c") > MEMBERS), links)
     before = keys.where("strange").count()
     while before:
