@@ -1,7 +1,8 @@
 """The registered queries over the given tables, and equivalent SQL where there is one.
 
-Points come from lineitem rows, cells from points, Gaussians from supplier rows, and Haar (order 0) trees from
-sums over part keys, so that everything grows with the tables.
+Points come from lineitem rows, cells from points, Gaussians from supplier rows (one function a nation), Haar (order 0) trees from
+sums over part keys: one tree for each supplier, so that trees and nodes grow with the tables, and one for each return flag where
+all pairs of functions are asked for. Order-1 trees in two dimensions have about as many leaves as lineitem has rows.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mwspark.functions import gaussians as G
-from mwspark.functions.trees import write_shared
+from mwspark.functions import kernels as K
+from mwspark.functions.trees import with_norms, write_shared
 from mwspark.mra import MRA, TREE_KEY, World
-from mwspark.operators import arith, derivative, grid, keys, linalg, project, reduce, transform
+from mwspark.operators import arith, components, convolution, derivative, grid, keys, linalg, project, reduce, transform
 
 WORLD3 = World(3, -2, (-1, -1, -1), (2, 2, 2))
 WORLD1 = World(1, 0)
@@ -62,36 +64,60 @@ def gaussians(spark: SparkSession, sf_dir: str, powers: bool = False, dim: int =
     per = lambda a: F.array(*a[:dim])
     power = per([(k % 3).cast("int"), (k % 2).cast("int"), F.lit(0)]) if powers else per([F.lit(0)] * 3)
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
-        F.concat(F.lit("g"), F.col("s_nationkey").cast("string")).alias("fn_id"), k.cast("int").alias("term"), (F.col("s_acctbal") / 1000).alias("coef"),
+        F.concat(F.lit("g"), F.col("s_nationkey").cast("string")).alias("fn_id"), k.cast("long").alias("term"), (F.col("s_acctbal") / 1000).alias("coef"),
         per([(k % 5 + 1).cast("double"), (k % 3 + 1).cast("double"), (k % 2 + 1).cast("double")]).alias("alpha"),
         per([k % 17 / 8.5 - 1, k % 13 / 6.5 - 1, k % 11 / 5.5 - 1]).alias("pos"), power.alias("power"),
     )
 
 
-GAUSS = """gs AS (SELECT 'g' || s_nationkey AS fn_id, CAST(s_suppkey AS INT) AS term, s_acctbal / 1000 AS coef,
+GAUSS = """gs AS (SELECT 'g' || s_nationkey AS fn_id, s_suppkey AS term, s_acctbal / 1000 AS coef,
   CAST(s_suppkey % 5 + 1 AS DOUBLE) AS a0, CAST(s_suppkey % 3 + 1 AS DOUBLE) AS a1, CAST(s_suppkey % 2 + 1 AS DOUBLE) AS a2,
   s_suppkey % 17 / 8.5 - 1 AS x0, s_suppkey % 13 / 6.5 - 1 AS x1, s_suppkey % 11 / 5.5 - 1 AS x2,
   CAST(s_suppkey % 3 AS INT) AS p0, CAST(s_suppkey % 2 AS INT) AS p1 FROM supplier)"""
 
 
-def haar_scaling(spark: SparkSession, sf_dir: str, value: str = "l_quantity") -> DataFrame:
-    """Scaling blocks at scale LEAF: one function per return flag, its value in a cell the sum of value over part keys."""
+FLAG, SUPPLIER = "l_returnflag", "'s' || l_suppkey"
+
+
+def haar_scaling(spark: SparkSession, sf_dir: str, value: str = "l_quantity", by: str = FLAG) -> DataFrame:
+    """Scaling blocks at scale LEAF: one function for each by, its value in a cell the sum of value over part keys."""
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     cell = (F.col("l_partkey") % 2**LEAF).cast("int").alias("lx")
-    sums = t.groupBy(F.col("l_returnflag").alias("tree_id"), cell).agg(F.sum(value).cast("double").alias("f"))
+    sums = t.groupBy(F.expr(by).alias("tree_id"), cell).agg(F.sum(value).cast("double").alias("f"))
     return sums.select("tree_id", F.lit(LEAF).alias("n"), "lx", F.lit(0).alias("ly"), F.lit(0).alias("lz"), F.array(F.col("f") * 2.0 ** (-LEAF / 2)).alias("s"))
 
 
-def haar(spark: SparkSession, sf_dir: str, value: str = "l_quantity") -> DataFrame:
+def haar(spark: SparkSession, sf_dir: str, value: str = "l_quantity", by: str = FLAG) -> DataFrame:
     """The trees above these blocks; nodes of scale LEAF - 1 are the leaves."""
-    from mwspark.functions.trees import with_norms
-
-    nodes = transform.compress_up(haar_scaling(spark, sf_dir, value), HAAR).withColumn("is_end", F.col("n") == LEAF - 1)
+    nodes = transform.compress_up(haar_scaling(spark, sf_dir, value, by), HAAR).withColumn("is_end", F.col("n") == LEAF - 1)
     return write_shared(with_norms(nodes, HAAR))
 
 
-def haar_sql(value: str = "l_quantity", name: str = "leaf") -> str:
-    return f"{name} AS (SELECT l_returnflag AS tree_id, CAST(l_partkey % {2**LEAF} AS INT) AS l, CAST(SUM({value}) AS DOUBLE) AS f FROM lineitem GROUP BY 1, 2)"
+def haar_sql(value: str = "l_quantity", name: str = "leaf", by: str = FLAG) -> str:
+    return f"{name} AS (SELECT {by} AS tree_id, CAST(l_partkey % {2**LEAF} AS INT) AS l, CAST(SUM({value}) AS DOUBLE) AS f FROM lineitem GROUP BY 1, 2)"
+
+
+PLANE = MRA(World(2, 0), 1, "legendre")
+PLANE_LEAF = 8
+
+
+def plane_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-1 scaling blocks in two dimensions: f x on the cell of a part and an order, f the sum of quantities; a tree for each hundred suppliers."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    side = 2.0**-PLANE_LEAF
+    cell = [(F.col(c) % 2**PLANE_LEAF).cast("int").alias(k) for c, k in (("l_partkey", "lx"), ("l_orderkey", "ly"))]
+    sums = t.groupBy(F.concat(F.lit("p"), F.floor(F.col("l_suppkey") / 100).cast("string")).alias("tree_id"), *cell).agg(F.sum("l_quantity").cast("double").alias("f"))
+    # x = side (lx + 1/2 + P1 / 2) in the cell, in orthonormal Legendre polynomials: 1 and sqrt(3) P1
+    mean, slope = F.col("f") * side * (F.col("lx") + 0.5), F.col("f") * side / (2 * np.sqrt(3.0))
+    return sums.select("tree_id", F.lit(PLANE_LEAF).alias("n"), "lx", "ly", F.lit(0).alias("lz"), F.array(mean * side, slope * side, F.lit(0.0), F.lit(0.0)).alias("s"))
+
+
+def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = transform.compress_up(plane_scaling(spark, sf_dir), PLANE).withColumn("is_end", F.col("n") == PLANE_LEAF - 1)
+    return write_shared(with_norms(nodes, PLANE))
+
+
+PLANE_SQL = f"""cell AS (SELECT 'p' || CAST(l_suppkey // 100 AS VARCHAR) AS tree_id, CAST(l_partkey % {2**PLANE_LEAF} AS INT) AS lx, CAST(l_orderkey % {2**PLANE_LEAF} AS INT) AS ly, CAST(sum(l_quantity) AS DOUBLE) AS f FROM lineitem GROUP BY 1, 2, 3)"""
 
 
 # --- index and geometry ---------------------------------------------------------------------------------------------
@@ -168,16 +194,30 @@ def _(spark, sf_dir):
     return q.groupBy("n", "lx", "ly", "lz").agg(F.count("*").alias("n_points"), F.round(F.sum("weight"), 9).alias("volume"), F.round(F.sum(F.col("weight") * F.pow("x", F.lit(3))), 6).alias("cube_x"))
 
 
-@query("b10_end_node_of", f"""WITH {POINTS}, {cells_sql(1, "leaf")}, {cells_sql(4, "k")} SELECT lx AS ex, ly AS ey, lz AS ez, (SELECT count(*) FROM k WHERE floor(k.lx / 8.0) = leaf.lx AND floor(k.ly / 8.0) = leaf.ly AND floor(k.lz / 8.0) = leaf.lz) AS n_keys FROM leaf WHERE lx % 2 = 0""")
+RAGGED = f"""ragged AS (SELECT n, lx, ly, lz FROM (SELECT 1 AS n, CAST(floor(x * 2) AS INT) AS lx, CAST(floor(y * 2) AS INT) AS ly, CAST(floor(z * 2) AS INT) AS lz, count(*) AS c FROM pts GROUP BY 1, 2, 3, 4) WHERE c <= (SELECT count(*) / 1500 FROM pts)),
+fine AS (SELECT DISTINCT 2 AS n, CAST(floor(x * 4) AS INT) AS lx, CAST(floor(y * 4) AS INT) AS ly, CAST(floor(z * 4) AS INT) AS lz FROM pts),
+leaf AS (SELECT * FROM ragged UNION ALL SELECT f.* FROM fine f WHERE NOT EXISTS (SELECT 1 FROM ragged r WHERE r.lx = floor(f.lx / 2.0) AND r.ly = floor(f.ly / 2.0) AND r.lz = floor(f.lz / 2.0)))"""
+
+
+def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of scale 1 that hold few points, and those of scale 2 elsewhere."""
+    p = points(spark, sf_dir)
+    few = p.groupBy(*keys.point_key(WORLD3, 1)).agg(F.count("*").alias("c")).where(F.col("c") <= p.count() / 1500).drop("c")
+    fine = cells(spark, sf_dir, 2)
+    up = fine.select("*", *[F.shiftright(a, 1).alias("p" + a) for a in ("lx", "ly", "lz")])
+    rest = up.join(few.select(*[F.col(a).alias("p" + a) for a in ("lx", "ly", "lz")]), ["plx", "ply", "plz"], "left_anti").select("n", "lx", "ly", "lz")
+    return few.unionByName(rest)
+
+
+@query("b10_end_node_of", f"WITH {POINTS}, {RAGGED}, {cells_sql(4, 'k')} SELECT leaf.n AS en, leaf.lx AS ex, leaf.ly AS ey, leaf.lz AS ez, count(*) AS n_keys FROM leaf JOIN k ON floor(k.lx / pow(2, 4 - leaf.n)) = leaf.lx AND floor(k.ly / pow(2, 4 - leaf.n)) = leaf.ly AND floor(k.lz / pow(2, 4 - leaf.n)) = leaf.lz GROUP BY 1, 2, 3, 4")
 def _(spark, sf_dir):
-    leaves = cells(spark, sf_dir, 1).where("lx % 2 = 0")
-    return keys.end_node_of(cells(spark, sf_dir, 4), leaves, WORLD3).groupBy("ex", "ey", "ez").agg(F.count("*").alias("n_keys"))
+    return keys.end_node_of(cells(spark, sf_dir, 4), ragged(spark, sf_dir), WORLD3).groupBy("en", "ex", "ey", "ez").agg(F.count("*").alias("n_keys"))
 
 
-@query("b11_end_nodes", f"""WITH {POINTS}, {cells_sql(1, "a")}, {cells_sql(2, "b")}, u AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE lx % 4 = 1)
+@query("b11_end_nodes", f"""WITH {POINTS}, {RAGGED}, u AS (SELECT * FROM leaf UNION SELECT 1 AS n, CAST(floor(lx / 2.0) AS INT), CAST(floor(ly / 2.0) AS INT), CAST(floor(lz / 2.0) AS INT) FROM fine)
 SELECT n, count(*) AS n_end FROM u WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.n = u.n + 1 AND floor(v.lx / 2.0) = u.lx AND floor(v.ly / 2.0) = u.ly AND floor(v.lz / 2.0) = u.lz) GROUP BY 1""")
 def _(spark, sf_dir):
-    nodes = cells(spark, sf_dir, 1).unionByName(cells(spark, sf_dir, 2).where("lx % 4 = 1"))
+    nodes = ragged(spark, sf_dir).unionByName(cells(spark, sf_dir, 2).select(*keys.parent_key())).distinct()
     return keys.end_nodes(nodes, tree_key=False).groupBy("n").agg(F.count("*").alias("n_end"))
 
 
@@ -195,7 +235,14 @@ def _(spark, sf_dir):
     return g.groupBy("n").agg(F.count("*").alias("n_cells"), F.sum("lx").cast("double").alias("sum_lx"))
 
 
-@query("c3_build_gaussian_grid")
+SEES = "(c.n >= -floor(log2(3 / sqrt(2 * gs.a0))) AND c.n >= -floor(log2(3 / sqrt(2 * gs.a1))))"
+AWAY = " OR ".join(f"gs.x{d} + 5 / sqrt(2 * gs.a{d}) < c.{a} * pow(2, -c.n) OR gs.x{d} - 5 / sqrt(2 * gs.a{d}) > (c.{a} + 1) * pow(2, -c.n)" for d, a in ((0, "lx"), (1, "ly")))
+
+
+@query("c3_build_gaussian_grid", f"""WITH RECURSIVE {GAUSS.replace("AS DOUBLE) AS a", "AS DOUBLE) * 200 AS a")}, f AS (SELECT DISTINCT fn_id FROM gs), two AS (SELECT CAST(range AS INT) AS b FROM range(2)),
+c AS (SELECT fn_id, -1 AS n, CAST(i.range AS INT) - 1 AS lx, CAST(j.range AS INT) - 1 AS ly FROM f, range(2) i, range(2) j
+UNION SELECT c.fn_id, c.n + 1, 2 * c.lx + p.b, 2 * c.ly + q.b FROM c JOIN gs ON gs.fn_id = c.fn_id AND NOT {SEES} AND NOT ({AWAY}), two p, two q)
+SELECT fn_id AS tree_id, n, count(*) AS n_cells FROM c GROUP BY 1, 2""")
 def _(spark, sf_dir):
     """The grid that each sum of Gaussians calls for."""
     g = gaussians(spark, sf_dir).withColumn("alpha", F.transform("alpha", lambda a: a * 200))
@@ -209,69 +256,116 @@ def _(spark, sf_dir):
     return grid.union_grid([cells(spark, sf_dir, 2, "a"), fine, up], "u").groupBy("n").agg(F.count("*").alias("n_cells"))
 
 
-@query("c7_refine_uniform", f"WITH {haar_sql()} SELECT tree_id, round(sum(f) / {2**LEAF} + 3.7e-7, 4) AS integral, count(DISTINCT l // 2) * 2 AS n_end FROM leaf GROUP BY 1")
+@query("c7_refine_uniform", f"WITH {haar_sql(by=SUPPLIER)} SELECT tree_id, round(sum(f) / {2**LEAF} + 3.7e-7, 4) AS integral, count(DISTINCT l // 2) * 2 AS n_end FROM leaf GROUP BY 1")
 def _(spark, sf_dir):
-    t = grid.refine_uniform(haar(spark, sf_dir), HAAR)
+    t = grid.refine_uniform(haar(spark, sf_dir, by=SUPPLIER), HAAR)
     ends = t.where("is_end").groupBy("tree_id").agg(F.count("*").alias("n_end"))
     return reduce.integrate(t, HAAR).join(ends, "tree_id").select("tree_id", F.round(F.col("integral") + 3.7e-7, 4).alias("integral"), "n_end")
 
 
-@query("c11_crop")
+def _scales_sql(by: str, what: str) -> str:
+    """For each scale n < LEAF and cell: sums s (left child a, right child b) of the Haar functions."""
+    return f"WITH {haar_sql(by=by)}, sc AS (SELECT CAST(range AS INT) AS n FROM range({LEAF})), h AS (SELECT tree_id, n, CAST(l // CAST(pow(2, {LEAF} - n) AS INT) AS INT) AS lx, sum(CASE WHEN l // CAST(pow(2, {LEAF} - 1 - n) AS INT) % 2 = 0 THEN f ELSE 0 END) AS a, sum(CASE WHEN l // CAST(pow(2, {LEAF} - 1 - n) AS INT) % 2 = 1 THEN f ELSE 0 END) AS b FROM leaf, sc GROUP BY 1, 2, 3) {what}"
+
+
+def _crop_sql(prec: float) -> str:
+    """The bottom-up rule, level by level: cut where a child is a leaf or cut and the own wavelet is small."""
+    top = LEAF - 1
+    steps, union = [], "SELECT tree_id, n, lx FROM h WHERE n = -1"
+    for n in range(top - 1, -1, -1):
+        below = f"SELECT tree_id, lx FROM h WHERE n = {top}" if n == top - 1 else f"SELECT tree_id, lx FROM cut{n + 1}"
+        steps.append(f"cut{n} AS (SELECT j.tree_id, j.n, j.lx FROM j WHERE j.n = {n} AND j.small AND EXISTS (SELECT 1 FROM ({below}) b WHERE b.tree_id = j.tree_id AND b.lx // 2 = j.lx))")
+        union += f" UNION ALL SELECT * FROM cut{n}"
+    return _scales_sql(SUPPLIER, f""", t AS (SELECT tree_id, sqrt(sum(f * f) / {2**LEAF}) AS t FROM leaf GROUP BY 1),
+j AS (SELECT h.tree_id, n, lx, abs(a - b) * pow(2, -{LEAF}) * pow(2, n / 2.0) <= greatest(2e-15, {prec} * t * pow(2, -0.5 * (n + 1))) AS small FROM h JOIN t ON h.tree_id = t.tree_id), {", ".join(steps)}, cut AS ({union}),
+k AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.tree_id = h.tree_id AND cut.n < h.n AND h.lx // CAST(pow(2, h.n - cut.n) AS INT) = cut.lx))
+SELECT k.tree_id, count(*) AS n_nodes, CAST(sum(CASE WHEN k.n = {top} OR cut.n IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_end FROM k LEFT JOIN cut ON cut.tree_id = k.tree_id AND cut.n = k.n AND cut.lx = k.lx GROUP BY 1""")
+
+
+@query("c11_crop", _crop_sql(0.3))
 def _(spark, sf_dir):
     """Nodes left in each tree when small wavelets are pruned."""
-    t = haar(spark, sf_dir)
-    return grid.crop(t, HAAR, 0.05, abs_prec=False).groupBy("tree_id").agg(F.count("*").alias("n_nodes"), F.sum(F.col("is_end").cast("int")).alias("n_end"))
+    t = haar(spark, sf_dir, by=SUPPLIER)
+    return grid.crop(t, HAAR, 0.3, abs_prec=False).groupBy("tree_id").agg(F.count("*").alias("n_nodes"), F.sum(F.col("is_end").cast("int")).alias("n_end"))
 
 
-def _scales_sql(what: str) -> str:
-    """For each scale n < LEAF and cell: sums s (left child a, right child b) of the Haar functions."""
-    return f"WITH {haar_sql()}, sc AS (SELECT CAST(range AS INT) AS n FROM range({LEAF})), h AS (SELECT tree_id, n, CAST(l // CAST(pow(2, {LEAF} - n) AS INT) AS INT) AS lx, sum(CASE WHEN l // CAST(pow(2, {LEAF} - 1 - n) AS INT) % 2 = 0 THEN f ELSE 0 END) AS a, sum(CASE WHEN l // CAST(pow(2, {LEAF} - 1 - n) AS INT) % 2 = 1 THEN f ELSE 0 END) AS b FROM leaf, sc GROUP BY 1, 2, 3) {what}"
+@query("c8_refine_adaptive", _scales_sql(SUPPLIER, f", t AS (SELECT tree_id, sqrt(sum(f * f) / {2**LEAF}) AS t FROM leaf GROUP BY 1) SELECT h.tree_id, CAST(count(*) + sum(CASE WHEN abs(a - b) * pow(2, -{LEAF}) * pow(2, n / 2.0) > greatest(2e-15, 0.2 * t * pow(2, -0.5 * (n + 1))) THEN 1 ELSE 0 END) AS BIGINT) AS n_end FROM h JOIN t ON t.tree_id = h.tree_id WHERE n = {LEAF - 1} GROUP BY 1"))
+def _(spark, sf_dir):
+    """Leaves after one adaptive split step."""
+    t, _new = grid.refine_adaptive(haar(spark, sf_dir, by=SUPPLIER), HAAR, 0.2)
+    return t.where("is_end").groupBy("tree_id").agg(F.count("*").alias("n_end"))
+
+
+@query("c9_refine_like", f"WITH {haar_sql(by=SUPPLIER)} SELECT tree_id, round(sum(f * f) / {2**LEAF} + 3.7e-5, 2) AS square_norm, count(DISTINCT l // 2) * 2 AS n_end FROM leaf GROUP BY 1")
+def _(spark, sf_dir):
+    """One step towards a finer tree; the function stays."""
+    t = haar(spark, sf_dir, by=SUPPLIER)
+    finer = grid.refine_like(t, write_shared(grid.refine_uniform(t, HAAR, 2)), HAAR)
+    ends = finer.where("is_end").groupBy("tree_id").agg(F.count("*").alias("n_end"))
+    return reduce.square_norm(finer).join(ends, "tree_id").select("tree_id", F.round(F.col("square_norm") + 3.7e-5, 2).alias("square_norm"), "n_end")
+
+
+@query("c12_compress_plane", f"""WITH {PLANE_SQL}, sc AS (SELECT CAST(range AS INT) AS n FROM range({PLANE_LEAF})),
+h AS (SELECT tree_id, n, lx // CAST(pow(2, {PLANE_LEAF} - n) AS INT) AS a, ly // CAST(pow(2, {PLANE_LEAF} - n) AS INT) AS b, sum(f * (lx + 0.5)) AS s FROM cell, sc GROUP BY 1, 2, 3, 4)
+SELECT tree_id, n, count(*) AS n_nodes, round(sum(s) * pow(2, -{3 * PLANE_LEAF}) + 3.7e-7, 4) AS integral, round(sum(s * s) * pow(2, 2 * n) * pow(2, -{6 * PLANE_LEAF}) + 3.7e-7, 4) AS mean_square FROM h GROUP BY 1, 2""")
+def _(spark, sf_dir):
+    """By scale: nodes, and the sum and square sum of their means, of order-1 trees in two dimensions."""
+    t = plane(spark, sf_dir)
+    mean = F.col("coef")[0]
+    return t.groupBy("tree_id", "n").agg(F.count("*").alias("n_nodes"), F.round(F.sum(mean * F.pow(F.lit(2.0), -F.col("n"))) + 3.7e-7, 4).alias("integral"), F.round(F.sum(mean * mean) + 3.7e-7, 4).alias("mean_square"))
+
+
+@query("c13_reconstruct_plane", f"""WITH {PLANE_SQL} SELECT tree_id, count(DISTINCT lx // 2 * 1000 + ly // 2) AS n_end, round(sum(f * f * (pow(lx + 1, 3) - pow(lx, 3)) / 3) * pow(2, -{4 * PLANE_LEAF}) + 3.7e-7, 4) AS square_norm, round(sum(f * (lx + 0.5)) * pow(2, -{3 * PLANE_LEAF}) + 3.7e-7, 4) AS integral FROM cell GROUP BY 1""")
+def _(spark, sf_dir):
+    """The leaves' norms and integrals after all scaling blocks below the roots were dropped and rebuilt from the wavelets."""
+    t = plane(spark, sf_dir)
+    dropped = F.when(F.col("n") == 0, F.col("coef")).otherwise(F.transform("coef", lambda x, i: F.when(i < PLANE.size, 0.0).otherwise(x)))
+    ends = transform.reconstruct_down(t.select(*TREE_KEY, "is_end", dropped.alias("coef")), PLANE).where("is_end")
+    return ends.groupBy("tree_id").agg(F.count("*").alias("n_end"), F.round(F.sum("sq_norm") + 3.7e-7, 4).alias("square_norm"), F.round(F.sum(F.col("coef")[0] * F.pow(F.lit(2.0), -F.col("n"))) + 3.7e-7, 4).alias("integral"))
 
 
-@query("c12_compress_up", _scales_sql(f"SELECT tree_id, n, lx, round((a + b) * pow(2, -{LEAF}) * pow(2, n / 2.0) + 3.7e-7, 4) AS s, round(pow((a - b) * pow(2, -{LEAF}) * pow(2, n / 2.0), 2) + 3.7e-6, 3) AS w2 FROM h"))
+@query("c12_compress_up", _scales_sql(SUPPLIER, f"SELECT tree_id, n, lx, round((a + b) * pow(2, -{LEAF}) * pow(2, n / 2.0) + 3.7e-7, 4) AS s, round(pow((a - b) * pow(2, -{LEAF}) * pow(2, n / 2.0), 2) + 3.7e-6, 3) AS w2 FROM h"))
 def _(spark, sf_dir):
     """Scaling coefficients and squared wavelet coefficients of all nodes."""
-    t = haar(spark, sf_dir)
+    t = haar(spark, sf_dir, by=SUPPLIER)
     return t.select("tree_id", "n", "lx", F.round(F.col("coef")[0] + 3.7e-7, 4).alias("s"), F.round(F.pow(F.col("coef")[1], 2) + 3.7e-6, 3).alias("w2"))
 
 
-@query("c13_reconstruct_down", f"WITH {haar_sql()} SELECT tree_id, CAST(0 AS DOUBLE) AS worst FROM leaf GROUP BY 1")
+@query("c13_reconstruct_down", _scales_sql(SUPPLIER, f"SELECT tree_id, n, lx, round((a + b) * pow(2, -{LEAF}) * pow(2, n / 2.0) + 3.7e-7, 4) AS s FROM h"))
 def _(spark, sf_dir):
-    """Largest change when the scaling blocks are rebuilt from the wavelets: none."""
-    t = haar(spark, sf_dir)
-    r = transform.reconstruct_down(t, HAAR).select(*TREE_KEY, F.col("coef").alias("again"))
-    return t.join(r, TREE_KEY).groupBy("tree_id").agg(F.abs(F.round(F.max(F.abs(F.col("coef")[0] - F.col("again")[0])), 6)).alias("worst"))
+    """Scaling coefficients of all nodes, rebuilt from the wavelets and the roots alone."""
+    t = haar(spark, sf_dir, by=SUPPLIER)
+    dropped = F.when(F.col("n") == 0, F.col("coef")).otherwise(F.array(F.lit(0.0), F.col("coef")[1]))
+    r = transform.reconstruct_down(t.select(*TREE_KEY, "is_end", dropped.alias("coef")), HAAR)
+    return r.select("tree_id", "n", "lx", F.round(F.col("coef")[0] + 3.7e-7, 4).alias("s"))
 
 
-@query("c14_push_down", f"WITH {haar_sql()}, g AS (SELECT tree_id, CAST(range AS INT) AS lx FROM (SELECT DISTINCT tree_id FROM leaf), range({2 ** (LEAF + 1)})) SELECT g.tree_id, g.lx, round(f * pow(2, -{LEAF + 1} / 2.0) + 3.7e-7, 4) AS s FROM g JOIN leaf ON leaf.tree_id = g.tree_id AND leaf.l = g.lx // 2")
+@query("c14_push_down", f"WITH {haar_sql(by=SUPPLIER)}, p AS (SELECT DISTINCT tree_id, l // 2 AS p FROM leaf), g AS (SELECT tree_id, CAST(4 * p + range AS INT) AS lx FROM p, range(4)) SELECT g.tree_id, g.lx, round(coalesce(f, 0) * pow(2, -{LEAF + 1} / 2.0) + 3.7e-7, 4) AS s FROM g LEFT JOIN leaf ON leaf.tree_id = g.tree_id AND leaf.l = g.lx // 2")
 def _(spark, sf_dir):
     """Values on cells two levels below the leaves."""
-    t = haar(spark, sf_dir).where("is_end")
+    t = haar(spark, sf_dir, by=SUPPLIER).where("is_end")
     cells_ = keys.children(t.select(*TREE_KEY), 1, 2).select(*TREE_KEY)
-    out = transform.push_down(t, cells_, HAAR).select("tree_id", "lx", F.round(F.col("coef")[0] + 3.7e-7, 4).alias("s"))
-    have = haar_scaling(spark, sf_dir).select("tree_id", F.col("lx").alias("c"))
-    return out.join(have, (out.tree_id == have.tree_id) & (F.shiftright(out.lx, 1) == have.c), "left_semi")
+    return transform.push_down(t, cells_, HAAR).select("tree_id", "lx", F.abs(F.round(F.col("coef")[0] + 3.7e-7, 4)).alias("s"))
 
 
-@query("c18_max_norms", _scales_sql(f"SELECT h.tree_id, h.n, h.lx, round(max((c.a * c.a + c.b * c.b) * 2 * pow(2, 2 * c.n) * pow(2, -{2 * LEAF})) + 3.7e-5, 2) AS max_sq FROM h JOIN h c ON c.tree_id = h.tree_id AND c.n >= h.n AND c.lx // CAST(pow(2, c.n - h.n) AS INT) = h.lx GROUP BY 1, 2, 3"))
+@query("c18_max_norms", _scales_sql(SUPPLIER, f"SELECT h.tree_id, h.n, h.lx, round(max((c.a * c.a + c.b * c.b) * 2 * pow(2, 2 * c.n) * pow(2, -{2 * LEAF})) + 3.7e-5, 2) AS max_sq FROM h JOIN h c ON c.tree_id = h.tree_id AND c.n >= h.n AND c.lx // CAST(pow(2, c.n - h.n) AS INT) = h.lx GROUP BY 1, 2, 3"))
 def _(spark, sf_dir):
-    return transform.max_norms(haar(spark, sf_dir), HAAR).select("tree_id", "n", "lx", F.round(F.col("max_sq") + 3.7e-5, 2).alias("max_sq"))
+    return transform.max_norms(haar(spark, sf_dir, by=SUPPLIER), HAAR).select("tree_id", "n", "lx", F.round(F.col("max_sq") + 3.7e-5, 2).alias("max_sq"))
 
 
 # --- projection -----------------------------------------------------------------------------------------------------
 
 
-@query("d2_project_gaussians", "SELECT 'g' || s_nationkey AS tree_id, TRUE AS integral_ok, TRUE AS norm_ok FROM supplier GROUP BY 1")
+NORM_1D = "sum(a.coef * b.coef * sqrt(pi() / (a.a0 + b.a0)) * exp(-a.a0 * b.a0 / (a.a0 + b.a0) * (a.x0 - b.x0) * (a.x0 - b.x0)))"
+LINE = MRA(World(1, -4, (-1,), (2,)), 7)
+
+
+@query("d2_project_gaussians", f"WITH {GAUSS}, i AS (SELECT fn_id, sum(coef * sqrt(pi() / a0)) AS i FROM gs GROUP BY 1), q AS (SELECT a.fn_id, {NORM_1D} AS q FROM gs a JOIN gs b ON a.fn_id = b.fn_id GROUP BY 1) SELECT i.fn_id AS tree_id, round(i / sqrt(q) + 3.7e-5, 3) AS integral, round(sqrt(q) + 3.7e-5, 3) AS norm FROM i JOIN q ON i.fn_id = q.fn_id")
 def _(spark, sf_dir):
-    """All Gaussian sums projected at once; integral and norm agree with the closed forms."""
-    m = MRA(World(1, -4, (-1,), (2,)), 7)
-    g = gaussians(spark, sf_dir, dim=1)
-    t = write_shared(project.project_gaussians(g, m, 1e-6))
-    exact = g.groupBy(F.col("fn_id").alias("tree_id")).agg(F.sum(F.col("coef") * F.sqrt(np.pi / F.col("alpha")[0])).alias("exact"))
-    norm = G.square_norms(g, 1).withColumnRenamed("fn_id", "tree_id").withColumnRenamed("square_norm", "exact_norm")
-    j = reduce.integrate(t, m).join(reduce.square_norm(t), "tree_id").join(exact, "tree_id").join(norm, "tree_id")
-    size = F.sqrt("exact_norm")
-    return j.select("tree_id", (F.abs(F.col("integral") - F.col("exact")) < 1e-4 * size).alias("integral_ok"), (F.abs(F.col("square_norm") - F.col("exact_norm")) < 1e-4 * size * size).alias("norm_ok"))
+    """All Gaussian sums projected at once: their norms, and their integrals in units of these."""
+    t = write_shared(project.project_gaussians(gaussians(spark, sf_dir, dim=1), LINE, 1e-6))
+    j = reduce.integrate(t, LINE).join(reduce.square_norm(t), "tree_id")
+    return j.select("tree_id", F.round(F.col("integral") / F.sqrt("square_norm") + 3.7e-5, 3).alias("integral"), F.round(F.sqrt("square_norm") + 3.7e-5, 3).alias("norm"))
 
 
 # --- arithmetic -----------------------------------------------------------------------------------------------------
@@ -294,41 +388,141 @@ def _(spark, sf_dir):
     return reduce.integrate(out, HAAR).select("tree_id", F.round(F.col("integral") + 3.7e-5, 2).alias("integral"))
 
 
-@query("e10_tree_map", f"WITH {haar_sql()} SELECT tree_id, round(sum(sqrt(f + 1) - 1) / {2**LEAF}, 4) AS integral FROM leaf GROUP BY 1")
+@query("e10_tree_map", f"WITH {haar_sql(by=SUPPLIER)} SELECT tree_id, round(sum(sqrt(f + 1) - 1) / {2**LEAF}, 4) AS integral FROM leaf GROUP BY 1")
 def _(spark, sf_dir):
     """A user's function of the values, pointwise."""
-    out = arith.tree_map(haar(spark, sf_dir), HAAR, lambda v: np.sqrt(np.maximum(v, 0) + 1) - 1)
+    out = arith.tree_map(haar(spark, sf_dir, by=SUPPLIER), HAAR, lambda v: np.sqrt(np.maximum(v, 0) + 1) - 1)
     return reduce.integrate(out, HAAR).select("tree_id", F.round("integral", 4).alias("integral"))
 
 
-@query("e12_normalize", f"WITH {haar_sql()} SELECT tree_id, round(sum(f) / {2**LEAF} / sqrt(sum(f * f) / {2**LEAF}), 6) AS integral FROM leaf GROUP BY 1")
+@query("e12_normalize", f"WITH {haar_sql(by=SUPPLIER)} SELECT tree_id, round(sum(f) / {2**LEAF} / sqrt(sum(f * f) / {2**LEAF}), 6) AS integral FROM leaf GROUP BY 1")
 def _(spark, sf_dir):
-    return reduce.integrate(arith.normalize(haar(spark, sf_dir), HAAR), HAAR).select("tree_id", F.round("integral", 6).alias("integral"))
+    return reduce.integrate(arith.normalize(haar(spark, sf_dir, by=SUPPLIER), HAAR), HAAR).select("tree_id", F.round("integral", 6).alias("integral"))
 
 
-@query("e20_leaf_values", f"WITH {haar_sql()}, g AS (SELECT tree_id, l // 2 AS lx, sum(CASE WHEN l % 2 = 0 THEN f ELSE 0 END) AS v0, sum(CASE WHEN l % 2 = 1 THEN f ELSE 0 END) AS v1 FROM leaf GROUP BY 1, 2) SELECT tree_id, CAST(lx AS INT) AS lx, round(v0 + 3.7e-7, 4) AS v0, round(v1 + 3.7e-7, 4) AS v1 FROM g")
+@query("e20_leaf_values", f"WITH {haar_sql(by=SUPPLIER)}, g AS (SELECT tree_id, l // 2 AS lx, sum(CASE WHEN l % 2 = 0 THEN f ELSE 0 END) AS v0, sum(CASE WHEN l % 2 = 1 THEN f ELSE 0 END) AS v1 FROM leaf GROUP BY 1, 2) SELECT tree_id, CAST(lx AS INT) AS lx, round(v0 + 3.7e-7, 4) AS v0, round(v1 + 3.7e-7, 4) AS v1 FROM g")
 def _(spark, sf_dir):
-    v = transform.leaf_values(haar(spark, sf_dir).where("is_end"), HAAR)
+    v = transform.leaf_values(haar(spark, sf_dir, by=SUPPLIER).where("is_end"), HAAR)
     return v.select("tree_id", "lx", F.abs(F.round(F.col("values")[0] + 3.7e-7, 4)).alias("v0"), F.abs(F.round(F.col("values")[1] + 3.7e-7, 4)).alias("v1"))
 
 
+def _integral(t: DataFrame, digits: int = 4) -> DataFrame:
+    return reduce.integrate(t, HAAR).select("tree_id", F.round(F.col("integral") + 3.7 * 10.0 ** (-digits - 3), digits).alias("integral"))
+
+
+def _both_sql(what: str, digits: int = 4) -> str:
+    """An integral over cells of f, the supplier's quantities, and g, its line numbers."""
+    return f"WITH {haar_sql(by=SUPPLIER)}, {haar_sql('l_linenumber', 'other', SUPPLIER)} SELECT leaf.tree_id, round(sum({what}) / {2**LEAF} + {3.7 * 10.0 ** (-digits - 3)}, {digits}) AS integral FROM (SELECT tree_id, l, f FROM leaf) leaf JOIN (SELECT tree_id, l, f AS g FROM other) o ON o.tree_id = leaf.tree_id AND o.l = leaf.l GROUP BY 1"
+
+
+def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return haar(spark, sf_dir, by=SUPPLIER), haar(spark, sf_dir, "l_linenumber", SUPPLIER)
+
+
+@query("e2_add_fixed", _both_sql("f + 2 * g"))
+def _(spark, sf_dir):
+    t, x = _pair(spark, sf_dir)
+    return _integral(arith.add_in_place_fixed(t, x, HAAR, 2.0))
+
+
+@query("e3_add_in_place", _both_sql("f - 0.5 * g"))
+def _(spark, sf_dir):
+    t, x = _pair(spark, sf_dir)
+    return _integral(arith.add_in_place(t, x, HAAR, -0.5))
+
+
+@query("e4_absadd", _both_sql("f * f + 9 * g * g", 2))
+def _(spark, sf_dir):
+    t, x = _pair(spark, sf_dir)
+    return _integral(arith.absadd(t, x, HAAR, 3.0), 2)
+
+
+@query("e7_multiply_in_place", _both_sql("0.5 * f * g", 2))
+def _(spark, sf_dir):
+    t, x = _pair(spark, sf_dir)
+    return _integral(arith.multiply_in_place(t, x, HAAR, 0.5), 2)
+
+
+@query("e6_multiply_max_norm", f"WITH {haar_sql()} SELECT a.tree_id || b.tree_id AS tree_id, round(sum(a.f * b.f) / {2**LEAF} + 3.7e-5, 2) AS integral FROM leaf a JOIN leaf b ON a.l = b.l AND a.tree_id <= b.tree_id GROUP BY 1")
+def _(spark, sf_dir):
+    """Products on the grid that norms call for; at precision 0 that is the union grid."""
+    t = haar(spark, sf_dir)
+    ids = t.select("tree_id").distinct()
+    terms = ids.select(F.col("tree_id").alias("a_id")).join(F.broadcast(ids.select(F.col("tree_id").alias("b_id")))).where("a_id <= b_id")
+    return _integral(arith.multiply_max_norm(terms.select(F.concat("a_id", "b_id").alias("out_id"), "a_id", "b_id", F.lit(1.0).alias("c")), t, HAAR, 0.0), 2)
+
+
+@query("e8_square", f"WITH {haar_sql(by=SUPPLIER)} SELECT tree_id, round(sum(f * f) / {2**LEAF} + 3.7e-5, 2) AS integral FROM leaf GROUP BY 1")
+def _(spark, sf_dir):
+    return _integral(arith.square(haar(spark, sf_dir, by=SUPPLIER), HAAR, extra=0), 2)
+
+
+@query("e9_power", f"WITH {haar_sql('l_discount', by=SUPPLIER)} SELECT tree_id, round(sum(pow(f, 3)) / {2**LEAF}, 6) AS integral FROM leaf GROUP BY 1")
+def _(spark, sf_dir):
+    return reduce.integrate(arith.power(haar(spark, sf_dir, "l_discount", SUPPLIER), HAAR, 3, extra=0), HAAR).select("tree_id", F.round("integral", 6).alias("integral"))
+
+
+@query("e11_rescale", f"WITH {haar_sql(by=SUPPLIER)} SELECT tree_id, round(sum(-1.5 * f) / {2**LEAF} + 3.7e-7, 4) AS integral FROM leaf GROUP BY 1")
+def _(spark, sf_dir):
+    return _integral(arith.rescale(haar(spark, sf_dir, by=SUPPLIER), -1.5, HAAR))
+
+
+@query("e13_dot_field", f"WITH {haar_sql()} SELECT 'field' AS tree_id, round(sum(CASE WHEN a.tree_id = 'A' AND b.tree_id = 'N' THEN 2 * a.f * b.f WHEN a.tree_id = 'N' AND b.tree_id = 'R' THEN -a.f * b.f ELSE 0 END) / {2**LEAF} + 3.7e-5, 2) AS integral FROM leaf a JOIN leaf b ON a.l = b.l")
+def _(spark, sf_dir):
+    pairs = spark.createDataFrame([("field", 0, "A", "N", 2.0), ("field", 1, "N", "R", -1.0)], "out_id string, d int, a_id string, b_id string, c double")
+    return _integral(arith.dot_field(pairs, haar(spark, sf_dir), HAAR), 2)
+
+
+@query("e18_multiply_by_function", f"WITH {haar_sql(by=SUPPLIER)} SELECT tree_id, round(sum(f * (l + 0.5) / {2**LEAF}.0) / {2**LEAF} + 3.7e-7, 4) AS integral FROM leaf GROUP BY 1")
+def _(spark, sf_dir):
+    """Every tree times x, which is evaluated once for each cell that any tree has."""
+    return _integral(arith.multiply_by_function(haar(spark, sf_dir, by=SUPPLIER), HAAR, lambda x: x[:, 0]))
+
+
+def _complex(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """F = A + i N with two components, G = R with one, over the trees of return flags."""
+    f = components.function(spark, "F", {0: ("A", "N"), 1: ("N", None)}).unionByName(components.function(spark, "G", {0: ("R", None)}))
+    return f, haar(spark, sf_dir)
+
+
+@query("e14_linear_combination", f"WITH {haar_sql()}, s AS (SELECT sum(CASE tree_id WHEN 'A' THEN f END) / {2**LEAF} AS a, sum(CASE tree_id WHEN 'N' THEN f END) / {2**LEAF} AS n, sum(CASE tree_id WHEN 'R' THEN f END) / {2**LEAF} AS r FROM leaf) SELECT 'S/0/re' AS tree_id, round(-2 * n + r + 3.7e-7, 4) AS integral FROM s UNION ALL SELECT 'S/0/im', round(2 * a + 3.7e-7, 4) FROM s UNION ALL SELECT 'S/1/im', round(2 * n + 3.7e-7, 4) FROM s")
+def _(spark, sf_dir):
+    """2i F + G."""
+    f, t = _complex(spark, sf_dir)
+    terms = spark.createDataFrame([("S", "F", 0.0, 2.0), ("S", "G", 1.0, 0.0)], "out_id string, fn_id string, c_re double, c_im double")
+    return _integral(components.linear_combination(terms, f, t, HAAR)[1])
+
+
+@query("e16_complex_multiply", f"WITH {haar_sql()}, s AS (SELECT sum(x.f * r.f) / {2**LEAF} AS v, x.tree_id FROM leaf x JOIN leaf r ON r.l = x.l AND r.tree_id = 'R' GROUP BY 2) SELECT CASE tree_id WHEN 'A' THEN 'P/0/re' ELSE 'P/0/im' END AS tree_id, round(v + 3.7e-5, 2) AS integral FROM s WHERE tree_id IN ('A', 'N')")
+def _(spark, sf_dir):
+    f, t = _complex(spark, sf_dir)
+    pairs = spark.createDataFrame([("P", "F", "G")], "out_id string, a_id string, b_id string")
+    return _integral(components.multiply(pairs, f, t, HAAR)[1], 2)
+
+
+@query("e17_density", f"WITH {haar_sql()}, s AS (SELECT tree_id, sum(f * f) / {2**LEAF} AS v FROM leaf GROUP BY 1) SELECT 'F/0/re' AS tree_id, round((SELECT sum(v) FROM s WHERE tree_id IN ('A', 'N')) + 3.7e-5, 2) AS integral UNION ALL SELECT 'F/1/re', round((SELECT v FROM s WHERE tree_id = 'N') + 3.7e-5, 2) UNION ALL SELECT 'G/0/re', round((SELECT v FROM s WHERE tree_id = 'R') + 3.7e-5, 2)")
+def _(spark, sf_dir):
+    f, t = _complex(spark, sf_dir)
+    return _integral(components.density(f, t, HAAR)[1], 2)
+
+
 # --- reductions -----------------------------------------------------------------------------------------------------
 
 
-@query("f1_integrate", f"WITH {haar_sql()} SELECT tree_id, round(sum(f) / {2**LEAF} + 3.7e-7, 4) AS integral FROM leaf GROUP BY 1")
+@query("f1_integrate", f"WITH {haar_sql(by=SUPPLIER)} SELECT tree_id, round(sum(f) / {2**LEAF} + 3.7e-7, 4) AS integral FROM leaf GROUP BY 1")
 def _(spark, sf_dir):
-    return reduce.integrate(haar(spark, sf_dir), HAAR).select("tree_id", F.round(F.col("integral") + 3.7e-7, 4).alias("integral"))
+    return reduce.integrate(haar(spark, sf_dir, by=SUPPLIER), HAAR).select("tree_id", F.round(F.col("integral") + 3.7e-7, 4).alias("integral"))
 
 
-@query("f3_integrate_end_nodes", f"WITH {haar_sql()}, c AS (SELECT DISTINCT tree_id, l // 2 AS c FROM leaf) SELECT tree_id, round(sum((pow((c + 1) / {2 ** (LEAF - 1)}.0, 2) - pow(c / {2 ** (LEAF - 1)}.0, 2)) / 2), 6) AS integral FROM c GROUP BY 1")
+@query("f3_integrate_end_nodes", f"WITH {haar_sql(by=SUPPLIER)}, c AS (SELECT DISTINCT tree_id, l // 2 AS c FROM leaf) SELECT tree_id, round(sum((pow((c + 1) / {2 ** (LEAF - 1)}.0, 2) - pow(c / {2 ** (LEAF - 1)}.0, 2)) / 2), 6) AS integral FROM c GROUP BY 1")
 def _(spark, sf_dir):
     """The integral of x over the cells of each tree's leaf grid."""
-    return reduce.integrate_end_nodes(haar(spark, sf_dir), HAAR, lambda x: x[:, 0]).select("tree_id", F.round("integral", 6).alias("integral"))
+    return reduce.integrate_end_nodes(haar(spark, sf_dir, by=SUPPLIER), HAAR, lambda x: x[:, 0]).select("tree_id", F.round("integral", 6).alias("integral"))
 
 
-@query("f4_square_norm", f"WITH {haar_sql()} SELECT tree_id, round(sum(f * f) / {2**LEAF} + 3.7e-5, 2) AS square_norm FROM leaf GROUP BY 1")
+@query("f4_square_norm", f"WITH {haar_sql(by=SUPPLIER)} SELECT tree_id, round(sum(f * f) / {2**LEAF} + 3.7e-5, 2) AS square_norm FROM leaf GROUP BY 1")
 def _(spark, sf_dir):
-    return reduce.square_norm(haar(spark, sf_dir)).select("tree_id", F.round(F.col("square_norm") + 3.7e-5, 2).alias("square_norm"))
+    return reduce.square_norm(haar(spark, sf_dir, by=SUPPLIER)).select("tree_id", F.round(F.col("square_norm") + 3.7e-5, 2).alias("square_norm"))
 
 
 @query("f5_dot", f"WITH {haar_sql()}, {haar_sql('l_linenumber', 'ket')} SELECT leaf.tree_id AS bra_id, ket.tree_id AS ket_id, round(sum(leaf.f * ket.f) / {2**LEAF} + 3.7e-5, 2) AS dot FROM leaf JOIN ket ON leaf.l = ket.l GROUP BY 1, 2")
@@ -348,9 +542,46 @@ def _(spark, sf_dir):
     return p.join(v, ["pid", "tree_id"]).groupBy("tree_id").agg(F.sum("m").alias("n_points"), F.round(F.sum(F.col("m") * F.col("value")) + 3.7e-5, 2).alias("total"))
 
 
-@query("f13_tree_stats", _scales_sql("SELECT tree_id, n, count(*) AS n_nodes FROM h GROUP BY ROLLUP (tree_id, n)"))
+@query("f13_tree_stats", _scales_sql(SUPPLIER, "SELECT tree_id, n, count(*) AS n_nodes FROM h GROUP BY ROLLUP (tree_id, n)"))
 def _(spark, sf_dir):
-    return reduce.tree_stats(haar(spark, sf_dir)).select("tree_id", "n", "n_nodes")
+    return reduce.tree_stats(haar(spark, sf_dir, by=SUPPLIER)).select("tree_id", "n", "n_nodes")
+
+
+@query("f6_component_dot", f"WITH {haar_sql()}, s AS (SELECT a.tree_id AS i, b.tree_id AS j, sum(a.f * b.f) / {2**LEAF} AS s FROM leaf a JOIN leaf b ON a.l = b.l GROUP BY 1, 2) SELECT 'F' AS a_id, 'G' AS b_id, round((SELECT s FROM s WHERE i = 'A' AND j = 'R') + 3.7e-5, 2) AS re, round(-(SELECT s FROM s WHERE i = 'N' AND j = 'R') + 3.7e-5, 2) AS im UNION ALL SELECT 'F', 'F', round((SELECT sum(CASE i WHEN 'A' THEN s WHEN 'N' THEN 2 * s END) FROM s WHERE i = j) + 3.7e-5, 2), CAST(0 AS DOUBLE)")
+def _(spark, sf_dir):
+    f, t = _complex(spark, sf_dir)
+    pairs = spark.createDataFrame([("F", "G"), ("F", "F")], "a_id string, b_id string")
+    return components.dot(pairs, f, t, HAAR).select("a_id", "b_id", F.round(F.col("re") + 3.7e-5, 2).alias("re"), F.round(F.col("im") + 3.7e-5, 2).alias("im"))
+
+
+@query("f7_node_norm_dot", f"WITH {haar_sql(by=SUPPLIER)}, {haar_sql('l_linenumber', 'other', SUPPLIER)}, a AS (SELECT tree_id, l // 2 AS c, sqrt(sum(f * f)) AS v FROM leaf GROUP BY 1, 2), b AS (SELECT tree_id, l // 2 AS c, sqrt(sum(f * f)) AS v FROM other GROUP BY 1, 2) SELECT a.tree_id AS bra_id, round(sum(a.v * b.v) / {2**LEAF} + 3.7e-5, 2) AS bound FROM a JOIN b ON a.tree_id = b.tree_id AND a.c = b.c GROUP BY 1")
+def _(spark, sf_dir):
+    t, x = _pair(spark, sf_dir)
+    pairs = t.select(F.col("tree_id").alias("bra_id"), F.col("tree_id").alias("ket_id")).distinct()
+    return reduce.node_norm_dot(pairs, t, x, HAAR).select("bra_id", F.round(F.col("bound") + 3.7e-5, 2).alias("bound"))
+
+
+@query("f8_node_norm_dot_exact", f"""WITH {haar_sql("l_discount", by=SUPPLIER)}, {haar_sql("l_tax", "other", SUPPLIER)}, pair AS (SELECT tree_id, l // 2 AS c, sum(CASE WHEN l % 2 = 0 THEN f * f ELSE 0 END) AS p, sum(CASE WHEN l % 2 = 1 THEN f * f ELSE 0 END) AS q FROM leaf GROUP BY 1, 2),
+pair2 AS (SELECT tree_id, l // 2 AS c, sum(CASE WHEN l % 2 = 0 THEN f * f ELSE 0 END) AS p, sum(CASE WHEN l % 2 = 1 THEN f * f ELSE 0 END) AS q FROM other GROUP BY 1, 2)
+SELECT a.tree_id AS bra_id, round(1e6 * sum(pow((a.p + a.q) * (b.p + b.q) / 2, 2) + pow((a.p - a.q) * (b.p - b.q) / 2, 2)) * pow(2, -{2 * LEAF}), 5) AS bound FROM pair a JOIN pair2 b ON a.tree_id = b.tree_id AND a.c = b.c GROUP BY 1""")
+def _(spark, sf_dir):
+    t, x = haar(spark, sf_dir, "l_discount", SUPPLIER), haar(spark, sf_dir, "l_tax", SUPPLIER)
+    pairs = t.select(F.col("tree_id").alias("bra_id"), F.col("tree_id").alias("ket_id")).distinct()
+    return reduce.node_norm_dot_exact(pairs, t, x, HAAR).select("bra_id", F.round(1e6 * F.col("bound"), 5).alias("bound"))
+
+
+@query("f11_sample_line", f"WITH {haar_sql(by=SUPPLIER)}, g AS (SELECT tree_id, l // 2 AS c, sum(f) / 2 AS v FROM leaf GROUP BY 1, 2), t AS (SELECT DISTINCT tree_id FROM leaf), p AS (SELECT tree_id, range AS pid FROM t, range(41)) SELECT p.tree_id, p.pid, round(coalesce(v, 0) + 3.7e-7, 4) AS value FROM p LEFT JOIN g ON g.tree_id = p.tree_id AND g.c = CAST(floor((0.01 + p.pid * 0.025) * {2 ** (LEAF - 1)}) AS INT)")
+def _(spark, sf_dir):
+    """The scaling part of every tree at 41 points of a line, the last beyond the world."""
+    t = haar(spark, sf_dir, by=SUPPLIER)
+    line = spark.range(41).select(F.col("id").alias("pid"), (0.01 + F.col("id") * 0.025).alias("x"))
+    p = t.select("tree_id").distinct().join(F.broadcast(line))
+    return reduce.evaluate(p, t, HAAR).select("tree_id", "pid", F.round(F.col("value") + 3.7e-7, 4).alias("value"))
+
+
+@query("f12_grid_cells", f"WITH {haar_sql(by=SUPPLIER)}, c AS (SELECT DISTINCT tree_id, l // 2 AS c FROM leaf) SELECT tree_id, count(*) + 1 AS n_cells, round(sum((c + 1) / {2 ** (LEAF - 1)}.0) + 1, 6) AS sum_hi FROM c GROUP BY 1")
+def _(spark, sf_dir):
+    return reduce.grid_cells(haar(spark, sf_dir, by=SUPPLIER), WORLD1).groupBy("tree_id").agg(F.count("*").alias("n_cells"), F.round(F.sum("hi_x"), 6).alias("sum_hi"))
 
 
 # --- linear algebra -------------------------------------------------------------------------------------------------
@@ -361,32 +592,81 @@ def _(spark, sf_dir):
     return linalg.overlap_matrix(haar(spark, sf_dir), HAAR).select("i", "j", F.round(F.col("re") + 3.7e-5, 2).alias("re"))
 
 
-@query("g8_orthonormalize", f"WITH {haar_sql()}, t AS (SELECT DISTINCT tree_id FROM leaf) SELECT a.tree_id AS i, b.tree_id AS j, CAST(CASE WHEN a.tree_id = b.tree_id THEN 1 ELSE 0 END AS DOUBLE) AS re FROM t a, t b")
+@query("g8_orthonormalize", f"WITH {haar_sql()} SELECT a.tree_id AS i, b.tree_id AS j, round(sum(a.f * b.f) / {2**LEAF} + 3.7e-5, 2) AS re FROM leaf a JOIN leaf b ON a.l = b.l GROUP BY 1, 2")
+def _(spark, sf_dir):
+    """The functions' overlaps again, from their components along the Loewdin-rotated set: it is orthonormal and spans the same functions."""
+    t = haar(spark, sf_dir)
+    along = write_shared(linalg.cross_overlap(t, write_shared(linalg.orthonormalize(t, HAAR)), HAAR))
+    other = along.select(F.col("i").alias("b"), F.col("j"), F.col("re").alias("rb"))
+    return along.join(other, "j").groupBy("i", F.col("b").alias("j")).agg(F.round(F.sum(F.col("re") * F.col("rb")) + 3.7e-5, 2).alias("re"))
+
+
+@query("g5_rotate", f"WITH {haar_sql()}, u AS (SELECT * FROM (VALUES ('A', 'x', 1.0), ('N', 'x', -0.5), ('R', 'y', 2.0), ('A', 'y', 0.25)) v(i, j, u)), o AS (SELECT j, l, sum(u * f) AS f FROM leaf JOIN u ON u.i = leaf.tree_id GROUP BY 1, 2) SELECT j AS tree_id, round(sum(f) / {2**LEAF} + 3.7e-7, 4) AS integral, round(sum(f * f) / {2**LEAF} + 3.7e-5, 2) AS square_norm FROM o GROUP BY 1")
 def _(spark, sf_dir):
-    """Overlap of the Loewdin-rotated set: the identity."""
-    t = linalg.orthonormalize(haar(spark, sf_dir), HAAR)
-    return linalg.overlap_matrix(t, HAAR).select("i", "j", F.abs(F.round("re", 6)).alias("re"))
+    """Three functions to two, cut where wavelets vanish."""
+    u = spark.createDataFrame([("A", "x", 1.0), ("N", "x", -0.5), ("R", "y", 2.0), ("A", "y", 0.25)], "i string, j string, re double")
+    t = write_shared(linalg.rotate(haar(spark, sf_dir), u, HAAR, 1e-9))
+    return reduce.integrate(t, HAAR).join(reduce.square_norm(t), "tree_id").select("tree_id", F.round(F.col("integral") + 3.7e-7, 4).alias("integral"), F.round(F.col("square_norm") + 3.7e-5, 2).alias("square_norm"))
+
+
+@query("g7_orthogonalize", f"WITH {haar_sql()}, s AS (SELECT a.tree_id AS i, b.tree_id AS j, sum(a.f * b.f) / {2**LEAF} AS s FROM leaf a JOIN leaf b ON a.l = b.l GROUP BY 1, 2) SELECT b.i AS tree_id, round((b.s - x.s * x.s / k.s) + 3.7e-5, 2) AS square_norm FROM s b JOIN s x ON x.i = b.i AND x.j = 'N' JOIN s k ON k.i = 'N' AND k.j = 'N' WHERE b.i = b.j AND b.i <> 'N'")
+def _(spark, sf_dir):
+    """What is left of the functions without their component along one of them."""
+    t = haar(spark, sf_dir)
+    rest = linalg.orthogonalize(t.where("tree_id <> 'N'"), t.where("tree_id = 'N'"), HAAR)
+    return reduce.square_norm(rest).select("tree_id", F.round(F.col("square_norm") + 3.7e-5, 2).alias("square_norm"))
 
 
 # --- derivatives ----------------------------------------------------------------------------------------------------
 
 
-@query("i4_derivative", "SELECT 'g' || s_nationkey AS tree_id, TRUE AS ok FROM supplier GROUP BY 1")
+# the norm of the derivative, from the overlaps of x exp(-a x^2) terms in closed form
+SLOPE = """WITH {gauss} SELECT a.fn_id AS tree_id, round(0.5 * ln(sum(a.coef * b.coef * sqrt(pi() / (a.a0 + b.a0)) * exp(-a.a0 * b.a0 / (a.a0 + b.a0) * (a.x0 - b.x0) * (a.x0 - b.x0))
+  * 2 * a.a0 * b.a0 / (a.a0 + b.a0) * (1 - 2 * a.a0 * b.a0 / (a.a0 + b.a0) * (a.x0 - b.x0) * (a.x0 - b.x0)))) + 3.7e-4, 2) AS log_norm FROM gs a JOIN gs b ON a.fn_id = b.fn_id GROUP BY 1"""
+
+
+def _slope(kind: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = write_shared(project.project_gaussians(gaussians(spark, sf_dir, dim=1), LINE, 1e-6))
+        d = {"weak": derivative.apply, "low_noise": derivative.low_noise, "spline": derivative.spline}[kind](t, LINE, 0)
+        return reduce.square_norm(d).select("tree_id", F.round(0.5 * F.log("square_norm") + 3.7e-4, 2).alias("log_norm"))
+
+    return run
+
+
+query("i4_derivative", SLOPE.format(gauss=GAUSS))(_slope("weak"))
+query("i2_low_noise_derivative", SLOPE.format(gauss=GAUSS))(_slope("low_noise"))
+query("i3_spline_derivative", SLOPE.format(gauss=GAUSS))(_slope("spline"))
+
+
+# --- convolutions ---------------------------------------------------------------------------------------------------
+
+
+@query("h4_apply_heat", f"WITH {GAUSS.replace(' gs AS', ' gs0 AS').replace('gs AS (', 'gs0 AS (', 1)}, gs AS (SELECT fn_id, coef * sqrt(1 / (1 + 0.2 * a0)) AS coef, a0 / (1 + 0.2 * a0) AS a0, x0 FROM gs0), i AS (SELECT fn_id, sum(coef * sqrt(pi() / a0)) AS i FROM gs GROUP BY 1), q AS (SELECT a.fn_id, {NORM_1D} AS q FROM gs a JOIN gs b ON a.fn_id = b.fn_id GROUP BY 1) SELECT i.fn_id AS tree_id, round(i / sqrt(q) + 3.7e-5, 3) AS integral, round(sqrt(q) + 3.7e-5, 3) AS norm FROM i JOIN q ON i.fn_id = q.fn_id")
 def _(spark, sf_dir):
-    """Square norms of projected and differentiated Gaussian sums against closed forms."""
-    m = MRA(World(1, -4, (-1,), (2,)), 7)
-    g = gaussians(spark, sf_dir, dim=1)
-    t = derivative.apply(project.project_gaussians(g, m, 1e-7), m, 0)
-    exact = G.square_norms(G.differentiate(g, 0), 1).withColumnRenamed("fn_id", "tree_id").withColumnRenamed("square_norm", "exact")
-    return reduce.square_norm(t).join(exact, "tree_id").select("tree_id", (F.abs(F.col("square_norm") - F.col("exact")) < 1e-3 * F.col("exact")).alias("ok"))
+    """All Gaussian sums after heat has spread for a time of 0.05: wider Gaussians."""
+    t = write_shared(project.project_gaussians(gaussians(spark, sf_dir, dim=1), LINE, 1e-6))
+    oper = convolution.heat_operator(spark, LINE, 0.05, int(t.agg(F.max("n")).first()[0]) + 1)
+    out = write_shared(convolution.apply(oper, t, LINE, 1e-6))
+    j = reduce.integrate(out, LINE).join(reduce.square_norm(out), "tree_id")
+    return j.select("tree_id", F.round(F.col("integral") / F.sqrt("square_norm") + 3.7e-5, 3).alias("integral"), F.round(F.sqrt("square_norm") + 3.7e-5, 3).alias("norm"))
+
+
+@query("h1_kernels", "SELECT c_custkey, round(1 / r, 2) AS poisson, round(exp(-0.5 * r) / r, 2) AS helmholtz, round(exp(-r * r / 0.2) / sqrt(0.2 * pi()), 6) AS heat FROM (SELECT c_custkey, 0.1 + abs(c_acctbal) / 20000 AS r FROM customer)")
+def _(spark, sf_dir):
+    """Kernels as sums of Gaussians, at a distance that each customer's balance names."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (0.1 + F.abs("c_acctbal") / 20000).alias("r"))
+    sums = {"poisson": (K.poisson(1e-9, 1e-2, 2.0), 2), "helmholtz": (K.helmholtz(0.5, 1e-9, 1e-2, 2.0), 2), "heat": (K.heat(0.05, 1), 6)}
+    value = lambda t: sum((F.lit(float(a)) * F.exp(-float(b) * F.col("r") * F.col("r")) for a, b in zip(*t, strict=True)), F.lit(0.0))
+    return c.select("c_custkey", *[F.round(value(t), digits).alias(name) for name, (t, digits) in sums.items()])
 
 
 # --- Gaussian tables ------------------------------------------------------------------------------------------------
 
 
-@query("j1_gauss_eval", f"WITH {POINTS}, {GAUSS}, p AS (SELECT DISTINCT x, y FROM pts) SELECT fn_id, count(*) // count(DISTINCT term) AS n_points, round(sum(coef * CASE p0 WHEN 0 THEN 1 ELSE pow(x - x0, p0) END * CASE p1 WHEN 0 THEN 1 ELSE pow(y - x1, p1) END * exp(-a0 * (x - x0) * (x - x0)) * exp(-a1 * (y - x1) * (y - x1))), 4) AS total FROM p, gs GROUP BY 1")
+@query("j1_gauss_eval", f"WITH {POINTS}, {GAUSS}, p AS (SELECT DISTINCT x, y FROM pts) SELECT fn_id, count(DISTINCT CASE WHEN abs(x - x0) <= sqrt(60 / a0) AND abs(y - x1) <= sqrt(60 / a1) THEN (x, y) END) AS n_points, round(sum(coef * CASE p0 WHEN 0 THEN 1 ELSE pow(x - x0, p0) END * CASE p1 WHEN 0 THEN 1 ELSE pow(y - x1, p1) END * exp(-a0 * (x - x0) * (x - x0)) * exp(-a1 * (y - x1) * (y - x1))), 4) AS total FROM p, gs GROUP BY 1")
 def _(spark, sf_dir):
-    """Every function at every distinct point."""
+    """Every function at every distinct point that it reaches."""
     p = points(spark, sf_dir).select("x", "y").distinct().withColumn("pid", F.xxhash64("x", "y"))
     v = G.evaluate(p, gaussians(spark, sf_dir, powers=True), 2)
     return v.groupBy("fn_id").agg(F.count("*").alias("n_points"), F.round(F.sum("value"), 4).alias("total"))
@@ -429,7 +709,10 @@ def _(spark, sf_dir):
     return g.select("fn_id", "term", F.round("lo_x", 6).alias("lo_x"), F.round("hi_y", 6).alias("hi_y"))
 
 
-@query("j12_coulomb_energy")
+STEPS = "steps AS (SELECT CAST(range AS DOUBLE) AS i FROM range(2001))"
+
+
+@query("j12_coulomb_energy", f"WITH {GAUSS}, {STEPS}, d AS (SELECT a.fn_id, a.a0 * b.a0 / (a.a0 + b.a0) AS al, pow(a.x0 - b.x0, 2) + pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2) AS r2 FROM gs a JOIN gs b ON a.fn_id = b.fn_id), v AS (SELECT fn_id, al, round(al * r2, 9) AS x FROM d), u AS (SELECT DISTINCT x FROM v), w AS (SELECT x, sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-x * i * i / 4e6)) / 6e3 AS f0 FROM u, steps GROUP BY 1) SELECT fn_id AS a_id, round(sum(sqrt(4 * al / pi()) * f0), 4) AS energy FROM v JOIN w ON w.x = v.x GROUP BY 1")
 def _(spark, sf_dir):
     """Energies between the unit-charge Gaussians of each nation's suppliers."""
     a = gaussians(spark, sf_dir, dim=3).withColumn("alpha", F.array(*[F.col("alpha")[0]] * 3))
@@ -437,13 +720,42 @@ def _(spark, sf_dir):
     return G.coulomb_energy(own, a, a).select("a_id", F.round("energy", 4).alias("energy"))
 
 
-@query("j13_boys")
+@query("j13_boys", f"WITH {STEPS}, c AS (SELECT c_custkey, abs(c_acctbal / 1000) AS x FROM customer) SELECT c_custkey, round(sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-x * i * i / 4e6)) / 6e3, 8) AS f0, round(sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-x * i * i / 4e6) * i * i / 4e6) / 6e3, 8) AS f1 FROM c, steps GROUP BY 1")
 def _(spark, sf_dir):
     """The Boys function of order 0 and 1 at each customer's scaled balance."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.abs(F.col("c_acctbal") / 1000).alias("x"))
     return c.select("c_custkey", F.round(G.boys(0, F.col("x")), 8).alias("f0"), F.round(G.boys(1, F.col("x")), 8).alias("f1"))
 
 
+@query("j4_overlap", f"WITH {GAUSS} SELECT a.fn_id AS a_id, b.fn_id AS b_id, round({NORM_1D}, 4) AS overlap FROM gs a JOIN gs b ON a.fn_id < b.fn_id GROUP BY 1, 2")
+def _(spark, sf_dir):
+    """Overlaps of all pairs of functions."""
+    g = gaussians(spark, sf_dir, dim=1)
+    ids = g.select("fn_id").distinct()
+    pairs = ids.select(F.col("fn_id").alias("a_id")).join(F.broadcast(ids.select(F.col("fn_id").alias("b_id")))).where("a_id < b_id")
+    return G.overlaps(pairs, g, g, 1).select("a_id", "b_id", F.round("overlap", 4).alias("overlap"))
+
+
+@query("j6_add", f"WITH {GAUSS} SELECT 'all' AS fn_id, count(*) AS n_terms, count(*) - 1 AS last_term, round(sum(coef), 4) AS sum_coef FROM (SELECT coef FROM gs UNION ALL SELECT -2 * coef FROM gs)")
+def _(spark, sf_dir):
+    g = gaussians(spark, sf_dir)
+    return G.add(g, G.scale(g, -2.0), fn_id="all").groupBy("fn_id").agg(F.count("*").alias("n_terms"), F.max("term").alias("last_term"), F.round(F.sum("coef"), 4).alias("sum_coef"))
+
+
+@query("j8_poly_expand", f"WITH {GAUSS} SELECT fn_id, count(*) AS n_terms, round(sum(c), 4) AS sum_coef, CAST(sum(p) AS BIGINT) AS sum_power FROM (SELECT fn_id, coef AS c, 0 AS p FROM gs UNION ALL SELECT fn_id, 3 * coef, 2 FROM gs UNION ALL SELECT fn_id, 2 * coef, 1 FROM gs UNION ALL SELECT fn_id, 6 * coef, 3 FROM gs) WHERE c <> 0 GROUP BY 1")
+def _(spark, sf_dir):
+    """(coef + 3 coef x^2)(1 + 2 y) times each Gaussian, as monomials."""
+    g = gaussians(spark, sf_dir)
+    poly = F.array(F.array(F.col("coef"), F.lit(0.0), 3 * F.col("coef")), F.array(F.lit(1.0), F.lit(2.0)))
+    rows = G.expand_polynomials(g.select("fn_id", "term", "alpha", "pos", poly.alias("poly")))
+    return rows.groupBy("fn_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("coef"), 4).alias("sum_coef"), F.sum(F.col("power")[0] + F.col("power")[1]).alias("sum_power"))
+
+
+@query("j11_normalize", f"WITH {GAUSS}, q AS (SELECT a.fn_id, {NORM_1D} AS q FROM gs a JOIN gs b ON a.fn_id = b.fn_id GROUP BY 1) SELECT gs.fn_id, term, round(coef / sqrt(q), 6) AS coef FROM gs JOIN q ON q.fn_id = gs.fn_id")
+def _(spark, sf_dir):
+    return G.normalize(gaussians(spark, sf_dir, dim=1), 1).select("fn_id", "term", F.round("coef", 6).alias("coef"))
+
+
 @query("j14_analytic", "SELECT c_custkey, round(CASE WHEN u > 0 AND u < 9 THEN exp(-9 / (u * (9 - u))) ELSE 0 END, 9) AS bump FROM (SELECT c_custkey, CAST(c_acctbal / 1000 AS DOUBLE) AS u FROM customer)")
 def _(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (F.col("c_acctbal") / 1000).alias("u"))
