@@ -1,7 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Equal texts form a group and stay together as long as a shard has room for the group. Every unit has the vector
-(bytes, tokens, rows) and goes where the dot product of its vector and the shard's residual capacity is highest.
+(bytes, tokens, rows) and goes where the dot product of its vector and the shard's residual capacity is highest, among
+the shards that have room for its bytes (where none has, to the one with most room).
 The groups larger than a two-hundredth of a shard, fewer than SHARDS * 200, are placed first, on the driver, the
 largest first and only where they fit; a group that fits nowhere is split into PARTS units by row number. All smaller
 units are dealt by a hash to packing tasks, each of which fills its share of the capacity that is left.
@@ -38,7 +39,8 @@ def place(units: np.ndarray, residual: np.ndarray, first: int = 0) -> np.ndarray
     turn = np.roll(np.arange(len(left)), -first)
     left = left[turn]
     for i in order:
-        s = int(np.argmax(left @ units[i]))
+        room = left[:, 0] >= units[i, 0]  # bytes decide whether a unit fits: that law holds
+        s = int(np.argmax(np.where(room, left @ units[i], -np.inf))) if room.any() else int(np.argmax(left[:, 0]))
         left[s] -= units[i]
         where[i] = turn[s]
     residual[turn] = left * scale
