@@ -49,9 +49,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     key = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(11))
     with_spans = docs.select(F.struct(*docs.columns).alias("row"), key.alias("text_key")).join(spans, "text_key", "left")
     text = F.when(F.col("found").isNotNull(), secrets.redacted(F.col("row.text"), F.col("found"))).otherwise(F.col("row.text"))
-    out = with_spans.select("row.*", text.alias("new_text"), "found")
-    n_chars = F.when(F.col("found").isNotNull(), F.length("new_text").cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*[F.col("new_text").alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    # the columns of docs stay inside row, so they may have any name
+    out = with_spans.select("row", "found", text.alias("new_text"))
+    n_chars = F.when(F.col("found").isNotNull(), F.length("new_text").cast("long")).otherwise(F.col("row.n_chars"))
+    return out.select(*[F.col("new_text").alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 
@@ -44,3 +45,15 @@ def test_empty_table_runs_through(spark, sf_dir):
     for _, stage in C.STAGES:
         docs = C.cut(stage(spark, docs, sf_dir))
         assert docs.count() == 0
+
+
+def test_stages_take_clashing_names_and_repeated_ids(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id >= 1000 OR doc_id < 20")
+    for name in ("found", "new_text", "row", "text_key", "dup", "score", "p"):
+        docs = docs.withColumn(name, docs.doc_id * 2)
+    docs = docs.union(docs.where("doc_id = 1002")).union(docs.where("doc_id = 1002").withColumn("text", F.concat("text", F.lit("\n" + "word " * 50_000))))
+    masked = C.cut(dict(C.STAGES)["secret scans"](spark, docs, sf_dir))
+    assert masked.columns == docs.columns and masked.count() == docs.count()
+    assert masked.where("found <> doc_id * 2 OR new_text <> doc_id * 2").isEmpty() and masked.where("doc_id = 1002 AND text LIKE '%[SECRET]%'").count() == 3
+    single = dict(C.STAGES)["n-gram Jaccard join"](spark, docs, sf_dir)
+    assert single.columns == docs.columns
