@@ -16,7 +16,6 @@ def shared_dir(spark: SparkSession) -> str:
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         place = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "mwspark-tables")
-        spark.conf.set("spark.checkpoint.dir", place)
     folder = f"{place.rstrip('/')}/mwspark-{spark.sparkContext.applicationId}"
     if folder not in _USED:
         _USED[folder] = spark

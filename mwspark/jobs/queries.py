@@ -457,9 +457,9 @@ def _(spark, sf_dir):
     return _integral(arith.square(haar(spark, sf_dir, by=SUPPLIER), HAAR, extra=0), 2)
 
 
-@query("e9_power", f"WITH {haar_sql('l_discount', by=SUPPLIER)} SELECT tree_id, round(sum(pow(f, 3)) / {2**LEAF}, 6) AS integral FROM leaf GROUP BY 1")
+@query("e9_power", f"WITH {haar_sql('l_discount', by=SUPPLIER)} SELECT tree_id, round(sum(pow(f, 3)) / {2**LEAF} + 3.7e-9, 6) AS integral FROM leaf GROUP BY 1")
 def _(spark, sf_dir):
-    return reduce.integrate(arith.power(haar(spark, sf_dir, "l_discount", SUPPLIER), HAAR, 3, extra=0), HAAR).select("tree_id", F.round("integral", 6).alias("integral"))
+    return reduce.integrate(arith.power(haar(spark, sf_dir, "l_discount", SUPPLIER), HAAR, 3, extra=0), HAAR).select("tree_id", F.round(F.col("integral") + 3.7e-9, 6).alias("integral"))
 
 
 @query("e11_rescale", f"WITH {haar_sql(by=SUPPLIER)} SELECT tree_id, round(sum(-1.5 * f) / {2**LEAF} + 3.7e-7, 4) AS integral FROM leaf GROUP BY 1")
