@@ -14,13 +14,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mwspark.functions import basis as B
 from mwspark.functions import kernels as K
 from mwspark.functions.shared import write_shared
-from mwspark.functions.trees import stack
+from mwspark.functions.trees import NODE, stack
 from mwspark.mra import AXES, MRA, TREE_KEY
 from mwspark.operators.arith import add, lookup
 from mwspark.operators.keys import ancestors, wrap_index
@@ -279,8 +279,6 @@ def apply(oper: Operator, nodes: DataFrame, mra: MRA, prec: float, max_iter: int
                             out[fits] += part
             return cell[["tree_id", "n", *AXES]].assign(is_end=True, coef=list(out))
 
-        from mwspark.functions.trees import NODE
-
         return cells.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInPandas(one, NODE)
 
     def finish(done: DataFrame) -> DataFrame:
@@ -356,10 +354,3 @@ def cartesian_operator(spark: SparkSession, kernel: tuple[np.ndarray, np.ndarray
     """A kernel times x^p y^q z^r: every term is built with each power, and each dimension takes its own."""
     parts = [K.rows("cartesian", kernel, p) for p in sorted(set(powers))]
     return _make(spark, pd.concat(parts, ignore_index=True), mra, max_scale, powers=powers)
-
-
-def unit_cell(world) -> Column:
-    """Whether the row's node lies in the world's own cells."""
-    from mwspark.operators.keys import in_unit_cell
-
-    return in_unit_cell(world)
