@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mwspark.llm import bpe, embed_dedup, hard_negatives, jaccard, langid, licenses, packing, secrets, sharding, topk, toxicity
+from mwspark.llm import bpe, embed_dedup, hard_negatives, html_text, jaccard, langid, licenses, packing, secrets, sharding, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_kneser_ney_toxicity": toxicity.op8_kneser_ney_toxicity,
         "op9_cross_polytope_dedup": embed_dedup.op9_cross_polytope_dedup,
         "op10_top_k_search": topk.op10_top_k_search,
+        "op11_composite_text_density": html_text.op11_composite_text_density,
         "op12_cover_tree_negatives": hard_negatives.op12_cover_tree_negatives,
     }
 
