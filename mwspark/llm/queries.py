@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mwspark.llm import bpe, embed_dedup, hard_negatives, html_text, jaccard, langid, licenses, packing, secrets, sharding, topk, toxicity
+from mwspark.llm import bpe, conversation_trie, embed_dedup, hard_negatives, html_text, jaccard, langid, licenses, packing, secrets, sharding, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_top_k_search": topk.op10_top_k_search,
         "op11_composite_text_density": html_text.op11_composite_text_density,
         "op12_cover_tree_negatives": hard_negatives.op12_cover_tree_negatives,
+        "op13_conversation_trie": conversation_trie.op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_top_k_search": topk.ORACLE, "op12_cover_tree_negatives": hard_negatives.ORACLE}
+    return {"op10_top_k_search": topk.ORACLE, "op12_cover_tree_negatives": hard_negatives.ORACLE, "op13_conversation_trie": conversation_trie.ORACLE}
