@@ -22,7 +22,7 @@ from mwspark.functions import kernels as K
 from mwspark.functions.shared import write_shared
 from mwspark.functions.trees import NODE, stack
 from mwspark.mra import AXES, MRA, TREE_KEY
-from mwspark.operators.arith import add, lookup
+from mwspark.operators.arith import add
 from mwspark.operators.keys import ancestors, wrap_index
 from mwspark.operators.project import adaptive
 from mwspark.operators.transform import max_norms, rebuild, reconstruct_down
@@ -30,6 +30,9 @@ from mwspark.operators.transform import max_norms, rebuild, reconstruct_down
 BLOCKS = "oper_id string, term int, power int, n int, dl int, block array<double>, comp_norm array<double>"
 MOST_BAND = 96  # cells to either side that a block table reaches, at most
 MOST_BYTES = 256 << 20  # of an operator that is broadcast
+SIDE = {1: 7, 2: 4, 3: 3}  # log2 of a block's cells a side, by dimensions
+SLAB = 4 << 20  # numbers of a block with its halo that are held at once
+TASK = 2 << 20  # numbers of output that a task makes
 TINY = 1e-15
 GRADES, POINTS = 30, 24  # of the quadrature in the distance
 
@@ -126,22 +129,27 @@ class Operator:
     sign: dict[int, float]
     powers: tuple[int, ...]
 
-    def reach(self, n: int, root: int, least: float) -> int:
-        """The farthest cell, in any dimension, from which anything above least may come at scale n."""
-        far = 0
-        for by_power in self.norms.get(n, {}).values():
+    def gaps(self, n: int, root: int, least: float) -> dict[int, list[list[int]]]:
+        """By term and dimension the distances in cells from which a node of norm 1 may give more than least; terms without any are left out."""
+        out = {}
+        for term, by_power in self.norms.get(n, {}).items():
             top = [(max((s for s, _ in by_power[p].values()), default=0.0), max((w for _, w in by_power[p].values()), default=0.0)) for p in self.powers]
+            kept = []
             for d, p in enumerate(self.powers):
                 others = [t for e, t in enumerate(top) if e != d]
                 full = float(np.prod([s for s, _ in others]))
                 wavy = sum(w * float(np.prod([s for f, (s, _) in enumerate(others) if f != e])) for e, (_, w) in enumerate(others))
-                for dl, (s, w) in by_power[p].items():
-                    if n == root and s * full > least or w * full + s * wavy > least:
-                        far = max(far, abs(dl))
-        return far
+                kept.append([dl for dl, (s, w) in by_power[p].items() if (n == root and s * full > least) or w * full + s * wavy > least])
+            if all(kept):
+                out[term] = kept
+        return out
+
+    def reach(self, n: int, root: int, least: float) -> int:
+        """The farthest cell, in any dimension, from which anything above least may come at scale n."""
+        return max((abs(dl) for kept in self.gaps(n, root, least).values() for some in kept for dl in some), default=0)
 
 
-def collect_operator(oper: DataFrame, kernel: DataFrame, mra: MRA, powers: tuple[int, ...] | None = None) -> Operator:
+def collect_operator(oper: DataFrame, sign: dict[int, float], mra: MRA, powers: tuple[int, ...]) -> Operator:
     """A block table of one operator: terms x scales x band blocks, whose size is checked before it is collected."""
     held = oper.agg(F.sum(F.size("block")) * 8).first()[0] or 0
     if held > MOST_BYTES:
@@ -153,48 +161,128 @@ def collect_operator(oper: DataFrame, kernel: DataFrame, mra: MRA, powers: tuple
         blocks.setdefault(r.n, {}).setdefault(r.term, {}).setdefault(r.power, {})[r.dl] = np.array(r.block).reshape(two, two)
         full, wave = float(np.sqrt(np.square(r.comp_norm).sum())), float(np.sqrt(np.square(r.comp_norm[1:]).sum()))
         norms.setdefault(r.n, {}).setdefault(r.term, {}).setdefault(r.power, {})[r.dl] = (full, wave)
-    rows = kernel.collect()
-    only = rows[0].power if rows else 0
-    return Operator(blocks, norms, {r.term: float(np.sign(r.coef)) for r in rows}, powers or (only,) * mra.dim)
-
-
-def _tensor(a: np.ndarray, dim: int, mats: list[np.ndarray]) -> np.ndarray:
-    """Rows (2^dim blocks of K^dim) with mats[d] (2K x 2K) applied along dimension d."""
-    n, k1 = len(a), len(mats[0]) // 2
-    a = a.reshape((n,) + (2,) * dim + (k1,) * dim)
-    for d, m in enumerate(mats):
-        axes = (dim - d, 2 * dim - d)
-        a = np.moveaxis(np.tensordot(a, m.reshape(2, k1, 2, k1), axes=(axes, (2, 3))), (-2, -1), axes)
-    return a.reshape(n, -1)
-
-
-def _scaling_tensor(s: np.ndarray, dim: int, mats: list[np.ndarray]) -> np.ndarray:
-    n, k1 = len(s), len(mats[0]) // 2
-    s = s.reshape((n,) + (k1,) * dim)
-    for d, m in enumerate(mats):
-        s = np.moveaxis(np.tensordot(s, m[:k1, :k1], axes=((dim - d,), (1,))), -1, dim - d)
-    return s.reshape(n, -1)
-
-
-def _contribution(a: np.ndarray, n: int, gap: tuple[int, ...], oper: Operator, mra: MRA, least: float) -> np.ndarray | None:
-    """What input nodes (rows) that lie gap cells away give to their output nodes; None if below least."""
-    dim, size, root = mra.dim, mra.size, mra.world.scale
-    out = None
-    norm = float(np.sqrt((a * a).sum(1).max(initial=0)))
-    for term, by_power in oper.blocks.get(n, {}).items():
-        mats = [by_power[p].get(g) for p, g in zip(oper.powers, gap, strict=True)]
-        if any(m is None for m in mats):
-            continue
-        ends = [oper.norms[n][term][p][g] for p, g in zip(oper.powers, gap, strict=True)]
-        full = float(np.prod([s for s, _ in ends]))
-        bound = full if n == root else sum(w * full / s for s, w in ends if s)
-        if bound * norm <= least:
+    return Operator(blocks, norms, sign, powers)
+
+
+def _axes(dim: int) -> list[int]:
+    """The axes of rows of nodes (2, .., 2, K, .., K), so that a dimension's block axis stands before its inner axis."""
+    return [0, *[x for d in range(dim) for x in (1 + d, 1 + dim + d)]]
+
+
+def to_boxes(a: np.ndarray, dim: int, k1: int) -> np.ndarray:
+    """Rows of coefficients as (rows, 2K, .., 2K); the last axis is x."""
+    return a.reshape((len(a),) + (2,) * dim + (k1,) * dim).transpose(_axes(dim)).reshape((len(a),) + (2 * k1,) * dim)
+
+
+def from_boxes(a: np.ndarray, dim: int, k1: int) -> np.ndarray:
+    return a.reshape((len(a),) + (2, k1) * dim).transpose(np.argsort(_axes(dim))).reshape(len(a), -1)
+
+
+class Cells:
+    """The nodes that one block of output cells needs, by scale: those of the block's scale n, and leaves above them."""
+
+    def __init__(self, n: int, scale: np.ndarray, at: np.ndarray, coef: np.ndarray, mra: MRA) -> None:
+        self.mra, self.by_scale = mra, {}
+        for m in np.unique(scale):
+            rows = np.flatnonzero(scale == m)
+            low = at[rows].min(0)
+            extent = at[rows].max(0) - low + 1
+            order = np.argsort(self._number(at[rows], low, extent))
+            self.by_scale[int(m)] = low, extent, self._number(at[rows], low, extent)[order], coef[rows[order]]
+        self.n, self.top = n, min(self.by_scale, default=n)
+
+    @staticmethod
+    def _number(at: np.ndarray, low: np.ndarray, extent: np.ndarray) -> np.ndarray:
+        x = at - low
+        return (x[:, 0] * extent[1] + x[:, 1]) * extent[2] + x[:, 2]
+
+    def get(self, at: np.ndarray, m: int) -> np.ndarray:
+        """Coefficients of cells (rows, 3) of scale m: of nodes, generated below leaves, or zero where there is neither."""
+        mra = self.mra
+        out = np.zeros((len(at), mra.blocks * mra.size))
+        left = np.arange(len(at))
+        if m in self.by_scale:
+            low, extent, numbers, coef = self.by_scale[m]
+            fits = np.flatnonzero(((at >= low) & (at < low + extent)).all(1))
+            wanted = self._number(at[fits], low, extent)
+            place = np.minimum(np.searchsorted(numbers, wanted), len(numbers) - 1)
+            hit = numbers[place] == wanted
+            out[fits[hit]] = coef[place[hit]]
+            left = np.setdiff1d(left, fits[hit], assume_unique=True)
+        if m > self.top and len(left):
+            up = at[left].copy()
+            up[:, : mra.dim] >>= 1
+            parents, which = np.unique(up, axis=0, return_inverse=True)
+            s = B.reconstruct(self.get(parents, m - 1), mra.dim, mra.k, mra.basis).reshape(len(parents), mra.blocks, mra.size)
+            child = ((at[left, : mra.dim] & 1) << np.arange(mra.dim)).sum(1)
+            out[left, : mra.size] = s[which.ravel(), child]
+        return out
+
+
+def _along(matrix: np.ndarray, x: np.ndarray, axis: int) -> np.ndarray:
+    return np.moveaxis(np.tensordot(matrix, x, axes=(1, axis)), 0, axis)
+
+
+def convolve_block(outputs: np.ndarray, n: int, cells: Cells, oper: Operator, mra: MRA, least: float, keep=None) -> np.ndarray:
+    """Coefficients (rows, 2^D K^D) of output cells (rows, 3) of scale n that lie near each other.
+
+    The cells' box with its halo is one array in which a term is a product of banded matrices, one for each dimension, so
+    a term costs dimensions times band, not band to the power of dimensions. The box is taken in slabs of the last dimension.
+    keep says which input cells count. What a term gives below least is left out.
+    """
+    dim, k1, root = mra.dim, mra.k + 1, mra.world.scale
+    m, width = 2 * k1, mra.blocks * mra.size
+    low, high = outputs.min(0), outputs.max(0) + 1
+    sides = (high - low)[:dim]
+    norm = max((float(np.sqrt((c * c).sum(1).max(initial=0))) for _, _, _, c in cells.by_scale.values()), default=0.0)
+    gaps = oper.gaps(n, root, least / norm) if norm > 0 else {}
+    total = np.zeros(tuple(int(s) * m for s in sides[::-1]))
+    reach = [max((abs(g) for kept in gaps.values() for g in kept[d]), default=0) for d in range(dim)]
+    if not gaps:
+        return np.zeros((len(outputs), width))
+    ranges = [np.arange(low[d] - reach[d], high[d] + reach[d]) for d in range(dim)]
+    layer = int(np.prod([len(r) for r in ranges[:-1]], initial=1)) * width
+    step = max(1, SLAB // layer)
+
+    def matrix(term: int, d: int, part: int) -> np.ndarray:
+        """(outputs, inputs) of a term along dimension d; part: components of a cell, all or the scaling ones."""
+        blocks = oper.blocks[n][term][oper.powers[d]]
+        out = np.zeros((int(sides[d]), part, len(ranges[d]), part))
+        i = np.arange(int(sides[d]))
+        for g in gaps[term][d]:
+            out[i, :, i + reach[d] + g, :] = blocks[g][:part, :part]
+        return out.reshape(int(sides[d]) * part, -1)
+
+    parts = (m,) if n == root else (m, k1)
+    matrices = {(t, d, part): matrix(t, d, part) for t in gaps for d in range(dim) for part in parts}
+    for z in range(0, len(ranges[-1]), step):
+        last = ranges[-1][z : z + step]
+        axes = [*ranges[:-1], last]
+        at = np.zeros((int(np.prod([len(r) for r in axes])), 3), np.int64)
+        for d, g in enumerate(np.meshgrid(*axes[::-1], indexing="ij")[::-1]):
+            at[:, d] = g.ravel()
+        inside = np.ones(len(at), bool) if keep is None else keep(at)
+        rows = np.zeros((len(at), width))
+        rows[inside] = cells.get(at[inside], n)
+        if not rows.any():
             continue
-        part = _tensor(a, dim, mats)
-        if n > root:
-            part[:, :size] -= _scaling_tensor(a[:, :size], dim, mats)
-        out = oper.sign[term] * part + (0 if out is None else out)
-    return out
+        shape = [len(r) for r in axes[::-1]]
+        # (cells, components) of a dimension side by side, z first
+        box = to_boxes(rows, dim, k1).reshape(*shape, *(m,) * dim).transpose([x for d in range(dim) for x in (d, dim + d)])
+        for part, sign in zip(parts, (1.0, -1.0), strict=False):
+            some = box[tuple(x for _ in range(dim) for x in (slice(None), slice(part)))].reshape([s * part for s in shape])
+            got = np.zeros([int(s) * part for s in sides[::-1]])
+            for t in gaps:
+                x = some
+                for d in range(dim - 1):
+                    x = _along(matrices[t, d, part], x, dim - 1 - d)
+                got += oper.sign[t] * _along(matrices[t, dim - 1, part][:, z * part : (z + len(last)) * part], x, 0)
+            view = total.reshape([x for s in sides[::-1] for x in (int(s), m)])
+            view[tuple(x for _ in range(dim) for x in (slice(None), slice(part)))] += sign * got.reshape([x for s in sides[::-1] for x in (int(s), part)])
+    order = [2 * d for d in range(dim)] + [2 * d + 1 for d in range(dim)]
+    nodes = total.reshape([x for s in sides[::-1] for x in (int(s), m)]).transpose(order)
+    place = tuple(outputs[:, d] - low[d] for d in range(dim))[::-1]
+    return from_boxes(nodes[place], dim, k1)
 
 
 def local_precision(prec_trees: DataFrame, mra: MRA):
@@ -214,72 +302,84 @@ def local_precision(prec_trees: DataFrame, mra: MRA):
 def apply(oper: Operator, nodes: DataFrame, mra: MRA, prec: float, max_iter: int = -1, abs_prec: bool = False, start: DataFrame | None = None, field: str | None = None, prec_trees: DataFrame | None = None) -> DataFrame:
     """The convolution of every tree of nodes (tree_id stays), from the roots or start, refined while wavelets are above prec.
 
-    field: "near" takes only input cells inside the world's unit cell, "far" only those outside (periodic worlds).
-    prec_trees: tighter where these trees (same tree_id) are large.
-    Cells are dealt to tasks by spatial blocks about as wide as the band; an input node goes once to each block that it reaches.
+    What counts is judged for each tree by its own norm. field: "near" takes only input cells inside the world's unit cell, "far" only
+    those outside (periodic worlds). prec_trees: tighter where these trees (same tree_id) are large.
+
+    Output cells lie in blocks, cubes of at most SIDE cells a side. A block gets the nodes of its own scale in the blocks within the
+    band, once each, and the leaves that cover such blocks or lie in them; cells below leaves are made where they are used. So a
+    task's input is bounded by the nodes that exist, not by the cells of the halo, and its arrays by a slab of the block with its halo.
     """
     spark, dim, root = nodes.sparkSession, mra.dim, mra.world.scale
     width = mra.blocks * mra.size
     shared = spark.sparkContext.broadcast(oper)
-    norm = nodes.where("is_end").groupBy("tree_id").agg(F.sum("sq_norm").alias("q"))
-    largest = float(np.sqrt(norm.agg(F.max("q")).first()[0] or 0.0))
-    least = max(TINY, (prec if prec > 0 else 1e-9) * (1.0 if abs_prec else largest) * 1e-2 / max(1, len(oper.sign)) ** 0.5)
+    nodes = nodes.select(*TREE_KEY, "is_end", "coef", "sq_norm")
+    norm = write_shared(nodes.where("is_end").groupBy("tree_id").agg(F.sqrt(F.sum("sq_norm")).alias("norm")))
+    share = max(TINY, (prec if prec > 0 else 1e-9) * 1e-2 / max(1, len(oper.sign)) ** 0.5)  # of the norm, or as it is
+    largest = float(norm.agg(F.max("norm")).first()[0] or 0.0)
     if start is None:
-        roots = nodes.where(F.col("n") == root).select(*TREE_KEY).distinct()
-        start = roots
-    scales = sorted(oper.blocks)
-    reach = {n: oper.reach(n, root, least / max(largest, 1e-300)) for n in scales}
-    far = F.create_map(*[F.lit(x) for n in scales for x in (n, reach[n])]) if scales else None
-    inside = lambda: reduce(lambda a, b: a & b, [(F.col(f"u{a[1]}") >= mra.world.corner[d] * F.pow(F.lit(2.0), F.col("n") - root)) & (F.col(f"u{a[1]}") < (mra.world.corner[d] + mra.world.boxes[d]) * F.pow(F.lit(2.0), F.col("n") - root)) for d, a in enumerate(AXES[:dim])])
+        start = nodes.where(F.col("n") == root).select(*TREE_KEY).distinct()
+    reach = {n: oper.reach(n, root, share / (max(1.0, largest) if abs_prec else 1.0)) for n in sorted(oper.blocks)}
+    # side 2^shift of a block, not above a root cell, and how many blocks away input may come from
+    shift = {n: min(SIDE[dim], n - root) for n in reach}
+    blocks_off = {n: -(-reach[n] >> shift[n]) if reach[n] else 0 for n in reach}
+    of_scale = lambda table, c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c), F.lit(0)) if table else F.lit(0)
+    world = mra.world
 
     def calc(cells: DataFrame) -> DataFrame:
-        cells = write_shared(cells.select(*TREE_KEY).withColumn("reach", F.coalesce(F.element_at(far, F.col("n")), F.lit(0))))
-        # a block is a cube of cells whose side is a power of two, at least the reach
-        shift = F.ceil(F.log2(F.greatest(F.col("reach"), F.lit(1)).cast("double"))).cast("int")
-        block = lambda c: F.expr(f"shiftright({c}, shift)")
-        cells = cells.withColumn("shift", shift)
-        for a in AXES:
-            cells = cells.withColumn("b" + a[1], block(a))
         keys = ["tree_id", "n", "bx", "by", "bz"]
-        # the input cells that a block needs: those of its cells, and to either side as far as the reach
-        wanted = cells
+        cells = cells.select(*TREE_KEY).withColumn("shift", of_scale(shift, F.col("n")))
+        cells = cells.select(*TREE_KEY, "shift", *[F.expr(f"shiftright({a}, {'shift' if d < dim else '0'})").alias("b" + a[1]) for d, a in enumerate(AXES)])
+        cells = write_shared(cells.join(norm, "tree_id", "left"))
+        # the blocks within the band: u is where they lie, w (in a periodic world) what is there
+        around = cells.select(*keys, "shift").distinct().withColumn("off", of_scale(blocks_off, F.col("n"))).withColumn("bn", F.col("n") - F.col("shift"))
         for d, a in enumerate(AXES):
-            wanted = wanted.withColumn("u" + a[1], F.explode(F.sequence(F.col(a) - F.col("reach"), F.col(a) + F.col("reach"))) if d < dim else F.col(a))
-        wanted = wanted.select(*keys, "ux", "uy", "uz").distinct()
-        if field:
-            wanted = wanted.where(inside() if field == "near" else ~inside())
-        wanted = wanted.select(*keys, "ux", "uy", "uz", *[F.col("u" + a[1]).alias(a) for a in AXES])
-        wanted = write_shared(wanted.select(*keys, "ux", "uy", "uz", *wrap_index(mra.world)))
-        found = lookup(nodes, wanted.select(*TREE_KEY).distinct(), mra)
-        given = wanted.join(found, TREE_KEY).select(*keys, "ux", "uy", "uz", "coef")
-        cells = cells.select(*[F.col(c).alias(c) for c in [*keys, *AXES]])
+            b = F.col("b" + a[1])
+            low = F.lit(float(world.corner[d] if d < dim else 0)) * F.pow(F.lit(2.0), F.col("bn") - root)
+            high = F.lit(float(world.corner[d] + world.boxes[d] if d < dim else 1)) * F.pow(F.lit(2.0), F.col("bn") - root) - 1
+            free = d < dim and world.periodic[d]
+            first, last = (b - F.col("off"), b + F.col("off")) if free else (F.greatest(b - F.col("off"), low.cast("int")), F.least(b + F.col("off"), high.cast("int")))
+            around = around.withColumn("u" + a[1], F.explode(F.sequence(first, last)) if d < dim else F.lit(0))
+        wrapped = around.select(*keys, "bn", "ux", "uy", "uz", *[F.col("u" + a[1]).alias(a) for a in AXES]).select(*keys, "bn", "ux", "uy", "uz", *wrap_index(world, F.col("bn")))
+        around = write_shared(wrapped.withColumnsRenamed({"lx": "wx", "ly": "wy", "lz": "wz"}))
+        asked = [r[0] for r in cells.select("n").distinct().collect()]
+        # nodes of scale n, and leaves of coarser scales that lie in a block, by the block of scale n - shift ..
+        some = nodes.select(*TREE_KEY, "is_end", "coef").withColumn("to", F.explode(F.array(*[F.lit(n) for n in asked])))
+        within = some.where((F.col("n") <= F.col("to")) & (F.col("n") >= F.col("to") - of_scale(shift, F.col("to"))) & ((F.col("n") == F.col("to")) | F.col("is_end")))
+        up = F.col("n") - F.col("to") + of_scale(shift, F.col("to"))
+        within = within.withColumn("up", up).select("tree_id", F.col("to").alias("n"), F.col("n").alias("m"), *AXES, "coef", *[F.expr(f"shiftright({a}, {'up' if d < dim else '0'})").alias("w" + a[1]) for d, a in enumerate(AXES)])
+        # .. and leaves that cover whole blocks of the band; in a periodic world all count where their images lie
+        images = [(F.col(a) + ((F.col("u" + a[1]) - F.col("w" + a[1])) * F.pow(F.lit(2.0), F.col("m") - F.col("bn"))).cast("int")).alias("i" + a[1]) for a in AXES]
+        given = around.join(within, ["tree_id", "n", "wx", "wy", "wz"]).select(*keys, "m", *images, "coef")
+        covered = around.select("tree_id", F.col("bn").alias("n"), *[F.col("w" + a[1]).alias(a) for a in AXES]).distinct()
+        leaves = nodes.where("is_end").select("tree_id", F.col("n").alias("an"), *[F.col(a).alias("a" + a[1]) for a in AXES], "coef")
+        above = ancestors(covered, root, itself=False).join(leaves.drop("coef"), ["tree_id", "an", "ax", "ay", "az"])
+        above = above.select("tree_id", F.col("n").alias("bn"), *[F.col(a).alias("w" + a[1]) for a in AXES], F.col("an").alias("m"), *[F.col("a" + a[1]).alias(a) for a in AXES])
+        above = around.join(above, ["tree_id", "bn", "wx", "wy", "wz"]).select(*keys, "m", *images, *AXES).distinct()
+        above = above.join(leaves.select("tree_id", F.col("an").alias("m"), *[F.col("a" + a[1]).alias(a) for a in AXES], "coef"), ["tree_id", "m", *AXES])
+        given = given.unionByName(above.select(*keys, "m", "ix", "iy", "iz", "coef"))
+        tasks = 1 + cells.count() * width // TASK
+        task = F.pmod(F.xxhash64(*keys), F.lit(tasks)).alias("task")
+        cells = cells.select(*[F.col(c).alias(c) for c in [*keys, *AXES, "norm"]], task)
+        given = given.select("*", task)
 
         def one(cell: pd.DataFrame, node: pd.DataFrame) -> pd.DataFrame:
             out = np.zeros((len(cell), width))
-            if len(cell) and len(node):
-                n = int(cell.n.iloc[0])
-                a = stack(node.coef, width)
-                lo = np.array([min(cell[x].min(), node["u" + x[1]].min()) for x in AXES])
-                hi = np.array([max(cell[x].max(), node["u" + x[1]].max()) for x in AXES]) - lo + 1
-                place = lambda p: ((p[:, 0] - lo[0]) * hi[1] + p[:, 1] - lo[1]) * hi[2] + p[:, 2] - lo[2]
-                at = np.full(int(np.prod(hi)), -1)
-                at[place(node[["ux", "uy", "uz"]].to_numpy(np.int64))] = np.arange(len(node))
-                mine = cell[list(AXES)].to_numpy(np.int64)
-                far = reach.get(n, 0)
-                for gap in np.ndindex(*(2 * far + 1,) * dim):
-                    step = np.zeros(3, np.int64)
-                    step[:dim] = np.array(gap) - far
-                    to = mine + step
-                    fits = np.flatnonzero(((to >= lo) & (to < lo + hi)).all(1))
-                    src = at[place(to[fits])]
-                    fits, src = fits[src >= 0], src[src >= 0]
-                    if len(fits):
-                        part = _contribution(a[src], n, tuple(int(x) for x in step[:dim]), shared.value, mra, least)
-                        if part is not None:
-                            out[fits] += part
+            cell, node = cell.reset_index(drop=True), node.reset_index(drop=True)
+            held = node.groupby(keys, sort=False).indices
+            for key, rows in cell.groupby(keys, sort=False).indices.items():
+                near = held.get(key)
+                if near is not None:
+                    n = int(key[1])
+                    source = Cells(n, node.m.to_numpy()[near], node[["ix", "iy", "iz"]].to_numpy(np.int64)[near], stack(node.coef.iloc[near], width), mra)
+                    least = share * (1.0 if abs_prec else float(cell.norm.iloc[rows[0]] or 0.0))
+                    corner = np.array([world.corner[d] if d < dim else 0 for d in range(3)]) * 2.0 ** (n - root)
+                    beyond = np.array([world.corner[d] + world.boxes[d] if d < dim else 1 for d in range(3)]) * 2.0 ** (n - root)
+                    inside = lambda at: ((at[:, :dim] >= corner[:dim]) & (at[:, :dim] < beyond[:dim])).all(1)  # noqa: E731, B023
+                    keep = None if field is None else inside if field == "near" else lambda at: ~inside(at)  # noqa: B023
+                    out[rows] = convolve_block(cell[list(AXES)].to_numpy(np.int64)[rows], n, source, shared.value, mra, least, keep)
             return cell[["tree_id", "n", *AXES]].assign(is_end=True, coef=list(out))
 
-        return cells.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInPandas(one, NODE)
+        return cells.groupBy("task").cogroup(given.groupBy("task")).applyInPandas(one, NODE)
 
     def finish(done: DataFrame) -> DataFrame:
         whole = reconstruct_down(done, mra, add=True)
@@ -318,7 +418,8 @@ def apply_complex(real: Operator, imag: Operator, nodes: DataFrame, mra: MRA, pr
 
 def _make(spark: SparkSession, kernel: pd.DataFrame, mra: MRA, max_scale: int, reach: int | None = None, powers: tuple[int, ...] | None = None) -> Operator:
     table = K.table(spark, kernel)
-    return collect_operator(write_shared(build_operator(table, mra, max_scale, reach)), table, mra, powers)
+    sign = {int(t): float(np.sign(c)) for t, c in zip(kernel.term, kernel.coef, strict=True)}
+    return collect_operator(write_shared(build_operator(table, mra, max_scale, reach)), sign, mra, powers or (int(kernel.power.iloc[0]),) * mra.dim)
 
 
 def _distances_of(mra: MRA, prec: float, reach: int | None) -> tuple[float, float, float]:

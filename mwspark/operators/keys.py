@@ -111,13 +111,13 @@ def child_of_point(world: World) -> Column:
     return out
 
 
-def wrap_index(world: World) -> list[Column]:
-    """Translations wrapped into a periodic world; other dimensions stay."""
+def wrap_index(world: World, n: Column | None = None) -> list[Column]:
+    """Translations at scale n (the column n) wrapped into a periodic world; other dimensions stay."""
     out = []
+    cells = F.pow(F.lit(2), (F.col("n") if n is None else n) - world.scale)
     for d, name in enumerate(AXES):
         if d < world.dim and world.periodic[d]:
-            per = (F.lit(world.boxes[d]) * F.pow(F.lit(2), F.col("n") - world.scale)).cast("int")
-            low = (F.lit(world.corner[d]) * F.pow(F.lit(2), F.col("n") - world.scale)).cast("int")
+            per, low = (F.lit(world.boxes[d]) * cells).cast("int"), (F.lit(world.corner[d]) * cells).cast("int")
             out.append((F.pmod(F.col(name) - low, per) + low).cast("int").alias(name))
         else:
             out.append(F.col(name))

@@ -74,7 +74,7 @@ def test_identity_keeps_the_integral_and_bands_shrink(spark, wide):
     table = write_shared(convolution.build_operator(kernel, UNIT, 12))
     widths = {(r.depth, r.component): r.width for r in convolution.band_widths(table, UNIT, 1e-3).collect()}
     assert all(w <= 3 for (depth, part), w in widths.items() if part == 3) and widths[5, 0] > widths[3, 0]
-    out = convolution.apply(convolution.collect_operator(table, kernel, UNIT), wide, UNIT, 1e-3)
+    out = convolution.apply(convolution.collect_operator(table, {0: 1.0}, UNIT, (0,)), wide, UNIT, 1e-3)
     assert one(reduce.integrate(out, UNIT), "integral") == pytest.approx(one(reduce.integrate(wide, UNIT), "integral"), rel=1e-4)
 
 
@@ -116,12 +116,64 @@ def test_cartesian_and_derivative_kernels(spark, narrow):
     assert one(reduce.square_norm(x1), "square_norm")["a"] == pytest.approx(want, rel=1e-4)
 
 
+@pytest.mark.parametrize("basis", ["legendre", "interpolating"])
+def test_a_block_is_a_sum_over_all_pairs_of_cells(basis):
+    m = MRA(World(2, 0), 1, basis)
+    rng = np.random.default_rng(4)
+    blocks = {n: {0: {0: {g: rng.normal(size=(4, 4)) for g in range(-2, 2)}}, 1: {0: {g: rng.normal(size=(4, 4)) for g in (0, 1)}}} for n in (0, 3)}
+    norms = {n: {t: {0: {g: (float(np.linalg.norm(b)), float(np.linalg.norm(b))) for g, b in x[0].items()}} for t, x in by.items()} for n, by in blocks.items()}
+    oper = convolution.Operator(blocks, norms, {0: 1.0, 1: -1.0}, (0, 0))
+    for n, at in ((3, np.array([[x, y, 0] for x in range(8) for y in range(8) if (x * y) % 3 != 1])), (0, np.array([[0, 0, 0], [1, 0, 0], [3, 2, 0]]))):
+        coef = rng.normal(size=(len(at), 16))
+        out = at[::2]
+        got = {}
+        for slab in (1, 1 << 20):
+            convolution.SLAB = slab
+            got[slab] = convolution.convolve_block(out, n, convolution.Cells(n, np.full(len(at), n), at, coef, m), oper, m, 1e-300)
+        want = np.zeros_like(got[1])
+        for i, o in enumerate(out):
+            for a, c in zip(at, coef, strict=True):
+                gx, gy = (a - o)[:2]
+                for t, sign in oper.sign.items():
+                    bx, by = blocks[n][t][0].get(gx), blocks[n][t][0].get(gy)
+                    if bx is not None and by is not None:
+                        full = np.einsum("aibj,ckdl,dblj->caki", bx.reshape(2, 2, 2, 2), by.reshape(2, 2, 2, 2), c.reshape(2, 2, 2, 2))
+                        if n:
+                            full[0, 0] -= np.einsum("ij,kl,lj->ki", bx[:2, :2], by[:2, :2], c.reshape(2, 2, 2, 2)[0, 0])
+                        want[i] += sign * full.ravel()
+        assert np.allclose(got[1], want) and np.allclose(got[1 << 20], want)
+    convolution.SLAB = 4 << 20
+
+
+def test_cells_below_leaves_are_generated():
+    m = MRA(World(2, 0), 2, "legendre")
+    rng = np.random.default_rng(4)
+    leaf, cell = rng.normal(size=(1, 36)), rng.normal(size=(1, 36))
+    cells = convolution.Cells(3, np.array([1, 3]), np.array([[0, 1, 0], [7, 7, 0]]), np.vstack([leaf, cell]), m)
+    got = cells.get(np.array([[7, 7, 0], [1, 6, 0], [6, 6, 0], [-3, 0, 0]]), 3)
+    from mwspark.functions import basis as B
+
+    up = B.reconstruct(leaf, 2, 2, "legendre").reshape(4, 9)[2]  # x: 0 -> 0, y: 1 -> 3 at scale 2
+    down = B.reconstruct(np.concatenate([up, np.zeros(27)])[None], 2, 2, "legendre").reshape(4, 9)[1]
+    assert np.allclose(got[0], cell) and np.allclose(got[1, :9], down) and not got[1, 9:].any() and not got[2:].any()
+
+
+def test_trees_are_judged_by_their_own_norms(spark):
+    rows = [(name, 0, c, [200.0], [0.5], [0]) for name, c in (("small", 1e-4), ("big", 1e4), ("tiny", 1e-12))]
+    f = write_shared(project.project_gaussians(spark.createDataFrame(rows, G.ROW), UNIT, 1e-6))
+    out = write_shared(convolution.apply(convolution.heat_operator(spark, UNIT, DT, 8), f, UNIT, 1e-6))
+    got, before = one(reduce.integrate(out, UNIT), "integral"), one(reduce.integrate(f, UNIT), "integral")
+    assert all(got[name] == pytest.approx(before[name], rel=1e-6) for name in ("small", "big", "tiny"))
+    grids = {name: set(out.where(F.col("tree_id") == name).select("n", "lx").collect()) for name in got}
+    assert grids["small"] == grids["big"] and len(grids["big"]) > 10  # the least wavelet norm that splits a cell is absolute, so tiny has fewer
+
+
 def test_poisson_self_energy(spark):
-    m = MRA(World(3, -2, (-1,) * 3, (2,) * 3), 4, "interpolating", 10)
+    m = MRA(World(3, -2, (-1,) * 3, (2,) * 3), 5, "interpolating", 10)
     beta = 3.0
-    g = spark.createDataFrame([("a", 0, (beta / np.pi) ** 1.5, [beta] * 3, [0.3, 0.2, 0.1], [0] * 3)], G.ROW)
-    f = write_shared(project.project_gaussians(g, m, 1e-3))
+    rows = [(name, 0, c * (beta / np.pi) ** 1.5, [beta] * 3, [0.3, 0.2, 0.1], [0] * 3) for name, c in (("a", 1.0), ("b", 1e-5))]
+    f = write_shared(project.project_gaussians(spark.createDataFrame(rows, G.ROW), m, 1e-3))
     v = convolution.apply(convolution.poisson_operator(spark, m, 1e-3, 3), f, m, 1e-3)
-    pair = spark.createDataFrame([("a", "a")], "bra_id string, ket_id string")
-    charge = one(reduce.integrate(f, m), "integral")["a"]
-    assert reduce.dot_pairs(pair, f, v, m).first()["dot"] == pytest.approx((2 * beta / np.pi) ** 0.5 * charge**2, rel=2e-3)
+    pairs = spark.createDataFrame([("a", "a"), ("b", "b")], "bra_id string, ket_id string")
+    got = {r.bra_id: r.dot for r in reduce.dot_pairs(pairs, f, v, m).collect()}
+    assert got["a"] == pytest.approx((2 * beta / np.pi) ** 0.5, rel=1e-3) and got["b"] == pytest.approx(1e-10 * (2 * beta / np.pi) ** 0.5, rel=1e-3)
