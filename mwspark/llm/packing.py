@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -64,8 +65,30 @@ def tokenizer(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+LONG_RUN = 50_000
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # what the split pattern takes for white space
+LONG_RUNS = re.compile(SPACE + f"{{{LONG_RUN},}}")
+
+
 def ids_of(text: str, path: str) -> bytes:
-    return tokenizer(path).encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() if text else b""
+    """The ids of a whole text.
+
+    The split pattern backs up over a run of white space, for which the library has bounded room. A run is one piece but for its last
+    character, which goes with what follows; so a very long one is taken out and merged by itself.
+    """
+    if not text:
+        return b""
+    encode = tokenizer(path)
+    if len(text) < LONG_RUN:
+        return encode.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+    out, at = [], 0
+    for run in LONG_RUNS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out.append(encode.encode_to_numpy(text[at : run.start()], allowed_special="all"))
+        out.append(np.array(encode._encode_single_piece(text[run.start() : end]), np.uint32))
+        at = end
+    out.append(encode.encode_to_numpy(text[at:], allowed_special="all"))
+    return np.concatenate(out).astype("<u4").tobytes()
 
 
 class Packer:
