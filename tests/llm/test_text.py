@@ -62,6 +62,28 @@ def test_ownership_separates_examples_from_own_tokens(spark):
     assert {r.doc_id: r.t for r in text.collect()}[3] == "mine [SECRET]"
 
 
+def test_redaction_of_overlapping_and_many_spans(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(30):
+        text = "".join(rng.choice(list("abé\U0001f600\n"), int(rng.integers(1, 5000))))
+        starts = rng.integers(0, len(text), int(rng.integers(0, 40)))
+        rows.append((i, text, [(int(a), 0, int(min(len(text), a + rng.integers(1, 90))), "") for a in starts]))
+    text = " ".join(f"token=abcdefgh{i}" for i in range(24_000))
+    rows.append((30, text, [(m.start(), 0, m.end(), "") for m in re.finditer(r"token=\w+", text)]))
+    df = spark.createDataFrame(rows, f"doc_id long, text string, found {secrets.SPAN}")
+    began = time.time()
+    got = {r.doc_id: r.t for r in df.select("doc_id", secrets.redacted(F.col("text"), F.col("found"), "#").alias("t")).collect()}
+    assert time.time() - began < 20
+    for i, text, found in rows:
+        out, at = "", 0
+        for a, _, b, _ in sorted(found):
+            if a >= at:
+                out += text[at:a] + "#"
+            at = max(at, b)
+        assert got[i] == out + text[at:]
+
+
 def test_ownership_reads_repositories_and_counts_exact_copies_once(spark):
     example, live, few = "EXAMPLEtoken1234567890abcd", "9f8e7d6c5b4a39281706f5e4d3c2b1a0", "fewTEXTSoken1234567890abcd"
     rows = [(k, f"text {k} {example}", "one") for k in range(secrets.MAX_REPOS + 1)] + [(100 + k, f"mine {live}", f"s{k}") for k in range(secrets.MAX_OWNERS + 2)]
@@ -88,9 +110,7 @@ def test_many_matches_in_one_text(spark):
 
 @pytest.fixture(scope="module")
 def oracle():
-    t = Tokenizer.from_file(packing.VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.VOCABULARY)
 
 
 def test_both_engines_give_the_same_ids(oracle):
@@ -117,6 +137,14 @@ def test_both_engines_give_the_same_ids(oracle):
     assert all(np.frombuffer(packing.ids_of(t, packing.VOCABULARY), "<u4").tolist() == w.ids for t, w in zip(texts, want, strict=True))
 
 
+@pytest.mark.parametrize("run", [" " * 1_000_000, " " * 10_000_000, "\n \u3000\t" * 30_000, " " * (packing.LONG_RUN - 1), " " * packing.LONG_RUN])
+def test_very_long_white_space(oracle, run):
+    few = len(run) > 2_000_000
+    for text in (run, f"a{run}b") if few else (run, f"a{run}b", f"{run}9{run}<|endoftext|>{run}'s x{run[:7]}"):
+        got = np.frombuffer(packing.ids_of(text, packing.VOCABULARY), "<u4")
+        assert np.array_equal(got, np.array(oracle.encode(text, add_special_tokens=False).ids, np.uint32))
+
+
 def test_added_tokens_in_a_text_are_matched(spark):
     default = Tokenizer.from_file(packing.VOCABULARY)
     rng = random.Random(6)
