@@ -388,6 +388,17 @@ def _(spark, sf_dir):
     return reduce.integrate(out, HAAR).select("tree_id", F.round(F.col("integral") + 3.7e-5, 2).alias("integral"))
 
 
+@query("e5_multiply_many", f"WITH {haar_sql(by=SUPPLIER)}, {haar_sql('l_linenumber', 'other', SUPPLIER)} SELECT leaf.tree_id, round(sum(0.5 * f * f * g) / {2**LEAF} / 100 + 3.7e-5, 2) AS integral FROM leaf JOIN (SELECT tree_id, l, f AS g FROM other) o ON o.tree_id = leaf.tree_id AND o.l = leaf.l GROUP BY 1")
+def _(spark, sf_dir):
+    """Products of three factors for each supplier: its quantities twice and its line numbers."""
+    f, g = (t.withColumn("tree_id", F.concat("tree_id", F.lit(x))) for t, x in zip(_pair(spark, sf_dir), "fg", strict=True))
+    t = write_shared(f.unionByName(g))
+    ids = f.select(F.regexp_replace("tree_id", "f$", "").alias("out_id")).distinct()
+    terms = ids.select("out_id", F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(c).alias("c")) for x, c in (("f", 0.25), ("f", 1.0), ("g", 2.0))])).alias("p"))
+    out = arith.multiply_many(terms.select("out_id", F.concat("out_id", "p.x").alias("tree_id"), "p.c"), t, HAAR)
+    return reduce.integrate(out, HAAR).select("tree_id", F.round(F.col("integral") / 100 + 3.7e-5, 2).alias("integral"))
+
+
 @query("e10_tree_map", f"WITH {haar_sql(by=SUPPLIER)} SELECT tree_id, round(sum(sqrt(f + 1) - 1) / {2**LEAF}, 4) AS integral FROM leaf GROUP BY 1")
 def _(spark, sf_dir):
     """A user's function of the values, pointwise."""
@@ -652,6 +663,69 @@ def _(spark, sf_dir):
     return j.select("tree_id", F.round(F.col("integral") / F.sqrt("square_norm") + 3.7e-5, 3).alias("integral"), F.round(F.sqrt("square_norm") + 3.7e-5, 3).alias("norm"))
 
 
+STEPS = "steps AS (SELECT CAST(range AS DOUBLE) AS i FROM range(2001))"
+SPACE = MRA(World(3, -2, (-1,) * 3, (2,) * 3), 5)
+CHARGE = """gs AS (SELECT 'q' || s_nationkey % 5 AS fn_id, s_acctbal / 1000 AS coef, CAST(s_suppkey % 2 + 1 AS DOUBLE) AS a, s_suppkey % 17 / 8.5 - 1 AS x0, s_suppkey % 13 / 6.5 - 1 AS x1, s_suppkey % 11 / 5.5 - 1 AS x2 FROM supplier),
+pairs AS (SELECT i.fn_id, i.coef * j.coef * pow(pi() / i.a, 1.5) * pow(pi() / j.a, 1.5) AS c, round(i.a * j.a / (i.a + j.a), 9) AS p, round(i.a * j.a / (i.a + j.a) * (pow(i.x0 - j.x0, 2) + pow(i.x1 - j.x1, 2) + pow(i.x2 - j.x2, 2)), 9) AS x FROM gs i JOIN gs j ON i.fn_id = j.fn_id)"""
+
+
+def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five sums of Gaussians in space, of the suppliers of every fifth nation."""
+    k = F.col("s_suppkey")
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.concat(F.lit("q"), (F.col("s_nationkey") % 5).cast("string")).alias("fn_id"), k.cast("long").alias("term"), (F.col("s_acctbal") / 1000).alias("coef"),
+        F.array_repeat((k % 2 + 1).cast("double"), 3).alias("alpha"), F.array(k % 17 / 8.5 - 1, k % 13 / 6.5 - 1, k % 11 / 5.5 - 1).alias("pos"), F.array_repeat(F.lit(0), 3).alias("power"),
+    )
+
+
+def energy_sql(mu: float) -> str:
+    """Energies of a charge in its own field of kernel exp(-mu r) / r, as an integral over the unit interval for each pair of Gaussians."""
+    at = f"exp(-x * i * i / 4e6 - CASE WHEN i = 0 THEN {'700' if mu else '0'} ELSE {mu * mu} * (4e6 - i * i) / (4 * p * i * i) END)"
+    return f"""WITH {CHARGE}, {STEPS}, u AS (SELECT DISTINCT p, x FROM pairs), w AS (SELECT p, x, sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {at}) / 6e3 AS f FROM u, steps GROUP BY 1, 2)
+SELECT fn_id AS tree_id, round(ln(sum(c * sqrt(4 * pairs.p / pi()) * f)) + 3.7e-4, 2) AS log_energy FROM pairs JOIN w ON w.p = pairs.p AND w.x = pairs.x GROUP BY 1"""
+
+
+def field_energy(spark: SparkSession, sf_dir: str, mu: float) -> DataFrame:
+    f = write_shared(project.project_gaussians(charges(spark, sf_dir), SPACE, 1e-3))
+    depth = int(f.agg(F.max("n")).first()[0]) + 2
+    oper = convolution.helmholtz_operator(spark, SPACE, mu, 1e-4, depth) if mu else convolution.poisson_operator(spark, SPACE, 1e-4, depth)
+    v = write_shared(convolution.apply(oper, f, SPACE, 1e-3))
+    own = f.select(F.col("tree_id").alias("bra_id"), F.col("tree_id").alias("ket_id")).distinct()
+    return reduce.dot_pairs(own, f, v, SPACE).select(F.col("bra_id").alias("tree_id"), F.round(F.log("dot") + 3.7e-4, 2).alias("log_energy"))
+
+
+@query("h4_apply_poisson", energy_sql(0.0))
+def _(spark, sf_dir):
+    """Electrostatic energies of sums of Gaussians in space: each with its own potential."""
+    return field_energy(spark, sf_dir, 0.0)
+
+
+@query("h4_apply_helmholtz", energy_sql(1.0))
+def _(spark, sf_dir):
+    """The same with the screened kernel exp(-r) / r."""
+    return field_energy(spark, sf_dir, 1.0)
+
+
+FREE = MRA(World(1, -3, (-1,), (2,)), 7)
+
+
+@query("h11_time_evolution", f"""WITH {GAUSS}, z AS (SELECT a.fn_id, a.coef * b.coef AS c, a.a0 * b.a0 AS p, a.a0 + b.a0 AS s, 0.8 * a.a0 * b.a0 AS q, pow(a.x0 - b.x0, 2) AS d FROM gs a JOIN gs b ON a.fn_id = b.fn_id),
+w AS (SELECT *, s * s + q * q AS zz FROM z), v AS (SELECT fn_id, sum(c * sqrt(pi() / s) * exp(-p * d / s)) AS n, sum(c * sqrt(pi()) * pow(zz, -0.25) * exp(-p * d * s / zz) * cos(p * d * q / zz - atan2(q, s) / 2)) AS re, sum(c * sqrt(pi()) * pow(zz, -0.25) * exp(-p * d * s / zz) * sin(p * d * q / zz - atan2(q, s) / 2)) AS im FROM w GROUP BY 1)
+SELECT fn_id, round(sqrt(n) + 3.7e-4, 2) AS norm, round(re / n + 3.7e-5, 3) AS overlap_re, round(im / n + 3.7e-5, 3) AS overlap_im FROM v""")
+def _(spark, sf_dir):
+    """Each nation's sum of Gaussians as the state of a free particle, after a time of 0.2: its norm, and its overlap with the state before."""
+    f = project.project_gaussians(gaussians(spark, sf_dir, dim=1), FREE, 1e-5)
+    f = write_shared(f.withColumn("tree_id", F.concat("tree_id", F.lit("/re"))))
+    out = write_shared(convolution.apply_complex(*convolution.time_evolution_operators(spark, FREE, 0.2, 5), f, FREE, 1e-5))
+    fn = lambda c: F.regexp_extract(c, "^(.*)/", 1).alias("fn_id")
+    before = reduce.square_norm(f).select(fn("tree_id"), F.col("square_norm").alias("n"))
+    after = reduce.square_norm(out).groupBy(fn("tree_id")).agg(F.sum("square_norm").alias("m"))
+    pairs = out.select("tree_id").distinct().select(F.concat(F.regexp_extract("tree_id", "^(.*)/", 1), F.lit("/re")).alias("bra_id"), F.col("tree_id").alias("ket_id"))
+    dots = reduce.dot_pairs(pairs, f, out, FREE).groupBy(fn("bra_id")).agg(*[F.sum(F.when(F.col("ket_id").endswith(p), F.col("dot"))).alias(p) for p in ("re", "im")])
+    j = before.join(after, "fn_id").join(dots, "fn_id")
+    return j.select("fn_id", F.round(F.sqrt("m") + 3.7e-4, 2).alias("norm"), *[F.round(F.col(p) / F.col("n") + 3.7e-5, 3).alias(f"overlap_{p}") for p in ("re", "im")])
+
+
 @query("h1_kernels", "SELECT c_custkey, round(1 / r, 2) AS poisson, round(exp(-0.5 * r) / r, 2) AS helmholtz, round(exp(-r * r / 0.2) / sqrt(0.2 * pi()), 6) AS heat FROM (SELECT c_custkey, 0.1 + abs(c_acctbal) / 20000 AS r FROM customer)")
 def _(spark, sf_dir):
     """Kernels as sums of Gaussians, at a distance that each customer's balance names."""
@@ -709,9 +783,6 @@ def _(spark, sf_dir):
     return g.select("fn_id", "term", F.round("lo_x", 6).alias("lo_x"), F.round("hi_y", 6).alias("hi_y"))
 
 
-STEPS = "steps AS (SELECT CAST(range AS DOUBLE) AS i FROM range(2001))"
-
-
 @query("j12_coulomb_energy", f"WITH {GAUSS}, {STEPS}, d AS (SELECT a.fn_id, a.a0 * b.a0 / (a.a0 + b.a0) AS al, pow(a.x0 - b.x0, 2) + pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2) AS r2 FROM gs a JOIN gs b ON a.fn_id = b.fn_id), v AS (SELECT fn_id, al, round(al * r2, 9) AS x FROM d), u AS (SELECT DISTINCT x FROM v), w AS (SELECT x, sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-x * i * i / 4e6)) / 6e3 AS f0 FROM u, steps GROUP BY 1) SELECT fn_id AS a_id, round(sum(sqrt(4 * al / pi()) * f0), 4) AS energy FROM v JOIN w ON w.x = v.x GROUP BY 1")
 def _(spark, sf_dir):
     """Energies between the unit-charge Gaussians of each nation's suppliers."""

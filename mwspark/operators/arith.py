@@ -19,16 +19,16 @@ from mwspark.operators.transform import from_values, push_down, rebuild, to_valu
 NODES_PER_TASK = 4096
 
 
-def sum_arrays(rows: DataFrame, keys: list[str], schema: str, width: int, cells: int) -> DataFrame:
-    """Sums of the coef arrays by key: first in each task, then by a hash of the key, so that no key gathers all its rows."""
+def sum_arrays(rows: DataFrame, keys: list[str], schema: str, width: int, cells: int, product: bool = False) -> DataFrame:
+    """Sums (or products) of the coef arrays by key: first in each task, then by a hash of the key, so that no key gathers all its rows."""
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pdf
         at = pdf.groupby(keys, sort=True, dropna=False).ngroup().to_numpy()
         _, first = np.unique(at, return_index=True)
-        total = np.zeros((len(first), width))
-        np.add.at(total, at, stack(pdf.coef, width))
+        total = np.ones((len(first), width)) if product else np.zeros((len(first), width))
+        (np.multiply if product else np.add).at(total, at, stack(pdf.coef, width))
         return pdf[keys].iloc[first].reset_index(drop=True).assign(coef=list(total))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,6 +85,39 @@ def multiply(terms: DataFrame, nodes: DataFrame, mra: MRA, prec: float = -1.0, m
     return adaptive(cells, lambda level: _products(level, both, terms, nodes, mra), mra, prec, max_iter, abs_prec)
 
 
+def multiply_many(terms: DataFrame, nodes: DataFrame, mra: MRA, prec: float = -1.0, max_iter: int = -1, abs_prec: bool = False, start: DataFrame | None = None, extra: int = 1) -> DataFrame:
+    """Pointwise products out_id of all c * tree over terms(out_id, tree_id, c), of any number of factors.
+
+    From start cells (tree_id = out_id, n, l..), or from the union grid of the factors split extra times. A tree that occurs
+    more than once is a power. An output with a factor that nodes don't hold is left out. The factors' values meet by cell: each task
+    multiplies what it has, then a hash of the cell deals the partial products, so that no output gathers its factors.
+    """
+    held = nodes.select("tree_id").distinct().withColumn("held", F.lit(True))
+    own = terms.groupBy("out_id", "tree_id").agg(F.count("*").alias("times"), F.product("c").alias("c")).join(held, "tree_id", "left")
+    own = write_shared(own.join(own.where("held is null").select("out_id").distinct(), "out_id", "left_anti").select("out_id", "tree_id", "times", "c"))
+    cells = children(union_leaves(own, nodes), mra.dim, extra).select(*TREE_KEY) if start is None else start.join(own.select(F.col("out_id").alias("tree_id")).distinct(), "tree_id", "left_semi").select(*TREE_KEY)
+    cells = write_shared(cells)
+    n, width = cells.count(), mra.blocks * mra.size
+    values = "tree_id string, n int, lx int, ly int, lz int, coef array<double>"
+
+    def powers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                v = to_values(stack(pdf.coef, width), pdf.n.to_numpy(), mra)
+                yield keys_of(pdf).assign(coef=list(v ** pdf.times.to_numpy()[:, None] * pdf.c.to_numpy()[:, None]))
+
+    def coefs(pdf: pd.DataFrame, v: np.ndarray) -> pd.DataFrame:
+        return keys_of(pdf).assign(is_end=True, coef=list(from_values(v, pdf.n.to_numpy(), mra)))
+
+    def calc(level: DataFrame) -> DataFrame:
+        found = _on_cells(level, own, nodes, mra).join(own, ["out_id", "tree_id"])
+        found = found.select(F.col("out_id").alias("tree_id"), *TREE_KEY[1:], "coef", "times", "c")
+        products = sum_arrays(found.mapInPandas(powers, values), TREE_KEY, values, width, n, product=True)
+        return map_coefs(products, NODE, coefs, width)
+
+    return adaptive(cells, calc, mra, prec, max_iter, abs_prec)
+
+
 def _products(level: DataFrame, both: DataFrame, terms: DataFrame, nodes: DataFrame, mra: MRA) -> DataFrame:
     """Products at the cells of level, through values at the quadrature points of their children."""
     found = _on_cells(level, both, nodes, mra)
@@ -257,6 +290,6 @@ def multiply_by_function(nodes: DataFrame, mra: MRA, f: Callable[[np.ndarray], n
 
 
 __all__ = [
-    "absadd", "add", "add_in_place", "add_in_place_fixed", "dot_field", "lookup", "max_norm_grid", "multiply", "multiply_by_function", "multiply_in_place", "multiply_max_norm",
+    "absadd", "add", "add_in_place", "add_in_place_fixed", "dot_field", "lookup", "max_norm_grid", "multiply", "multiply_by_function", "multiply_in_place", "multiply_many", "multiply_max_norm",
     "normalize", "power", "rescale", "square", "sum_arrays", "tree_map", "union_leaves",
 ]

@@ -170,9 +170,51 @@ def differentiate(functions: DataFrame, nodes: DataFrame, metric: dict[tuple[int
 def overlap_matrix(functions: DataFrame, nodes: DataFrame, mra: MRA) -> DataFrame:
     """(i, j, re, im) = <i|j> of all functions: the real overlaps of their trees, weighed by factors; 0 between set labels that differ."""
     real = linalg.overlap_matrix(nodes.join(functions.select("tree_id").distinct(), "tree_id", "left_semi").select(*TREE_KEY, "coef"), mra)
-    v = values_of(functions)
+    return _weighed(real, functions, functions)
+
+
+def cross_overlap(bra: DataFrame, ket: DataFrame, nodes: DataFrame, mra: MRA) -> DataFrame:
+    """(i, j, re, im) = <bra_i|ket_j> of two sets of functions over one table of trees."""
+    of = lambda f: nodes.join(f.select("tree_id").distinct(), "tree_id", "left_semi").select(*TREE_KEY, "coef")
+    return _weighed(linalg.cross_overlap(of(bra), of(ket), mra), bra, ket)
+
+
+def _weighed(real: DataFrame, bra: DataFrame, ket: DataFrame) -> DataFrame:
+    v, w = values_of(bra), values_of(ket)
     a = v.select(F.col("fn_id").alias("fi"), F.col("comp").alias("ca"), F.col("label").alias("la"), F.col("tree_id").alias("i"), F.col("re").alias("ar"), (-F.col("im")).alias("ai"))
-    b = v.select(F.col("fn_id").alias("fj"), F.col("comp").alias("cb"), F.col("label").alias("lb"), F.col("tree_id").alias("j"), F.col("re").alias("br"), F.col("im").alias("bi"))
+    b = w.select(F.col("fn_id").alias("fj"), F.col("comp").alias("cb"), F.col("label").alias("lb"), F.col("tree_id").alias("j"), F.col("re").alias("br"), F.col("im").alias("bi"))
     allowed: Column = (F.col("la") == F.col("lb")) | (F.col("la") == 0) | (F.col("lb") == 0)
     j = real.withColumnRenamed("re", "s").join(a, "i").join(b, "j").where((F.col("ca") == F.col("cb")) & allowed)
     return j.groupBy(F.col("fi").alias("i"), F.col("fj").alias("j")).agg(F.sum((F.col("ar") * F.col("br") - F.col("ai") * F.col("bi")) * F.col("s")).alias("re"), F.sum((F.col("ar") * F.col("bi") + F.col("ai") * F.col("br")) * F.col("s")).alias("im"))
+
+
+def rotate(functions: DataFrame, u: DataFrame, nodes: DataFrame, mra: MRA, prec: float = -1.0) -> tuple[DataFrame, DataFrame]:
+    """Functions j = sum over i of U_ij function i for a complex matrix (i, j, re, im), component by component.
+
+    With prec the real and the imaginary part of a component are cut together, by the sum of their wavelets' square norms.
+    """
+    t = u.where("re <> 0 or im <> 0").select(F.col("i").alias("fn_id"), F.col("j").alias("out"), F.col("re").alias("a"), F.col("im").alias("b"))
+    j = values_of(functions).join(t, "fn_id")
+    j = j.select(F.col("out").alias("fn_id"), "comp", "tree_id", (F.col("re") * F.col("a") - F.col("im") * F.col("b")).alias("re"), (F.col("re") * F.col("b") + F.col("im") * F.col("a")).alias("im"))
+    if prec < 0:
+        return _sum(j, nodes, mra)
+    parts = j.select("fn_id", "comp", "tree_id", F.explode(F.array(F.struct(F.lit("re").alias("part"), F.col("re").alias("c")), F.struct(F.lit("im").alias("part"), F.col("im").alias("c")))).alias("x"))
+    grp = F.concat_ws("/", "fn_id", F.col("comp").cast("string"))
+    parts = write_shared(parts.where("x.c <> 0").select("fn_id", "comp", "x.part", grp.alias("grp"), F.concat_ws("/", grp, F.col("x.part")).alias("out_id"), "tree_id", "x.c"))
+    trees = linalg.rotate_terms(parts.groupBy("out_id", "grp", "tree_id").agg(F.sum("c").alias("c")), nodes, mra, prec)
+    rows = parts.select("fn_id", "comp", "part", F.col("out_id").alias("tree_id")).distinct()
+    return rows.select("*", F.lit(1.0).alias("c_re"), F.lit(0.0).alias("c_im"), F.lit(False).alias("conj"), F.lit(0).alias("label")), trees
+
+
+def orthonormalize(functions: DataFrame, nodes: DataFrame, mra: MRA, prec: float = -1.0) -> tuple[DataFrame, DataFrame]:
+    """The set in its Loewdin basis: rotated by the inverse root of its Hermitian overlap."""
+    return rotate(functions, write_shared(linalg.lowdin_matrix(write_shared(overlap_matrix(functions, nodes, mra)))), nodes, mra, prec)
+
+
+def orthogonalize(bra: DataFrame, ket: DataFrame, nodes: DataFrame, mra: MRA) -> tuple[DataFrame, DataFrame]:
+    """Every bra function without its components along the ket functions, which are orthogonal to each other: bra - sum of <ket|bra> / <ket|ket> ket."""
+    s = cross_overlap(ket, bra, nodes, mra)
+    norm = square_norm(ket, nodes).select(F.col("fn_id").alias("i"), "square_norm").where(F.col("square_norm") > 0)
+    t = s.join(norm, "i").select(F.col("j").alias("out"), F.col("i").alias("fn_id"), (-F.col("re") / F.col("square_norm")).alias("a"), (-F.col("im") / F.col("square_norm")).alias("b"))
+    j = values_of(ket).join(t, "fn_id").select(F.col("out").alias("fn_id"), "comp", "tree_id", (F.col("re") * F.col("a") - F.col("im") * F.col("b")).alias("re"), (F.col("re") * F.col("b") + F.col("im") * F.col("a")).alias("im"))
+    return _sum(values_of(bra).select("fn_id", "comp", "tree_id", "re", "im").unionByName(j), nodes, mra)

@@ -8,7 +8,7 @@ from scaling functions to scaling functions, which counts at the roots alone; wh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -34,12 +34,17 @@ SIDE = {1: 7, 2: 4, 3: 3}  # log2 of a block's cells a side, by dimensions
 SLAB = 4 << 20  # numbers of a block with its halo that are held at once
 TASK = 2 << 20  # numbers of output that a task makes
 TINY = 1e-15
+STRETCH = 128  # distances that a task makes blocks of at once
 GRADES, POINTS = 30, 24  # of the quadrature in the distance
 
 
-def _distances() -> tuple[np.ndarray, np.ndarray]:
-    """Points and weights on [-1, 1], graded towards -1, 0 and 1, so that Gaussians of any width about these are integrated."""
+def _distances(pieces: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Points and weights on [-1, 1], graded towards -1, 0 and 1, so that Gaussians of any width about these are integrated.
+
+    pieces: parts that each grade is cut into, for kernels that oscillate.
+    """
     half = np.concatenate([[0.0], 2.0 ** -np.arange(GRADES, 0, -1), 1 - 2.0 ** -np.arange(2, GRADES + 1), [1.0]])
+    half = np.interp(np.arange((len(half) - 1) * pieces + 1) / pieces, np.arange(len(half)), half)
     x, w = B.quadrature(POINTS)
     z = (half[:-1, None] + np.diff(half)[:, None] * x).ravel()
     v = (np.diff(half)[:, None] * w).ravel()
@@ -56,20 +61,24 @@ def correlation(k: int, basis: str, z: np.ndarray) -> np.ndarray:
     return np.einsum("zp,zpi,zpj->zij", length[:, None] * w, a, b)
 
 
-def blocks_of(beta: float, power: int, n: int, band: int, k: int, basis: str, sf: float) -> np.ndarray:
-    """(2 band + 1, 2K, 2K): blocks of x^power exp(-beta x^2) at scale n for cells -band .. band away."""
-    z, w = _distances()
+def blocks_between(kernel: Callable[[np.ndarray], np.ndarray], n: int, first: int, last: int, k: int, basis: str, sf: float, pieces: int = 1) -> np.ndarray:
+    """(last - first + 1, 2K, 2K): blocks of a kernel of the distance at scale n for cells first .. last away."""
+    z, w = _distances(pieces)
     side = sf * 2.0 ** -(n + 1)
-    m = np.arange(-2 * band - 1, 2 * band + 2)
-    x = side * (z[None] - m[:, None])
-    kernel = x**power * np.exp(-np.minimum(beta * x * x, 700.0)) * w
-    r = (side * kernel @ correlation(k, basis, z).reshape(len(z), -1)).reshape(len(m), k + 1, k + 1)
-    at = 2 * np.arange(-band, band + 1) + 2 * band + 1
+    m = np.arange(2 * first - 1, 2 * last + 2)
+    values = kernel(side * (z[None] - m[:, None])) * w
+    r = (side * values @ correlation(k, basis, z).reshape(len(z), -1)).reshape(len(m), k + 1, k + 1)
+    at = 2 * np.arange(first, last + 1) - (2 * first - 1)
     quad = np.stack([np.stack([r[at + b - a] for b in (0, 1)], 2) for a in (0, 1)], 1)  # (band, a, i, b, j)
     f = B.filters(k, basis)
     return f @ quad.reshape(len(at), 2 * (k + 1), 2 * (k + 1)) @ f.T
 
 
+def blocks_of(beta: float, power: int, n: int, band: int, k: int, basis: str, sf: float) -> np.ndarray:
+    """(2 band + 1, 2K, 2K): blocks of x^power exp(-beta x^2) at scale n for cells -band .. band away."""
+    return blocks_between(lambda x: x**power * np.exp(-np.minimum(beta * x * x, 700.0)), n, -band, band, k, basis, sf)
+
+
 def component_norms(blocks: np.ndarray, k: int) -> np.ndarray:
     """(rows, 4): norms of the parts (to, from) = scaling-scaling, scaling-wavelet, wavelet-scaling, wavelet-wavelet."""
     parts = blocks.reshape(len(blocks), 2, k + 1, 2, k + 1)
@@ -120,6 +129,49 @@ def band_widths(oper: DataFrame, mra: MRA, prec: float) -> DataFrame:
     return parts.where(F.col("norm") > least).groupBy("oper_id", "depth", "component").agg(F.max(F.abs("dl")).alias("width"))
 
 
+def build_time_evolution(spark: SparkSession, mra: MRA, t: float, finest_scale: int) -> DataFrame:
+    """The block table of exp(i t d^2/dx^2), the free particle's motion over a time t; oper_id "re" and "im".
+
+    Its kernel exp(i x^2 / 4t) / sqrt(4 pi i t) is smooth where it is near and oscillates where it is far, so the blocks reach over
+    the whole world, and those near the diagonal are the small ones. Scales and stretches of distances are shared out to tasks.
+    """
+    root, k, basis = mra.world.scale, mra.k, mra.basis
+    if mra.dim != 1 or t <= 0:
+        raise ValueError("the free time evolution is one-dimensional and goes forward in time")
+    sf, boxes, periodic = mra.world.sf[0], mra.world.boxes[0], mra.world.periodic[0]
+    if periodic:
+        raise ValueError("the free time evolution needs a world with ends")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                # phase over the largest grade, a quarter of a child's side, at the farthest distance
+                far = sf * 2.0**-r.n * (max(abs(r.first), abs(r.last)) + 1)
+                pieces = 1 + int(far / (2 * t) * sf * 2.0 ** -(r.n + 3) / 4)
+                b = blocks_between(lambda x: np.exp(1j * x * x / (4 * t)) / np.sqrt(4j * np.pi * t), r.n, r.first, r.last, k, basis, sf, pieces)
+                for name, part in (("re", b.real), ("im", b.imag)):
+                    norm = component_norms(part, k)
+                    keep = np.flatnonzero((norm[:, 0 if r.n == root else 1 :] > TINY).any(1))
+                    if len(keep):
+                        yield pd.DataFrame({"oper_id": name, "term": np.int32(0), "power": np.int32(0), "n": np.int32(r.n), "dl": (keep + r.first).astype("int32"), "block": list(part[keep].reshape(len(keep), -1)), "comp_norm": list(norm[keep])})
+
+    scales = spark.range(root, finest_scale + 1).select(F.col("id").cast("int").alias("n"))
+    most = (F.lit(boxes) * F.pow(F.lit(2.0), F.col("n") - root)).cast("int") - 1
+    parts = scales.withColumn("first", F.explode(F.sequence(-most, most, F.lit(STRETCH)))).withColumn("last", F.least(F.col("first") + STRETCH - 1, most))
+    return parts.repartition("n", "first").mapInPandas(run, BLOCKS)
+
+
+def corner_widths(oper: DataFrame, mra: MRA, prec: float) -> DataFrame:
+    """(oper_id, depth, component, width): by depth below the roots and part, how far cells must be for a norm above prec / 10.
+
+    The opposite of a band: blocks nearer than the width can be left out. The part from scaling to scaling functions counts at the roots
+    alone, elsewhere it is left out whole; parts that are small everywhere have no row.
+    """
+    parts = oper.select("oper_id", (F.col("n") - mra.world.scale).alias("depth"), "dl", F.posexplode("comp_norm").alias("component", "norm"))
+    seen = parts.where((F.col("norm") > prec / 10) & ((F.col("component") > 0) | (F.col("depth") == 0)))
+    return seen.groupBy("oper_id", "depth", "component").agg(F.min(F.abs("dl")).alias("width"))
+
+
 @dataclass
 class Operator:
     """A block table on the driver, to be broadcast: by scale the terms' blocks and norms; powers[d] names the power used in dimension d."""
@@ -455,3 +507,9 @@ def cartesian_operator(spark: SparkSession, kernel: tuple[np.ndarray, np.ndarray
     """A kernel times x^p y^q z^r: every term is built with each power, and each dimension takes its own."""
     parts = [K.rows("cartesian", kernel, p) for p in sorted(set(powers))]
     return _make(spark, pd.concat(parts, ignore_index=True), mra, max_scale, powers=powers)
+
+
+def time_evolution_operators(spark: SparkSession, mra: MRA, t: float, finest_scale: int) -> tuple[Operator, Operator]:
+    """Real and imaginary part of exp(i t d^2/dx^2), for apply_complex."""
+    both = write_shared(build_time_evolution(spark, mra, t, finest_scale))
+    return tuple(collect_operator(both.where(F.col("oper_id") == part), {0: 1.0}, mra, (0,)) for part in ("re", "im"))

@@ -73,27 +73,36 @@ def lowdin_matrix(overlap: DataFrame) -> DataFrame:
 
 
 def rotate(nodes: DataFrame, u: DataFrame, mra: MRA, prec: float = -1.0) -> DataFrame:
-    """out_j = sum over i of in_i U_ij for a matrix (i, j, re).
+    """out_j = sum over i of in_i U_ij for a matrix (i, j, re); with prec cut as rotate_terms cuts."""
+    terms = u.where("re <> 0").select(F.col("j").alias("out_id"), F.col("i").alias("tree_id"), F.col("re").alias("c"))
+    return arith.add(terms, nodes, mra) if prec < 0 else rotate_terms(terms.withColumn("grp", F.col("out_id")), nodes, mra, prec)
+
+
+def rotate_terms(terms: DataFrame, nodes: DataFrame, mra: MRA, prec: float) -> DataFrame:
+    """Sums out_id = sum of c * tree over terms(out_id, grp, tree_id, c), cut where they are small.
 
-    With prec a node of an output has children only where its wavelets' square norm is above prec^2 2^-(n+1), and so is
-    that of every node above it. Wavelets of an output are the sums of the inputs' own, cell by cell (a missing node has none);
-    scaling parts follow from the roots.
+    A node has children only where the square norm of its wavelets, over all outputs of its grp, is above prec^2 2^-(n+1), and so is
+    that of every node above it; the outputs of a grp share one grid. Wavelets of an output are the sums of the inputs' own,
+    cell by cell (a missing node has none); scaling parts follow from the roots.
     """
-    terms = u.where("re <> 0").select(F.col("j").alias("out_id"), F.col("i").alias("tree_id"), F.col("re").alias("c"))
-    if prec < 0:
-        return arith.add(terms, nodes, mra)
-    j = nodes.select(*TREE_KEY, "coef").join(terms, "tree_id")
+    j = nodes.select(*TREE_KEY, "coef").join(terms.where("c <> 0").select("out_id", "tree_id", "c"), "tree_id")
     scaled = j.select(F.col("out_id").alias("tree_id"), *TREE_KEY[1:], F.transform("coef", lambda x: x * F.col("c")).alias("coef"))
     sums = arith.sum_arrays(scaled, TREE_KEY, "tree_id string, n int, lx int, ly int, lz int, coef array<double>", mra.blocks * mra.size, nodes.count())
-    sums = write_shared(with_norms(sums, mra).withColumn("open", wavelet_square() > prec**2 * F.pow(F.lit(2.0), -(F.col("n") + 1))))
+    groups = write_shared(terms.select(F.col("out_id").alias("tree_id"), "grp").distinct())
+    sums = write_shared(with_norms(sums, mra).join(groups, "tree_id"))
+    cell = ["grp", *TREE_KEY[1:]]
+    judged = sums.groupBy(*cell).agg((F.sum(wavelet_square()) > prec**2 * F.pow(F.lit(2.0), -(F.first("n") + 1))).alias("open"))
+    judged = write_shared(judged)
     names = {"an": "n", "ax": "lx", "ay": "ly", "az": "lz"}
-    above = ancestors(sums.select(*TREE_KEY), mra.world.scale, itself=False)
-    closed = sums.where("not open").select("tree_id", *[F.col(v).alias(k) for k, v in names.items()])
-    gone = above.join(closed, ["tree_id", *names], "left_semi").select(*TREE_KEY).distinct()
-    kept = write_shared(sums.join(gone, TREE_KEY, "left_anti").select(*TREE_KEY, "coef"))
-    parents = kept.select("tree_id", *parent_key()).distinct().withColumn("inner", F.lit(True))
-    flagged = kept.join(parents, TREE_KEY, "left").select(*TREE_KEY, F.col("inner").isNull().alias("is_end"), "coef")
-    return reconstruct_down(flagged, mra)
+    above = ancestors(judged.select(*cell), mra.world.scale, itself=False)
+    closed = judged.where("not open").select("grp", *[F.col(v).alias(k) for k, v in names.items()])
+    gone = above.join(closed, ["grp", *names], "left_semi").select(*cell).distinct()
+    kept = write_shared(judged.select(*cell).join(gone, cell, "left_anti"))
+    inner = kept.select("grp", *parent_key()).distinct().withColumn("inner", F.lit(True))
+    flagged = kept.join(inner, cell, "left").join(groups, "grp").select(*TREE_KEY, F.col("inner").isNull().alias("is_end"))
+    zero = F.array_repeat(F.lit(0.0), mra.blocks * mra.size)
+    whole = flagged.join(sums.select(*TREE_KEY, "coef"), TREE_KEY, "left").select(*TREE_KEY, "is_end", F.coalesce("coef", zero).alias("coef"))
+    return reconstruct_down(whole, mra)
 
 
 def orthonormalize(nodes: DataFrame, mra: MRA) -> DataFrame:
@@ -111,6 +120,4 @@ def orthogonalize(bra: DataFrame, ket: DataFrame, mra: MRA) -> DataFrame:
     return arith.add(own.unionByName(terms), both, mra)
 
 
-
-
-__all__ = ["cross_overlap", "lowdin_matrix", "orthogonalize", "orthonormalize", "overlap_matrix", "rotate"]
+__all__ = ["cross_overlap", "lowdin_matrix", "orthogonalize", "orthonormalize", "overlap_matrix", "rotate", "rotate_terms"]

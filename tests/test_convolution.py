@@ -177,3 +177,34 @@ def test_poisson_self_energy(spark):
     pairs = spark.createDataFrame([("a", "a"), ("b", "b")], "bra_id string, ket_id string")
     got = {r.bra_id: r.dot for r in reduce.dot_pairs(pairs, f, v, m).collect()}
     assert got["a"] == pytest.approx((2 * beta / np.pi) ** 0.5, rel=1e-3) and got["b"] == pytest.approx(1e-10 * (2 * beta / np.pi) ** 0.5, rel=1e-3)
+
+
+def free_particle(t, part, x0=0.5, sigma=1e-3):
+    def f(x):
+        z = 4j * t + sigma
+        v = np.sqrt(sigma) / np.sqrt(z) * np.exp(-((x[:, 0] - x0) ** 2) / z)
+        return v.real if part == "re" else v.imag
+
+    return f
+
+
+def test_time_evolution_moves_a_free_particle(spark):
+    m, prec, dt = MRA(World(1, 0), 4, "legendre", 25), 1e-7, 0.03
+    before = write_shared(project.project_functions(spark, m, {f"f/{p}": free_particle(1e-3, p) for p in ("re", "im")}, prec))
+    after = write_shared(project.project_functions(spark, m, {f"f/{p}": free_particle(1e-3 + dt, p) for p in ("re", "im")}, prec))
+    real, imag = convolution.time_evolution_operators(spark, m, dt, 7)
+    out = write_shared(convolution.apply_complex(real, imag, before, m, prec))
+    error = difference(spark, out, after, m)
+    assert error["f/re"] < prec**2 / 50 and error["f/im"] < prec**2 / 50, error
+
+
+def test_time_evolution_blocks_are_small_near_the_diagonal(spark):
+    m = MRA(World(1, 0), 4, "legendre", 25)
+    table = write_shared(convolution.build_time_evolution(spark, m, 0.01, 5))
+    widths = {(r.oper_id, r.depth, r.component): r.width for r in convolution.corner_widths(table, m, 1e-5).collect()}
+    assert widths["re", 0, 0] == 0 and widths["re", 5, 1] > 2 * widths["re", 4, 1] > 0 and all(c or not d for _, d, c in widths)
+    # blocks made in stretches and by finer quadrature are the same
+    kernel = lambda x: np.exp(1j * x * x / 0.04) / np.sqrt(0.04j * np.pi)
+    whole = convolution.blocks_between(kernel, 5, -31, 31, 4, "legendre", 1.0, 3)
+    got = {(r.oper_id, r.dl): r.block for r in table.where("n = 5").collect()}
+    assert all(np.allclose(b, (whole.real if part == "re" else whole.imag)[dl + 31].ravel(), atol=1e-13) for (part, dl), b in got.items()) and len(got) > 50
