@@ -650,6 +650,61 @@ query("i2_low_noise_derivative", SLOPE.format(gauss=GAUSS))(_slope("low_noise"))
 query("i3_spline_derivative", SLOPE.format(gauss=GAUSS))(_slope("spline"))
 
 
+# complex functions: a dozen, each of every twelfth supplier; quantities are the real, line numbers the imaginary part
+TWELVE = "'k' || l_suppkey % 12"
+COMPLEX_SQL = f"WITH {haar_sql(by=TWELVE)}, {haar_sql('l_linenumber', 'other', TWELVE)}, z AS (SELECT leaf.tree_id AS id, leaf.l, leaf.f AS f, g FROM leaf JOIN (SELECT tree_id, l, f AS g FROM other) o ON o.tree_id = leaf.tree_id AND o.l = leaf.l)"
+
+
+def complex_functions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    f, g = haar(spark, sf_dir, by=TWELVE), haar(spark, sf_dir, "l_linenumber", TWELVE)
+    t = write_shared(f.withColumn("tree_id", F.concat("tree_id", F.lit("/re"))).unionByName(g.withColumn("tree_id", F.concat("tree_id", F.lit("/im")))))
+    ids = t.select("tree_id").distinct().select(F.substring_index("tree_id", "/", 1).alias("fn_id"), F.lit(0).alias("comp"), F.substring_index("tree_id", "/", -1).alias("part"), "tree_id")
+    return ids.select("*", F.lit(1.0).alias("c_re"), F.lit(0.0).alias("c_im"), F.lit(False).alias("conj"), F.lit(0).alias("label")), t
+
+
+@query("g2_overlap_complex", f"{COMPLEX_SQL} SELECT a.id AS i, b.id AS j, round(sum(a.f * b.f + a.g * b.g) / {2**LEAF} + 3.7e-5, 2) AS re, round(sum(a.f * b.g - a.g * b.f) / {2**LEAF} + 3.7e-5, 2) AS im FROM z a JOIN z b ON a.l = b.l GROUP BY 1, 2")
+def _(spark, sf_dir):
+    """Hermitian overlaps of all pairs, in blocks of five trees."""
+    functions, t = complex_functions(spark, sf_dir)
+    real = linalg.overlap_matrix(t.select(*TREE_KEY, "coef"), HAAR, block=5)
+    s = components._weighed(real, functions, functions)
+    return s.select("i", "j", F.round(F.col("re") + 3.7e-5, 2).alias("re"), F.round(F.col("im") + 3.7e-5, 2).alias("im"))
+
+
+@query("g5_rotate_complex", f"{COMPLEX_SQL}, u AS (SELECT id, CAST(substr(id, 2) AS INT) + 1 AS k FROM z GROUP BY 1), m AS (SELECT 'a' AS j, id, k * 0.5::DOUBLE AS re, 1.0::DOUBLE / k AS im FROM u UNION ALL SELECT 'b', id, -1.0::DOUBLE / k, k * 0.25::DOUBLE FROM u) SELECT m.j AS fn_id, round(sum(m.re * f - m.im * g) / {2**LEAF} + 3.7e-5, 2) AS integral_re, round(sum(m.re * g + m.im * f) / {2**LEAF} + 3.7e-5, 2) AS integral_im FROM z JOIN m ON m.id = z.id GROUP BY 1")
+def _(spark, sf_dir):
+    """Two complex combinations of the twelve, with one cut for real and imaginary part."""
+    functions, t = complex_functions(spark, sf_dir)
+    k = (F.substring("fn_id", 2, 9).cast("int") + 1).cast("double")
+    ids = functions.select("fn_id").distinct()
+    u = ids.select(F.col("fn_id").alias("i"), F.lit("a").alias("j"), (k * 0.5).alias("re"), (1 / k).alias("im")).union(ids.select("fn_id", F.lit("b"), -1 / k, k * 0.25))
+    rows, out = components.rotate(functions, u, t, HAAR, prec=1e-9)
+    j = rows.join(reduce.integrate(out, HAAR), "tree_id").groupBy("fn_id").agg(*[F.sum(F.when(F.col("part") == p, F.col("integral"))).alias(p) for p in ("re", "im")])
+    return j.select("fn_id", *[F.round(F.col(p) + 3.7e-5, 2).alias(f"integral_{p}") for p in ("re", "im")])
+
+
+@query("g7_orthogonalize_complex", f"""{COMPLEX_SQL}, n AS (SELECT sum(f * f + g * g) AS n FROM z WHERE id = 'k0'), o AS (SELECT b.id, sum(a.f * b.f + a.g * b.g) AS re, sum(a.f * b.g - a.g * b.f) AS im FROM z a JOIN z b ON a.l = b.l WHERE a.id = 'k0' GROUP BY 1)
+SELECT o.id AS fn_id, round((sum(f * f + g * g) - any_value((re * re + im * im) / n)) / {2**LEAF} + 3.7e-5, 2) AS square_norm FROM z JOIN o ON o.id = z.id, n WHERE o.id <> 'k0' GROUP BY 1""")
+def _(spark, sf_dir):
+    """What is left of each function without its component along the first."""
+    functions, t = complex_functions(spark, sf_dir)
+    rows, out = components.orthogonalize(functions.where("fn_id <> 'k0'"), functions.where("fn_id = 'k0'"), t, HAAR)
+    return components.square_norm(rows, out).select("fn_id", F.round(F.col("square_norm") + 3.7e-5, 2).alias("square_norm"))
+
+
+@query("g8_orthonormalize_complex", f"{COMPLEX_SQL} SELECT a.id AS i, b.id AS j, round(sum(a.f * b.f + a.g * b.g) / {2**LEAF} + 3.7e-5, 2) AS re, round(sum(a.f * b.g - a.g * b.f) / {2**LEAF} + 3.7e-5, 2) AS im FROM z a JOIN z b ON a.l = b.l GROUP BY 1, 2")
+def _(spark, sf_dir):
+    """The functions' overlaps with their Loewdin basis are the root of their own overlaps: its square gives these back."""
+    functions, t = complex_functions(spark, sf_dir)
+    rows, out = components.orthonormalize(functions, t, HAAR)
+    out = out.withColumn("tree_id", F.concat(F.lit("o/"), "tree_id"))
+    rows = rows.withColumn("tree_id", F.concat(F.lit("o/"), "tree_id"))
+    m = write_shared(components.cross_overlap(functions, rows, write_shared(t.select(*TREE_KEY, "coef").unionByName(out.select(*TREE_KEY, "coef"))), HAAR))
+    n = m.select(F.col("i").alias("k"), F.col("j"), F.col("re").alias("br"), F.col("im").alias("bi"))
+    square = m.select("i", F.col("j").alias("k"), "re", "im").join(n, "k").groupBy("i", "j").agg(F.sum(F.col("re") * F.col("br") - F.col("im") * F.col("bi")).alias("re"), F.sum(F.col("re") * F.col("bi") + F.col("im") * F.col("br")).alias("im"))
+    return square.select("i", "j", F.round(F.col("re") + 3.7e-5, 2).alias("re"), F.round(F.col("im") + 3.7e-5, 2).alias("im"))
+
+
 # --- convolutions ---------------------------------------------------------------------------------------------------
 
 
