@@ -126,14 +126,50 @@ def pair_overlaps(pairs: DataFrame, dim: int) -> DataFrame:
     return pairs.withColumn("overlap", udf(*names))
 
 
-def prefixed(g: DataFrame, s: str) -> DataFrame:
-    return g.select(*[F.col(c).alias(f"{s}_{c}") for c in NAMES])
+def prefixed(g: DataFrame, s: str, *more: str) -> DataFrame:
+    return g.select(*[F.col(c).alias(f"{s}_{c}") for c in [*NAMES, *more]])
+
+
+def near_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, dim: int) -> DataFrame:
+    """The pairs of functions (with a_id, b_id) with each pair of their terms (a_coef, .., b_power) whose product is above exp(-REACH) somewhere.
+
+    A term has a radius, beyond which it is that small, and knows the grids whose cells are at least twice as wide: its own, the finest such, and
+    those of wider terms. The wider term of a pair looks for the other in the cells around its own in its own grid, so the pairs come from
+    equi-joins on cells, and terms that are far from each other never meet.
+    """
+    span = F.log2(2 * F.sqrt(REACH / F.array_min("alpha")))
+    a, b = (g.withColumn("grid", F.ceil(span).cast("int")) for g in (a, b))
+    grids = a.select("grid").union(b.select("grid")).distinct().agg(F.sort_array(F.collect_set("grid")).alias("grids"))  # powers of two between the narrowest and the widest term
+
+    def rows(g: DataFrame, s: str, wide: bool, itself: bool) -> DataFrame:
+        """Terms with their grid and cells: the wider ones all cells around theirs, the others their cell in each wider grid."""
+        out = prefixed(g, s, "grid")
+        own = F.col(f"{s}_grid")
+        if wide:
+            out = out.withColumn("grid", own)
+        else:
+            out = out.join(F.broadcast(grids)).withColumn("grid", F.explode(F.filter("grids", lambda x: (x >= own) if itself else (x > own)))).drop("grids")
+        for d in range(dim):
+            cell = F.floor(F.col(f"{s}_pos")[d] / F.pow(F.lit(2.0), F.col("grid")))
+            out = out.withColumn(f"cell{d}", F.explode(F.sequence(cell - 1, cell + 1)) if wide else cell)
+        return out.drop(f"{s}_grid")
+
+    at = ["grid", *[f"cell{d}" for d in range(dim)]]
+    found = []
+    for wide in (True, False):  # a is at least as wide as b, or b is wider
+        left = pairs.join(rows(a, "a", wide, False), F.col("a_id") == F.col("a_fn_id"))
+        right = rows(b, "b", not wide, wide)
+        found.append(left.join(right.withColumnRenamed("b_fn_id", "b_id"), ["b_id", *at]).drop("a_fn_id", *at))
+    both = found[0].unionByName(found[1])
+    exponent = reduce(lambda x, y: x + y, [F.col("a_alpha")[d] * F.col("b_alpha")[d] / (F.col("a_alpha")[d] + F.col("b_alpha")[d]) * F.pow(F.col("a_pos")[d] - F.col("b_pos")[d], 2) for d in range(dim)])
+    return both.where(exponent <= REACH)
 
 
 def overlaps(pairs: DataFrame, a: DataFrame, b: DataFrame, dim: int) -> DataFrame:
-    """(a_id, b_id, overlap) of the pairs (a_id, b_id) of functions."""
-    j = pairs.join(prefixed(a, "a"), F.col("a_id") == F.col("a_fn_id")).join(prefixed(b, "b"), F.col("b_id") == F.col("b_fn_id"))
-    return pair_overlaps(j, dim).groupBy("a_id", "b_id").agg(F.sum("overlap").alias("overlap"))
+    """(a_id, b_id, overlap) of the pairs (a_id, b_id) of functions; terms that are too far from each other to count don't meet."""
+    met = pair_overlaps(near_pairs(pairs, a, b, dim), dim).groupBy("a_id", "b_id").agg(F.sum("overlap").alias("overlap"))
+    held = pairs.join(a.select(F.col("fn_id").alias("a_id")).distinct(), "a_id", "left_semi").join(b.select(F.col("fn_id").alias("b_id")).distinct(), "b_id", "left_semi")
+    return held.select("a_id", "b_id").distinct().join(met, ["a_id", "b_id"], "left").select("a_id", "b_id", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
 def square_norms(g: DataFrame, dim: int) -> DataFrame:
@@ -172,7 +208,10 @@ def scale(g: DataFrame, c: float) -> DataFrame:
 
 
 def differentiate(g: DataFrame, d: int) -> DataFrame:
-    """d/dx_d: p x^(p-1) and -2 alpha x^(p+1), terms with coefficient 0 left out."""
+    """d/dx_d: p x^(p-1) and -2 alpha x^(p+1), terms with coefficient 0 left out.
+
+    A term's two get twice its number and the next; numbers too large for that, as products have them, are hashed.
+    """
     shift = lambda by: F.transform("power", lambda p, i: F.when(i == d, p + by).otherwise(p))
     two = F.explode(
         F.array(
@@ -181,12 +220,14 @@ def differentiate(g: DataFrame, d: int) -> DataFrame:
         )
     ).alias("t")
     out = g.select("fn_id", "term", "alpha", "pos", two).where("t.c <> 0")
-    return out.select("fn_id", (F.col("term") * 2 + F.col("t.s")).alias("term"), F.col("t.c").alias("coef"), "alpha", "pos", F.col("t.p").alias("power"))
+    small = F.col("term").between(-(2**61), 2**61)
+    number = F.when(small, F.when(small, F.col("term")).otherwise(0) * 2 + F.col("t.s")).otherwise(F.xxhash64("term", "t.s"))
+    return out.select("fn_id", number.alias("term"), F.col("t.c").alias("coef"), "alpha", "pos", F.col("t.p").alias("power"))
 
 
 def multiply(pairs: DataFrame, a: DataFrame, b: DataFrame, dim: int) -> DataFrame:
-    """Products (out_id of pairs(out_id, a_id, b_id)): every pair of terms, its polynomial expanded about the new centre."""
-    j = pairs.join(prefixed(a, "a"), F.col("a_id") == F.col("a_fn_id")).join(prefixed(b, "b"), F.col("b_id") == F.col("b_fn_id"))
+    """Products (out_id of pairs(out_id, a_id, b_id)): every pair of terms that is above exp(-REACH) somewhere, its polynomial expanded about the new centre."""
+    j = near_pairs(pairs, a, b, dim)
 
     def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -265,11 +306,22 @@ def boys(n: int, x: Column, points: int = 60) -> Column:
     return reduce(lambda a, b: a + b, [float(wi * ti ** (2 * n)) * F.exp(-x * float(ti * ti)) for ti, wi in zip(t, w, strict=True)])
 
 
-def coulomb_energy(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_id, b_id, energy) between isotropic 3-D Gaussians of unit charge each (coefficients are not used)."""
-    j = pairs.join(prefixed(a, "a"), F.col("a_id") == F.col("a_fn_id")).join(prefixed(b, "b"), F.col("b_id") == F.col("b_fn_id"))
-    p, q = F.col("a_alpha")[0], F.col("b_alpha")[0]
-    alpha = p * q / (p + q)
+TERMS_AT_ONCE = 2000
+
+
+def coulomb_energy(pairs: DataFrame, a: DataFrame, b: DataFrame, block: int = TERMS_AT_ONCE) -> DataFrame:
+    """(a_id, b_id, energy) between isotropic 3-D Gaussians of unit charge each (coefficients are not used).
+
+    The kernel has a long range, so all pairs of terms count: a function's terms are dealt to blocks, each of which meets the other
+    function's terms by itself.
+    """
+    a, b = (g.select("fn_id", "term", F.col("alpha")[0].alias("alpha"), "pos") for g in (a, b))
+    parts = a.groupBy("fn_id").agg((1 + F.floor(F.count("*") / block)).cast("int").alias("parts"))
+    left = a.join(parts, "fn_id").select(F.col("fn_id").alias("a_id"), F.pmod(F.xxhash64("term", "alpha", "pos"), F.col("parts")).cast("int").alias("part"), F.col("alpha").alias("p"), F.col("pos").alias("a_pos"))
+    asked = pairs.select("a_id", "b_id").distinct().join(parts.withColumnRenamed("fn_id", "a_id"), "a_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = asked.join(b.select(F.col("fn_id").alias("b_id"), F.col("alpha").alias("q"), F.col("pos").alias("b_pos")), "b_id")
+    j = left.join(right, ["a_id", "part"])
+    alpha = F.col("p") * F.col("q") / (F.col("p") + F.col("q"))
     r2 = reduce(lambda x, y: x + y, [F.pow(F.col("a_pos")[d] - F.col("b_pos")[d], 2) for d in range(3)])
     return j.groupBy("a_id", "b_id").agg(F.sum(F.sqrt(4 * alpha / np.pi) * boys(0, alpha * r2)).alias("energy"))
 

@@ -7,6 +7,7 @@ all pairs of functions are asked for. Order-1 trees in two dimensions have about
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 from mwspark.functions import gaussians as G
 from mwspark.functions import kernels as K
+from mwspark.functions.shared import shared_dir
 from mwspark.functions.trees import with_norms, write_shared
 from mwspark.mra import MRA, TREE_KEY, World
 from mwspark.operators import arith, components, convolution, derivative, grid, keys, linalg, project, reduce, transform
+from mwspark.sources import trees
 
 WORLD3 = World(3, -2, (-1, -1, -1), (2, 2, 2))
 WORLD1 = World(1, 0)
@@ -256,6 +259,15 @@ def _(spark, sf_dir):
     return grid.union_grid([cells(spark, sf_dir, 2, "a"), fine, up], "u").groupBy("n").agg(F.count("*").alias("n_cells"))
 
 
+@query("c4_extend_grid", f"""WITH {POINTS}, {RAGGED}, {cells_sql(2, 'b2')}, {cells_sql(3, 'b3')}, {cells_sql(4, 'b4')}, b AS (SELECT * FROM b2 UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM b4),
+k AS (SELECT n, lx, ly, lz FROM leaf UNION SELECT b.n, b.lx, b.ly, b.lz FROM b JOIN leaf ON b.n - leaf.n BETWEEN 1 AND 2 AND floor(b.lx / pow(2, b.n - leaf.n)) = leaf.lx AND floor(b.ly / pow(2, b.n - leaf.n)) = leaf.ly AND floor(b.lz / pow(2, b.n - leaf.n)) = leaf.lz) SELECT n, count(*) AS n_cells FROM k GROUP BY 1""")
+def _(spark, sf_dir):
+    """A ragged grid extended by finer ones, at most two scales below its leaves."""
+    old = ragged(spark, sf_dir).withColumn("tree_id", F.lit("t")).select(*TREE_KEY)
+    finer = cells(spark, sf_dir, 2, "t").unionByName(cells(spark, sf_dir, 3, "t")).unionByName(cells(spark, sf_dir, 4, "t"))
+    return grid.extend_grid(old, finer, MRA(WORLD3, 1), 2).groupBy("n").agg(F.count("*").alias("n_cells"))
+
+
 @query("c7_refine_uniform", f"WITH {haar_sql(by=SUPPLIER)} SELECT tree_id, round(sum(f) / {2**LEAF} + 3.7e-7, 4) AS integral, count(DISTINCT l // 2) * 2 AS n_end FROM leaf GROUP BY 1")
 def _(spark, sf_dir):
     t = grid.refine_uniform(haar(spark, sf_dir, by=SUPPLIER), HAAR)
@@ -368,6 +380,17 @@ def _(spark, sf_dir):
     return j.select("tree_id", F.round(F.col("integral") / F.sqrt("square_norm") + 3.7e-5, 3).alias("integral"), F.round(F.sqrt("square_norm") + 3.7e-5, 3).alias("norm"))
 
 
+@query("a4_text_round_trip", ORACLES["d2_project_gaussians"])
+def _(spark, sf_dir):
+    """The projected functions written as text, several files a tree, and read again."""
+    t = project.project_gaussians(gaussians(spark, sf_dir, dim=1), LINE, 1e-6)
+    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    trees.export_leaf_text(t, LINE, path, cells_a_file=40)
+    back = write_shared(trees.import_leaf_text(spark, path, LINE))
+    j = reduce.integrate(back, LINE).join(reduce.square_norm(back), "tree_id")
+    return j.select("tree_id", F.round(F.col("integral") / F.sqrt("square_norm") + 3.7e-5, 3).alias("integral"), F.round(F.sqrt("square_norm") + 3.7e-5, 3).alias("norm"))
+
+
 # --- arithmetic -----------------------------------------------------------------------------------------------------
 
 

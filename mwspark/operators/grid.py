@@ -42,6 +42,20 @@ def union_grid(grids: list[DataFrame], tree_id: str | None = None) -> DataFrame:
     return (cells if tree_id is None else cells.withColumn("tree_id", F.lit(tree_id))).distinct()
 
 
+def extend_grid(cells: DataFrame, others: DataFrame, mra: MRA, max_iter: int = -1) -> DataFrame:
+    """The grid cells with whatever cell others (under the same tree_id) have, at most max_iter scales below the old leaves; -1: all.
+
+    An old leaf above a new cell is found by an equi-join over the cell's ancestors.
+    """
+    old = cells.select(*TREE_KEY)
+    new = others.select(*TREE_KEY).distinct().join(old, TREE_KEY, "left_anti")
+    if max_iter >= 0:
+        ends = end_nodes(old).select("tree_id", F.col("n").alias("an"), *[F.col(a).alias("a" + a[1]) for a in KEY[1:]])
+        up = ancestors(new, mra.world.scale, itself=False).where(F.col("n") - F.col("an") <= max_iter)
+        new = up.join(ends, ["tree_id", "an", "ax", "ay", "az"], "left_semi").select(*TREE_KEY)
+    return old.unionByName(new).distinct()
+
+
 def copy_grid(nodes: DataFrame, tree_id: str | None = None) -> DataFrame:
     out = nodes.select(*TREE_KEY)
     return out if tree_id is None else out.withColumn("tree_id", F.lit(tree_id))
@@ -146,4 +160,4 @@ def set_zero(nodes: DataFrame, mra: MRA) -> DataFrame:
     return with_norms(nodes.select(*TREE_KEY, "is_end", zero.alias("coef")), mra)
 
 
-__all__ = ["build_gaussian", "build_uniform", "clear", "closure", "copy_function", "copy_grid", "crop", "project_until", "refine_adaptive", "refine_by_gaussians", "refine_like", "refine_uniform", "set_zero", "union_grid"]
+__all__ = ["build_gaussian", "build_uniform", "clear", "closure", "copy_function", "copy_grid", "crop", "extend_grid", "project_until", "refine_adaptive", "refine_by_gaussians", "refine_like", "refine_uniform", "set_zero", "union_grid"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,11 +43,15 @@ def write_samples(points: DataFrame, path: str) -> None:
     points.write.option("header", True).csv(path)
 
 
-def export_leaf_text(nodes: DataFrame, mra: MRA, path: str) -> None:
+TEXT_BYTES = 16 << 20  # of a file of text
+
+
+def export_leaf_text(nodes: DataFrame, mra: MRA, path: str, cells_a_file: int | None = None) -> None:
     """Text exchange of trees, a folder for each: the dimension, the world's bounds, points a side, how many cells, then for each child
     of a leaf a line "scale l.." counted from the world's corner and a line of its values, x slowest and all axes from the last point.
 
-    Lines of a cell stay together in one file; the header is in the file that sorts first. Worlds are cubes from -L to L.
+    A large tree is several files, each a text of its own with header and count, so that no task writes or reads more than a bounded
+    part; a tree of no more than cells_a_file leaves (by default about TEXT_BYTES of text) is one file. Worlds are cubes from -L to L.
     """
     dim, k1 = mra.dim, mra.k + 1
     if mra.world.corner != (-1,) * dim or mra.world.boxes != (2,) * dim:
@@ -62,18 +67,22 @@ def export_leaf_text(nodes: DataFrame, mra: MRA, path: str) -> None:
             n = pdf.n.to_numpy()
             v = to_values(stack(pdf.coef, mra.blocks * mra.size), n, mra).reshape(len(pdf), mra.blocks, -1)
             out = []
-            for i, tree in enumerate(pdf.tree_id):
+            for i, (tree, part) in enumerate(zip(pdf.tree_id, pdf.part, strict=True)):
                 first = 2 * (pdf[list(AXES[:dim])].iloc[i].to_numpy(np.int64) + int(2.0 ** n[i] * half))
                 for c in range(mra.blocks):
                     at = " ".join(map(str, [n[i] - root + 2, *(first + steps[c])]))
-                    out.append((tree, at + "\n" + " ".join(f"{x:.17g}" for x in v[i, c][order])))
-            yield pd.DataFrame(out, columns=["tree_id", "value"])
+                    out.append((tree, part, at + "\n" + " ".join(f"{x:.17g}" for x in v[i, c][order])))
+            yield pd.DataFrame(out, columns=["tree_id", "part", "value"])
 
+    most = cells_a_file or max(1, TEXT_BYTES // (25 * mra.blocks * mra.size))
     ends = nodes.where("is_end").select(*TREE_KEY, "coef")
-    body = ends.mapInPandas(cells, "tree_id string, value string").withColumn("rank", F.lit(1))
+    parts = ends.groupBy("tree_id").agg((1 + F.floor((F.count("*") - 1) / most)).cast("int").alias("parts"))
+    ends = ends.join(parts, "tree_id").withColumn("part", F.pmod(F.xxhash64(*TREE_KEY), F.col("parts")).cast("int"))
+    body = ends.select(*TREE_KEY, "coef", "part").mapInPandas(cells, "tree_id string, part int, value string").withColumn("rank", F.lit(1))
     bounds = "\n".join(f"{-half * s:.14g} {half * s:.14g}" for s in mra.world.sf)
-    head = ends.groupBy("tree_id").agg(F.count("*").alias("c")).select("tree_id", F.concat(F.lit(f"{dim}\n{bounds}\n{k1}\n"), (F.col("c") * mra.blocks).cast("string")).alias("value"), F.lit(0).alias("rank"))
-    body.unionByName(head).repartition("tree_id").sortWithinPartitions("tree_id", "rank").select("tree_id", "value").write.partitionBy("tree_id").text(path)
+    head = ends.groupBy("tree_id", "part").agg(F.count("*").alias("c")).select("tree_id", "part", F.concat(F.lit(f"{dim}\n{bounds}\n{k1}\n"), (F.col("c") * mra.blocks).cast("string")).alias("value"), F.lit(0).alias("rank"))
+    lines = body.unionByName(head).repartition("tree_id", "part").sortWithinPartitions("tree_id", "part", "rank")
+    lines.select("tree_id", "part", "value").write.partitionBy("tree_id", "part").text(path)
 
 
 def import_leaf_text(spark: SparkSession, path: str, mra: MRA) -> DataFrame:
@@ -81,17 +90,18 @@ def import_leaf_text(spark: SparkSession, path: str, mra: MRA) -> DataFrame:
     dim, k1 = mra.dim, mra.k + 1
     root, half = mra.world.scale, 2.0**-mra.world.scale
     order = np.arange(k1**dim).reshape((k1,) * dim).transpose(*range(dim)[::-1])[(slice(None, None, -1),) * dim].ravel()
-    files = spark.read.option("wholetext", True).option("basePath", path).text(f"{path}/tree_id=*")
-    lines = F.split("value", "\n")
-    head = files.where(F.element_at(lines, 1) == str(dim)).select("tree_id", F.element_at(lines, dim + 2).cast("int").alias("k1"), *[F.split(F.element_at(lines, 2 + d), " ")[1].cast("double").alias(f"b{d}") for d in range(dim)])
-    odd = head.where((F.col("k1") != k1) | F.greatest(*[F.abs(F.col(f"b{d}") - half * mra.world.sf[d]) for d in range(dim)], F.lit(0.0)).__gt__(1e-9))
+    files = spark.read.schema("value string, tree_id string, part int").option("basePath", path).text(f"{path}/tree_id=*", wholetext=True)  # files are bounded by the writer
+    lines = F.filter(F.split("value", "\n"), lambda x: x != "")
+    files = files.select("tree_id", lines.alias("lines"))
+    line = lambda i: F.trim(F.element_at("lines", i))
+    bounds = [F.abs(F.split(line(2 + d), " +")[1].cast("double") - half * mra.world.sf[d]) > 1e-9 for d in range(dim)]
+    odd = files.where((F.col("lines")[0] != str(dim)) | (line(dim + 2) != str(k1)) | reduce(lambda a, b: a | b, bounds) | (2 * line(dim + 3).cast("int") != F.size("lines") - dim - 3))
     if not odd.isEmpty():
-        raise ValueError("the text's world or order is not that of the analysis")
-    # a cell is two lines one after another
-    numbered = files.select("tree_id", F.posexplode(lines).alias("i", "line")).where("line <> ''")
-    start = dim + 3  # lines of the header, which is at the head of the tree's one file
-    body = numbered.where(F.col("i") >= start).select("tree_id", ((F.col("i") - start) / 2).cast("int").alias("cell"), ((F.col("i") - start) % 2).alias("which"), "line")
-    cells = body.groupBy("tree_id", "cell").agg(F.max(F.when(F.col("which") == 0, F.col("line"))).alias("at"), F.max(F.when(F.col("which") == 1, F.col("line"))).alias("values"))
+        raise ValueError("the text's world or order is not that of the analysis, or cells are missing from it")
+    # after the header a cell is two lines, one after the other
+    start = dim + 3
+    pairs = F.transform(F.sequence(F.lit(0), ((F.size("lines") - start) / 2).cast("int") - 1), lambda i: F.struct(F.element_at("lines", (2 * i + start + 1).cast("int")).alias("at"), F.element_at("lines", (2 * i + start + 2).cast("int")).alias("values")))
+    cells = files.where(F.size("lines") > start).select("tree_id", F.explode(pairs).alias("c")).select("tree_id", "c.at", "c.values")
     at = F.split(F.trim("at"), " +")
     n = (at[0].cast("int") + root - 1).alias("n")
     keys = [(at[d + 1].cast("long") - F.pow(F.lit(2.0), at[0].cast("int") + root - 1).cast("long") * int(half)).cast("int").alias(a) if d < dim else F.lit(0).alias(a) for d, a in enumerate(AXES)]

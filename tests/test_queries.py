@@ -1,6 +1,7 @@
 """Every registered query that has SQL gives the same rows as DuckDB does, on a small table."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -20,6 +21,7 @@ def duck():
 
 def plain(x):
     """Whole numbers as integers, so that rows sort alike whatever a column's type."""
+    x = x.item() if isinstance(x, np.generic) else x
     return None if pd.isna(x) else int(x) if isinstance(x, float) and x.is_integer() else x
 
 
