@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +23,14 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, most: str = "4m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
+def release_memory() -> None:
+    """Gives memory that a Python worker holds but doesn't use back to the system: workers serve one stage after another."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo parts; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mwspark.llm.common import bounded_batches, components, cut, table
+from mwspark.llm.common import bounded_batches, components, cut, release_memory, table
 from mwspark.llm.words import batches, mix, words_of
 
 WORDS = 5
@@ -326,6 +326,7 @@ def links_of_regions(keys: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
             asked = rows[strange[rows]]
             for k in range(0, len(asked), QUERIES):
                 found.append(links_of_block(cells.iloc[asked[k : k + QUERIES]], cells.iloc[rows]))
+    release_memory()
     return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
 

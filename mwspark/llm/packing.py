@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mwspark.llm.common import bounded_batches, cut, table
+from mwspark.llm.common import bounded_batches, cut, release_memory, table
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
@@ -177,6 +177,7 @@ def pack(docs: DataFrame, window: int = WINDOW, open_windows: int = OPEN_WINDOWS
     tail = np.array([end], "<u4").tobytes()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_memory()
         packer = Packer(TaskContext.get().partitionId() << 32, window, open_windows)
         for pdf in frames:
             names = [None if pd.isna(d) else int(d) for d in pdf.doc_id]
