@@ -111,9 +111,46 @@ def start_grid(trees: DataFrame, mra: MRA) -> DataFrame:
     return trees.withColumn("one", F.lit(1)).join(F.broadcast(cells.withColumn("one", F.lit(1))), "one").drop("one")
 
 
-def project_function(spark: SparkSession, mra: MRA, f: Callable[[np.ndarray], np.ndarray], prec: float, tree_id: str = "f", **options) -> DataFrame:
-    """Tree of a vectorised callable f(points[N, D]) -> values[N]."""
-    cells = start_grid(spark.createDataFrame([(tree_id,)], "tree_id string"), mra)
+def hinted_grid(cells: DataFrame, mra: MRA, visible: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], zero: Callable[[np.ndarray, np.ndarray], np.ndarray], scales: int | None = None) -> DataFrame:
+    """The leaves (tree_id, n, l..) of the grid that a function's hints call for below the given cells, before any value of it is taken.
+
+    A cell splits where the function isn't visible at its scale and not zero on it: visible(n, low, high) and zero(low, high) are
+    asked for many cells at once, n their scales, low and high their corners (cells, D). A task goes on for some scales by itself.
+    """
+    most = scales or SCALES[mra.dim]
+    steps = B.child_steps(mra.dim)
+    kinds = "tree_id string, n int, lx int, ly int, lz int, leaf boolean"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            level = pdf[TREE_KEY].reset_index(drop=True)
+            for _ in range(most):
+                if not len(level) or len(level) > MOST_CELLS:
+                    break
+                n = level.n.to_numpy()
+                side = 2.0 ** -n.astype(float)[:, None] * np.array(mra.world.sf)
+                low = level[list(AXES[: mra.dim])].to_numpy(float) * side
+                split = ~np.broadcast_to(visible(n, low, low + side), len(level)) & ~np.broadcast_to(zero(low, low + side), len(level)) & (n + 2 <= mra.max_scale)
+                yield level[~split].assign(leaf=True)
+                inner = np.flatnonzero(split)
+                level = level.iloc[np.repeat(inner, mra.blocks)].reset_index(drop=True)
+                level["n"] += 1
+                for d in range(mra.dim):
+                    level[AXES[d]] = 2 * level[AXES[d]] + np.tile(steps[:, d], len(inner))
+            yield level.assign(leaf=False)
+
+    done: list[DataFrame] = []
+    front = write_shared(cells.select(*TREE_KEY))
+    while not front.isEmpty():
+        found = write_shared(front.repartition(F.pmod(F.xxhash64(*TREE_KEY), F.lit(1 + front.count() // 2000))).mapInPandas(run, kinds))
+        done.append(found.where("leaf").select(*TREE_KEY))
+        front = found.where("not leaf").select(*TREE_KEY)
+    return reduce(DataFrame.unionByName, done) if done else cells.select(*TREE_KEY)
+
+
+def project_function(spark: SparkSession, mra: MRA, f: Callable[[np.ndarray], np.ndarray], prec: float, tree_id: str = "f", start: DataFrame | None = None, **options) -> DataFrame:
+    """Tree of a vectorised callable f(points[N, D]) -> values[N], from the roots or from start cells of that tree_id, as hinted_grid makes them."""
+    cells = start_grid(spark.createDataFrame([(tree_id,)], "tree_id string"), mra) if start is None else start
 
     def values(pdf: pd.DataFrame, x: np.ndarray) -> np.ndarray:
         return f(x.reshape(-1, mra.dim)).reshape(len(pdf), -1)
@@ -154,11 +191,85 @@ def near_cell(mra: MRA) -> Column:
     return reduce(lambda a, b: a + b, far) < CUT
 
 
-def project_gaussians(gaussians: DataFrame, mra: MRA, prec: float, start: DataFrame | None = None, **options) -> DataFrame:
+PAIRS_AT_ONCE = 4096  # pairs of a cell and a term whose values are held at once
+LIGHT = 8192  # pairs of a cell that one task may refine by itself
+SHARE = 40_000  # pairs of a task
+MOST_CELLS = 20_000  # cells of a level that a task refines further
+SCALES = {1: 8, 2: 4, 3: 3}  # scales of a pass, by dimensions
+
+
+def _values_on(cells: pd.DataFrame, cell: np.ndarray, terms: pd.DataFrame, term: np.ndarray, mra: MRA) -> np.ndarray:
+    """Values (cells, points) of the sums of the terms that are paired with the cells."""
+    total = np.zeros((len(cells), mra.blocks * mra.size))
+    for at in range(0, len(cell), PAIRS_AT_ONCE):
+        c, t = cell[at : at + PAIRS_AT_ONCE], term[at : at + PAIRS_AT_ONCE]
+        np.add.at(total, c, gaussian_values(terms.iloc[t], cell_points(cells.iloc[c], mra)))
+    return total
+
+
+def _reaches(cells: pd.DataFrame, cell: np.ndarray, terms: pd.DataFrame, term: np.ndarray, mra: MRA) -> np.ndarray:
+    """Whether terms reach the cells they are paired with; near_cell for arrays."""
+    pos, alpha = (np.stack(terms[c].to_numpy()).astype(float)[term] for c in ("pos", "alpha"))
+    side = 2.0 ** -cells.n.to_numpy(float)[cell][:, None] * np.array(mra.world.sf)
+    low = cells[list(AXES[: mra.dim])].to_numpy(float)[cell] * side
+    gap = np.maximum(np.maximum(low - pos, pos - low - side), 0)
+    return (alpha * gap * gap).sum(1) < CUT
+
+
+def _refine(cells: pd.DataFrame, pairs: pd.DataFrame, mra: MRA, prec: float, abs_prec: bool, scales: int) -> pd.DataFrame:
+    """Some cells (key, t2: the tree's square norm so far) and what becomes of them within so many scales, as rows of REFINED.
+
+    leaf: a cell that stays; open: a cell still to be looked at, with its place in the cells given (f..); norm: what was added to a tree's norm.
+    What a tree gains here raises its norm for the rest of the task.
+    """
+    cells = cells.reset_index(drop=True)
+    terms = pairs.reset_index(drop=True)
+    index = pd.MultiIndex.from_frame(cells[TREE_KEY])
+    cell = index.get_indexer(pd.MultiIndex.from_frame(terms[TREE_KEY])) if len(terms) else np.zeros(0, int)
+    term = np.arange(len(terms))
+    level = cells.assign(**{f"f{k}": cells[k] for k in KEY})
+    trees, of_tree = np.unique(level.tree_id.to_numpy(str), return_inverse=True)
+    t2, gained = np.zeros(len(trees)), np.zeros(len(trees))
+    t2[of_tree] = level.t2.to_numpy(float)
+    columns, out = [*TREE_KEY, *[f"f{k}" for k in KEY]], []
+    for turn in range(scales):
+        a = from_values(_values_on(level, cell, terms, term, mra), level.n.to_numpy(), mra)
+        w2 = (a[:, mra.size :] ** 2).sum(1)
+        np.add.at(gained, of_tree, w2)
+        n = level.n.to_numpy()
+        norm = 1.0 if abs_prec else np.sqrt(t2 + gained)[of_tree]
+        split = (np.sqrt(w2) > np.maximum(TWO_E_15, prec * norm * 2.0 ** (-0.5 * (n + 1)))) & (n + 2 <= mra.max_scale)
+        out.append(level[columns][~split].assign(kind="leaf", coef=list(a[~split]), gain=0.0))
+        inner = np.flatnonzero(split)
+        steps = B.child_steps(mra.dim)
+        below = level.iloc[np.repeat(inner, mra.blocks)].reset_index(drop=True)
+        below["n"] += 1
+        for d in range(mra.dim):
+            below[AXES[d]] = 2 * below[AXES[d]] + np.tile(steps[:, d], len(inner))
+        first = np.full(len(level), -1)
+        first[inner] = np.arange(len(inner)) * mra.blocks
+        kept = first[cell] >= 0
+        cell = (first[cell[kept]][:, None] + np.arange(mra.blocks)).ravel()
+        term = np.repeat(term[kept], mra.blocks)
+        near = _reaches(below, cell, terms, term, mra) if len(cell) else np.zeros(0, bool)
+        cell, term, level, of_tree = cell[near], term[near], below, of_tree[np.repeat(inner, mra.blocks)]
+        if not len(level) or len(level) > MOST_CELLS:
+            break
+    out.append(level[columns].assign(kind="open", coef=None, gain=0.0))
+    out.append(pd.DataFrame({"tree_id": trees, "kind": "norm", "coef": None, "gain": gained}))
+    return pd.concat(out, ignore_index=True)[[*columns, "kind", "coef", "gain"]].astype({k: "Int32" for k in [*KEY, *[f"f{k}" for k in KEY]]})
+
+
+REFINED = f"tree_id string, {', '.join(f'{k} int' for k in KEY)}, {', '.join(f'f{k} int' for k in KEY)}, kind string, coef array<double>, gain double"
+
+
+def project_gaussians(gaussians: DataFrame, mra: MRA, prec: float, start: DataFrame | None = None, max_iter: int = -1, abs_prec: bool = False) -> DataFrame:
     """One tree per fn_id of a Gaussian table, from the roots or from start cells (tree_id, n, l..).
 
     Cells meet only the terms that reach them: the pairs of the cells that split are handed to the children that the
-    term still reaches. Values are summed over the pairs in each task, then by cell, so no cell gathers its terms in one row.
+    term still reaches. A task refines its cells for some scales by itself, with the tree's norm as it was when the pass began and
+    what it adds itself, and hands up only cells that are still open. A cell with very many terms goes one scale a pass: its values are
+    summed over the pairs in each task, then by cell, so no cell gathers its terms in one task.
     """
     from mwspark.operators.arith import sum_arrays
 
@@ -166,38 +277,75 @@ def project_gaussians(gaussians: DataFrame, mra: MRA, prec: float, start: DataFr
     own = ["coef", "alpha", "pos", "power"]
     points = mra.blocks * mra.size
     values = "tree_id string, n int, lx int, ly int, lz int, coef array<double>"
-    held: dict[str, DataFrame] = {}
 
     def evaluate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for at in range(0, len(pdf), 4096):
-                some = pdf.iloc[at : at + 4096]
-                v = gaussian_values(some, cell_points(some, mra))
-                cell = some.groupby(TREE_KEY, sort=False).ngroup().to_numpy()
-                total = np.zeros((cell.max(initial=-1) + 1, points))
-                np.add.at(total, cell, v)
-                yield some[TREE_KEY].drop_duplicates().reset_index(drop=True).assign(coef=list(total))
-
-    def calc(cells: DataFrame) -> DataFrame:
-        if "pairs" in held:
-            up = cells.select(*TREE_KEY, *[c.alias(f"p{k}") for c, k in zip(parent_key(), KEY, strict=True)])
-            before = held["pairs"].select("tree_id", *[F.col(k).alias(f"p{k}") for k in KEY], *own)
-            pairs = up.join(before, ["tree_id", *[f"p{k}" for k in KEY]])
-        else:
-            pairs = cells.join(terms.select("tree_id", *own), "tree_id")
-        held["pairs"] = pairs = write_shared(pairs.where(near_cell(mra)).select(*TREE_KEY, *own))
-        zero = cells.select(*TREE_KEY, F.array_repeat(F.lit(0.0), points).alias("coef"))
-        sums = sum_arrays(pairs.mapInPandas(evaluate, values).unionByName(zero), TREE_KEY, values, points, cells.count())
+            cells = pdf[TREE_KEY].drop_duplicates().reset_index(drop=True)
+            cell = pd.MultiIndex.from_frame(cells).get_indexer(pd.MultiIndex.from_frame(pdf[TREE_KEY]))
+            yield cells.assign(coef=list(_values_on(cells, cell, pdf, np.arange(len(pdf)), mra)))
 
-        def coefs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                if len(pdf):
-                    yield keys_of(pdf).assign(is_end=True, coef=list(from_values(np.stack(pdf["coef"].to_numpy()), pdf.n.to_numpy(), mra)))
+    def coefs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                yield keys_of(pdf).assign(is_end=True, coef=list(from_values(np.stack(pdf["coef"].to_numpy()), pdf.n.to_numpy(), mra)))
 
-        return sums.mapInPandas(coefs, NODE)
+    def one_scale(cells: DataFrame, pairs: DataFrame) -> DataFrame:
+        zero = cells.select(*TREE_KEY, F.array_repeat(F.lit(0.0), points).alias("coef"))
+        sums = sum_arrays(pairs.mapInPandas(evaluate, values).unionByName(zero), TREE_KEY, values, points, cells.count())
+        return with_norms(sums.mapInPandas(coefs, NODE), mra)
 
     grid = start_grid(gaussians.select(F.col("fn_id").alias("tree_id")).distinct(), mra) if start is None else start
-    return adaptive(write_shared(grid.select(*TREE_KEY)), calc, mra, prec, **options)
-
-
-__all__ = ["adaptive", "cell_points", "gaussian_values", "project", "project_function", "project_functions", "project_gaussians", "start_grid", "threshold"]
+    cells = write_shared(grid.select(*TREE_KEY))
+    pairs = write_shared(cells.join(terms.select("tree_id", *own), "tree_id").where(near_cell(mra)).select(*TREE_KEY, *own))
+    level = write_shared(one_scale(cells, pairs))
+    if prec < 0 or max_iter == 0:
+        return rebuild(level, mra)
+    w2 = F.aggregate(F.slice("comp_norm", 2, mra.blocks), F.lit(0.0), lambda a, x: a + x * x)
+    norms = write_shared(level.groupBy("tree_id").agg(F.sum(w2 + F.pow(F.col("comp_norm")[0], 2)).alias("t2")))
+
+    def judged(level: DataFrame) -> DataFrame:
+        norm = F.lit(1.0) if abs_prec else F.sqrt("t2")
+        return level.join(norms, "tree_id").withColumn("split", (F.sqrt(w2) > threshold(prec, norm, F.col("n"))) & (F.col("n") + 2 <= mra.max_scale))
+
+    done = [judged(level).where("not split").select(*TREE_KEY, "coef")]
+    # the front: open cells, each with the cell of the last pass whose pairs it takes
+    front = children(judged(level).where("split").select(*TREE_KEY, *[F.col(k).alias(f"f{k}") for k in KEY]), mra.dim)
+    front = write_shared(front.select(*TREE_KEY, *[f"f{k}" for k in KEY]))
+    left = max_iter - 1
+
+    def paired() -> DataFrame:
+        before = pairs.select("tree_id", *[F.col(k).alias(f"f{k}") for k in KEY], *own)
+        return write_shared(front.join(before, ["tree_id", *[f"f{k}" for k in KEY]]).where(near_cell(mra)).select(*TREE_KEY, *own))
+
+    while left != 0 and not front.isEmpty():
+        scales = SCALES[mra.dim] if max_iter < 0 else min(SCALES[mra.dim], left)
+        pairs = paired()
+        counts = pairs.groupBy(*TREE_KEY).agg(F.count("*").alias("c"))
+        cells = write_shared(front.select(*TREE_KEY).join(counts, TREE_KEY, "left").join(norms, "tree_id").select(*TREE_KEY, "t2", F.coalesce("c", F.lit(0)).alias("c")))
+        total, most = cells.agg(F.sum("c"), F.max("c")).first()
+        heavy = cells.where(F.col("c") > LIGHT).select(*TREE_KEY) if most > LIGHT else None
+        some, light = pairs, cells
+        if heavy is not None:
+            some, light = pairs.join(heavy, TREE_KEY, "left_anti"), cells.where(F.col("c") <= LIGHT)
+        task = F.pmod(F.xxhash64(*TREE_KEY), F.lit(1 + int(total + cells.count()) // SHARE)).alias("task")
+        refined = light.select(*TREE_KEY, "t2", task).groupBy("task").cogroup(some.select(*TREE_KEY, *own, task).groupBy("task"))
+        refined = write_shared(refined.applyInPandas(lambda c, p: _refine(c, p, mra, prec, abs_prec, scales) if len(c) else pd.DataFrame(columns=[x.split()[0] for x in REFINED.split(", ")]), REFINED))  # noqa: B023
+        done.append(refined.where("kind = 'leaf'").select(*TREE_KEY, "coef"))
+        opened = refined.where("kind = 'open'").select(*TREE_KEY, *[f"f{k}" for k in KEY])
+        gains = [refined.where("kind = 'norm'").select("tree_id", F.col("gain").alias("t2"))]
+        if heavy is not None:
+            level = write_shared(one_scale(heavy, pairs.join(heavy, TREE_KEY, "left_semi")))
+            gains.append(level.groupBy("tree_id").agg(F.sum(w2).alias("t2")))
+            done.append(judged(level).where("not split").select(*TREE_KEY, "coef"))
+            opened = opened.unionByName(children(judged(level).where("split").select(*TREE_KEY, *[F.col(k).alias(f"f{k}") for k in KEY]), mra.dim).select(*TREE_KEY, *[f"f{k}" for k in KEY]))
+        norms = write_shared(reduce(DataFrame.union, [norms, *gains]).groupBy("tree_id").agg(F.sum("t2").alias("t2")))
+        front = write_shared(opened)
+        left -= scales
+    if left == 0 and not front.isEmpty():  # what max_iter leaves open stays as it is
+        pairs = paired()
+        done.append(one_scale(front.select(*TREE_KEY), pairs).select(*TREE_KEY, "coef"))
+    whole = reduce(DataFrame.unionByName, done)
+    return rebuild(whole.select(*TREE_KEY, F.lit(True).alias("is_end"), "coef"), mra)
+
+
+__all__ = ["adaptive", "cell_points", "gaussian_values", "hinted_grid", "project", "project_function", "project_functions", "project_gaussians", "start_grid", "threshold"]
