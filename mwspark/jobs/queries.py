@@ -422,6 +422,18 @@ def _(spark, sf_dir):
     return reduce.integrate(out, HAAR).select("tree_id", F.round(F.col("integral") / 100 + 3.7e-5, 2).alias("integral"))
 
 
+@query("e18_hinted_product", f"WITH {haar_sql(by=SUPPLIER)}, i AS (SELECT range AS i FROM range(8)), v AS (SELECT tree_id, l, f * avg(CASE WHEN (l + (i + 0.5) / 8) / {2**LEAF} < 0.3 THEN 1 ELSE 0.25 END) AS v FROM leaf, i GROUP BY tree_id, l, f) SELECT tree_id, round(sum(v) / {2**LEAF} + 3.7e-7, 4) AS integral, CAST(count(DISTINCT l // 2) + 3 * max(CASE WHEN l // 2 = 9 THEN 1 ELSE 0 END) AS BIGINT) AS n_end FROM v GROUP BY 1")
+def _(spark, sf_dir):
+    """Every tree times a step at 0.3: only the cell that holds the step is split, three times; coarse values of the step come from its own tree."""
+    f = lambda x: np.where(x[:, 0] < 0.3, 1.0, 0.25)
+    wants = lambda n, low, high: (low[:, 0] < 0.3) & (high[:, 0] > 0.3)
+    grid_ = spark.range(2 ** (LEAF - 1)).select(F.lit("f").alias("tree_id"), F.lit(LEAF - 1).alias("n"), F.col("id").cast("int").alias("lx"), F.lit(0).alias("ly"), F.lit(0).alias("lz"))
+    step = write_shared(project.project_function(spark, HAAR, f, -1.0, start=grid_))
+    out = write_shared(arith.multiply_by_function(haar(spark, sf_dir, by=SUPPLIER), HAAR, f, refine=3, wants=wants, of_f=step))
+    ends = out.where("is_end").groupBy("tree_id").agg(F.count("*").alias("n_end"))
+    return _integral(out).join(ends, "tree_id")
+
+
 @query("e10_tree_map", f"WITH {haar_sql(by=SUPPLIER)} SELECT tree_id, round(sum(sqrt(f + 1) - 1) / {2**LEAF}, 4) AS integral FROM leaf GROUP BY 1")
 def _(spark, sf_dir):
     """A user's function of the values, pointwise."""
@@ -728,6 +740,26 @@ def _(spark, sf_dir):
     return square.select("i", "j", F.round(F.col("re") + 3.7e-5, 2).alias("re"), F.round(F.col("im") + 3.7e-5, 2).alias("im"))
 
 
+# --- reductions and derivatives that need more than one tree ---------------------------------------------------------
+
+
+@query("f2_integrate_side", f"""WITH {GAUSS}, p AS (SELECT fn_id, coef * sqrt(pi() / a0) AS i FROM gs) SELECT fn_id AS tree_id, round(sum(i) + 3.7e-5, 3) AS whole FROM p GROUP BY 1""")
+def _(spark, sf_dir):
+    """Integrals as sums of the halves left and right of the origin."""
+    t = write_shared(project.project_gaussians(gaussians(spark, sf_dir, dim=1), LINE, 1e-8))
+    left, right = (reduce.integrate_side(t, LINE, 0, positive).select("tree_id", F.col("integral").alias(name)) for positive, name in ((False, "a"), (True, "b")))
+    return left.join(right, "tree_id").select("tree_id", F.round(F.col("a") + F.col("b") + 3.7e-5, 3).alias("whole"))
+
+
+@query("e6_max_norm_products", f"WITH {GAUSS}, n AS (SELECT a.fn_id, {NORM_1D} AS q FROM gs a JOIN gs b ON a.fn_id = b.fn_id GROUP BY 1) SELECT fn_id AS tree_id, round(q + 3.7e-4, 2) AS integral FROM n")
+def _(spark, sf_dir):
+    """Squares of all functions on the grids that their largest norms call for, at a precision that leaves out much of the union grid."""
+    t = write_shared(project.project_gaussians(gaussians(spark, sf_dir, dim=1), LINE, 1e-6))
+    ids = t.select("tree_id").distinct().select(F.col("tree_id").alias("out_id"), F.col("tree_id").alias("a_id"), F.col("tree_id").alias("b_id"), F.lit(1.0).alias("c"))
+    out = reduce.integrate(arith.multiply_max_norm(ids, t, LINE, 1e-4), LINE)
+    return out.select("tree_id", F.round(F.col("integral") + 3.7e-4, 2).alias("integral"))
+
+
 # --- convolutions ---------------------------------------------------------------------------------------------------
 
 

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mwspark.functions.basis import child_steps
 from mwspark.functions.shared import write_shared
 from mwspark.functions.trees import NODE, keys_of, map_coefs, stack, with_norms
-from mwspark.mra import MRA, TREE_KEY
+from mwspark.mra import AXES, MRA, TREE_KEY
 from mwspark.operators.keys import children, end_nodes
 from mwspark.operators.project import adaptive
 from mwspark.operators.transform import from_values, push_down, rebuild, to_values
@@ -259,27 +260,61 @@ def multiply_max_norm(terms: DataFrame, nodes: DataFrame, mra: MRA, prec: float)
     return adaptive(write_shared(max_norm_grid(terms, nodes, mra, prec)), lambda level: _products(level, both, terms, nodes, mra), mra)
 
 
-def multiply_by_function(nodes: DataFrame, mra: MRA, f: Callable[[np.ndarray], np.ndarray], refine: int = 0, prec: float = -1.0) -> DataFrame:
-    """Every tree times f(points[N, D]) -> values[N], each on its own leaf grid split refine times.
+def multiply_by_function(
+    nodes: DataFrame, mra: MRA, f: Callable[[np.ndarray], np.ndarray], refine: int = 0, prec: float = -1.0,
+    wants: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None, of_f: DataFrame | None = None,
+) -> DataFrame:
+    """Every tree times f(points[N, D]) -> values[N], each on its own leaf grid refined at most refine times.
 
-    f is evaluated once for each cell, however many trees own it. prec crops the results.
+    wants(n, low, high) is f's hint: for many cells at once (scales, corners (cells, D)) whether f calls for finer ones; without it all
+    are split. Values of f are read from of_f, nodes of a tree of f, where that has the cell, and taken from f elsewhere, once for
+    each cell, however many trees own it. prec crops the results.
     """
     from mwspark.operators.grid import crop
     from mwspark.operators.project import cell_points
 
     ends = nodes.where("is_end").select(*TREE_KEY)
+    cell, steps = TREE_KEY[1:], child_steps(mra.dim)
+
+    def refined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            level = pdf[TREE_KEY].reset_index(drop=True)
+            for _ in range(refine):
+                n = level.n.to_numpy()
+                side = 2.0 ** -n.astype(float)[:, None] * np.array(mra.world.sf)
+                low = level[list(AXES[: mra.dim])].to_numpy(float) * side
+                split = np.broadcast_to(True if wants is None else wants(n, low, low + side), len(level)) & (n + 2 <= mra.max_scale)
+                yield level[~split]
+                inner = np.flatnonzero(split)
+                level = level.iloc[np.repeat(inner, mra.blocks)].reset_index(drop=True)
+                level["n"] += 1
+                for d in range(mra.dim):
+                    level[AXES[d]] = 2 * level[AXES[d]] + np.tile(steps[:, d], len(inner))
+            yield level
+
     if refine:
-        ends = children(ends, mra.dim, refine).select(*TREE_KEY)
-    cell = TREE_KEY[1:]
+        ends = ends.mapInPandas(refined, "tree_id string, n int, lx int, ly int, lz int")
+    ends = write_shared(ends)
+    kinds = "n int, lx int, ly int, lz int, fv array<double>"
 
-    def values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def taken(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
                 x = cell_points(pdf, mra)
                 yield pdf[cell].assign(fv=list(np.asarray(f(x.reshape(-1, mra.dim)), float).reshape(len(pdf), -1)))
 
-    of_f = ends.select(*cell).distinct().mapInPandas(values, "n int, lx int, ly int, lz int, fv array<double>")
-    j = lookup(nodes, ends, mra).join(of_f, cell)
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                yield pdf[cell].assign(fv=list(to_values(stack(pdf.coef, mra.blocks * mra.size), pdf.n.to_numpy(), mra)))
+
+    union = ends.select(*cell).distinct()
+    if of_f is None:
+        values = union.mapInPandas(taken, kinds)
+    else:
+        held = of_f.select(*cell, "coef")
+        values = union.join(held, cell).mapInPandas(read, kinds).unionByName(union.join(held.select(*cell), cell, "left_anti").mapInPandas(taken, kinds))
+    j = lookup(nodes, ends, mra).join(values, cell)
 
     def run(pdf: pd.DataFrame, a: np.ndarray) -> pd.DataFrame:
         n = pdf.n.to_numpy()
