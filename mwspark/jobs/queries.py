@@ -760,6 +760,57 @@ def _(spark, sf_dir):
     return out.select("tree_id", F.round(F.col("integral") + 3.7e-4, 2).alias("integral"))
 
 
+# derivatives at a point near each supplier's own Gaussian, of its nation's function
+def _at_points_sql(what: str, scale: float) -> str:
+    return f"WITH {GAUSS}, p AS (SELECT fn_id, term AS pid, x0 + 0.13 AS x FROM gs) SELECT p.pid, p.fn_id AS tree_id, round(sum(coef * ({what}) * exp(-a0 * (x - x0) * (x - x0))) / {scale} + 3.7e-3, 1) AS value FROM p JOIN gs ON gs.fn_id = p.fn_id GROUP BY 1, 2"
+
+
+def _at_points(derive: Callable[[DataFrame], DataFrame], scale: float) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = gaussians(spark, sf_dir, dim=1)
+        t = write_shared(derive(write_shared(project.project_gaussians(g, LINE, 1e-8))))
+        at = g.select(F.col("term").alias("pid"), F.col("fn_id").alias("tree_id"), (F.col("pos")[0] + 0.13).alias("x"))
+        return reduce.evaluate(at, t, LINE).select("pid", "tree_id", F.round(F.col("value") / scale + 3.7e-3, 1).alias("value"))
+
+    return run
+
+
+SECOND, THIRD = "4 * a0 * a0 * (x - x0) * (x - x0) - 2 * a0", "12 * a0 * a0 * (x - x0) - 8 * pow(a0, 3) * pow(x - x0, 3)"
+query("i2_second_low_noise", _at_points_sql(SECOND, 10))(_at_points(lambda t: derivative.low_noise(t, LINE, 0, 2), 10))
+query("i3_second_spline", _at_points_sql(SECOND, 10))(_at_points(lambda t: derivative.spline(t, LINE, 0, 2), 10))
+query("i3_third_spline", _at_points_sql(THIRD, 100))(_at_points(lambda t: derivative.spline(t, LINE, 0, 3), 100))
+query("i1_weak_at_points", _at_points_sql("-2 * a0 * (x - x0)", 1))(_at_points(lambda t: derivative.apply(t, LINE, 0), 1))
+
+
+@query("f11_lattice_values", f"WITH {GAUSS}, i AS (SELECT range AS pid, -4 + 8 * range / 40.0 AS x FROM range(41)) SELECT pid, fn_id AS tree_id, round(sum(coef * exp(-a0 * (x - x0) * (x - x0))) + 3.7e-5, 2) AS value FROM i, gs GROUP BY 1, 2")
+def _(spark, sf_dir):
+    """All functions on a line of 41 points."""
+    t = write_shared(project.project_gaussians(gaussians(spark, sf_dir, dim=1), LINE, 1e-8))
+    names = [r[0] for r in t.select("tree_id").distinct().collect()]  # one for each nation
+    at = reduce.lattice_points(t, names, [-4.0], [[8.0]], [41])
+    return reduce.evaluate(at, t, LINE).select("pid", "tree_id", F.round(F.col("value") + 3.7e-5, 2).alias("value"))
+
+
+@query("d5_project_on_grid", f"WITH {GAUSS} SELECT fn_id AS tree_id, CAST(64 AS BIGINT) AS n_end, round(sum(coef * sqrt(pi() / a0)) + 3.7e-4, 2) AS integral FROM gs GROUP BY 1")
+def _(spark, sf_dir):
+    """Projection on a fixed grid of half units about the origin, and of larger cells elsewhere."""
+    g = gaussians(spark, sf_dir, dim=1)
+    ids = g.select(F.col("fn_id").alias("tree_id")).distinct()
+    fine = ids.select("tree_id", F.lit(1).alias("n"), F.explode(F.sequence(F.lit(-32), F.lit(31))).alias("lx"), F.lit(0).alias("ly"), F.lit(0).alias("lz"))
+    t = write_shared(project.project_gaussians(g, LINE, -1.0, start=fine))
+    ends = t.where("is_end").groupBy("tree_id").agg(F.count("*").alias("n_end"))
+    return reduce.integrate(t, LINE).join(ends, "tree_id").select("tree_id", "n_end", F.round(F.col("integral") + 3.7e-4, 2).alias("integral"))
+
+
+@query("e15_add_conjugates", f"{COMPLEX_SQL} SELECT id AS fn_id, round(sum(1.5 * f + 2 * g) / {2**LEAF} + 3.7e-7, 4) AS integral_re, round(sum(2 * f + 0.5 * g) / {2**LEAF} + 3.7e-7, 4) AS integral_im FROM z GROUP BY 1")
+def _(spark, sf_dir):
+    """F + (0.5 + 2i) times F's conjugate, for complex functions."""
+    functions, t = complex_functions(spark, sf_dir)
+    rows, out = components.add(functions, components.conjugate(functions), t, HAAR, 0.5 + 2j)
+    j = rows.join(reduce.integrate(out, HAAR), "tree_id").groupBy("fn_id").agg(*[F.sum(F.when(F.col("part") == p, F.col("integral"))).alias(p) for p in ("re", "im")])
+    return j.select("fn_id", *[F.round(F.col(p) + 3.7e-7, 4).alias(f"integral_{p}") for p in ("re", "im")])
+
+
 # --- convolutions ---------------------------------------------------------------------------------------------------
 
 
