@@ -24,7 +24,7 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, most: str = "4m") ->
 
 
 def release_memory() -> None:
-    """Gives memory that a Python worker holds but doesn't use back to the system: workers serve one stage after another."""
+    """Gives memory that this Python process holds but doesn't use back to the system: workers and the driver serve one stage after another."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # glibc alone has it

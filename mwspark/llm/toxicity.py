@@ -8,7 +8,7 @@ logistic curve, fitted on labelled texts that the models have not seen, turns th
 classes' shares among the labels.
 
 Fitted on at most TOXIC labelled toxic texts and ORDINARY_PER_TOXIC times as many ordinary ones, picked by a hash
-of their id; equal texts and near copies in the sample count once. A third of them, by a hash of the text, is kept for the curve. The n-gram counts are
+of their id; equal texts and families of near copies of one label count once in the sample. A third of them, by a hash of the text, is kept for the curve. The n-gram counts are
 made by Spark; only those that MIN_COUNT keeps come to the driver, bounded by the sample, and are broadcast.
 
 Scores read the text alone: whole texts of any length, a null text as an empty one, which like any text
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mwspark.llm.common import bounded_batches, cut, fold, table
+from mwspark.llm.common import bounded_batches, cut, fold, release_memory, table
 from mwspark.llm.jaccard import shingles
 from mwspark.llm.words import PUNCTUATION, batches, mix, words_of
 
@@ -39,7 +39,8 @@ LEAST_SHARED = 5.0
 SHARED_CONTEXT = 200.0
 PASSAGES = (1, 6, 24)
 FEATURES = 2 + 2 * len(PASSAGES)  # the mean over the text; the best passage's mean and its square; the logarithm of the length
-COPIES = 3  # least hashes by which near copies in the sample are recognised
+COPIES = 3  # least hashes by which near copies in the sample are found
+NEAR = 0.2  # of the union of their shingles that texts of one family share: a family is either the models' or the curve's
 ALONE = np.uint64(0x5851F42D4C957F2D)  # the context that stands for none in particular
 THRESHOLD = 0.3
 
@@ -187,11 +188,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
         if len(x) and 0 < x["toxic"].mean() < 1:
             names = [f"f{i}" for i in range(FEATURES)]
             model.weights = curve(x[names].to_numpy(float), x["toxic"].to_numpy(float), share)
+    release_memory()
     return model
 
 
 def one_of_each(rows: DataFrame) -> DataFrame:
-    """One text of each group of near copies, with the group's usual label: texts that share a least shingle hash, of one kind after another."""
+    """One text of each family of one label: texts that share a least shingle hash, of one kind after another, and whose
+    shingles overlap in NEAR of their union. Texts of different labels are never merged; rows are a bounded sample."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -199,14 +202,32 @@ def one_of_each(rows: DataFrame) -> DataFrame:
             least = {f"m{i}": [int(mix(s ^ np.uint64(i * 0x9E3779B97F4A7C1 + 1)).min().view(np.int64)) if len(s) else i for s in sets] for i in range(COPIES)}
             yield pdf.assign(**least)
 
+    def first_of_copies(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "text"])
+        kept: list[int] = []
+        seen: list[np.ndarray] = []
+        for i, s in enumerate(shingles([t.encode() for t in pdf.text])):
+            if not any(near_copies(s, x) for x in seen):
+                kept.append(i)
+                seen.append(s)
+        return pdf.iloc[kept]
+
     names = [f"m{i}" for i in range(COPIES)]
-    rows = cut(rows.mapInPandas(run, "h long, text string, toxic int, " + ", ".join(f"{m} long" for m in names)))
+    schema = "h long, text string, toxic int, " + ", ".join(f"{m} long" for m in names)
+    rows = cut(rows.mapInPandas(run, schema))
     for m in names:
-        best = F.min(F.struct("h", "text", *names)).alias("best")
-        rows = rows.groupBy(F.col(m).alias("group")).agg(best, F.round(F.avg("toxic")).cast("int").alias("toxic")).select("best.*", "toxic")
+        rows = rows.groupBy(m, "toxic").applyInPandas(first_of_copies, schema)
     return rows.select("h", "text", "toxic")
 
 
+def near_copies(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets of shingles share NEAR of their union."""
+    if min(len(a), len(b)) < NEAR * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= NEAR * (len(a) + len(b) - common)
+
+
 def feature_rows(rows: DataFrame, model: Model) -> pd.DataFrame:
     """Features and labels of the rows that are kept for the curve: a few numbers for each of a bounded sample."""
     shared = rows.sparkSession.sparkContext.broadcast(model)

@@ -359,3 +359,13 @@ def test_digests_are_of_the_named_form(spark):
     df = make(spark, ["token=abcdefgh", None])
     r = {x.doc_id: x for x in secrets.scan(df).select("doc_id", F.sha2(secrets.joined(F.col("base")).cast("binary"), 256).alias("s")).collect()}
     assert r[0].s == hashlib.sha256(b"assign:0:14").hexdigest() and r[1].s == hashlib.sha256(b"").hexdigest()
+
+
+def test_copies_in_the_toxicity_sample_keep_their_labels(spark):
+    rng = random.Random(9)
+    plain = " ".join(rng.choices(WORDS, k=120)).split()
+    insulted = plain[:40] + ["you", "vile", "idiot"] + plain[40:]
+    other = " ".join(rng.choices("ut enim ad minim veniam quis nostrud".split(), k=120))
+    rows = [(1, " ".join(plain), 0), (2, " ".join([*plain[:-1], "end"]), 0), (3, " ".join(insulted), 1), (4, " ".join([*insulted, "kind"]), 1), (5, other, 0)]
+    got = sorted(toxicity.one_of_each(spark.createDataFrame(rows, "h long, text string, toxic int")).collect())
+    assert [(r.h, r.toxic) for r in got] == [(1, 0), (3, 1), (5, 0)]
