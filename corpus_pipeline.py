@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mwspark.llm import jaccard, langid, packing, secrets, toxicity
-from mwspark.llm.common import cut, table
+from mwspark.llm.common import cut, release_memory, table
 
 SURE = 0.5
 
@@ -32,17 +32,20 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_memory()
     model = langid.fit(docs)
     scored = docs.select(F.struct(*docs.columns).alias("row"), langid.predict(spark, model, F.col("text")).alias("p"))
     return scored.where((F.col("p.lang_pred") != "und") & (F.col("p.score") >= SURE)).select("row.*")
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_memory()
     found = jaccard.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("dup")).distinct()
     return docs.join(found, docs.doc_id == found.dup, "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_memory()
     found = secrets.scan(docs)
     spans = found.select("text_key", F.concat("base", "owned").alias("found")).where(F.size("found") > 0)
     spans = cut(spans.groupBy("text_key").agg(F.first("found").alias("found")))  # spans follow from the text
@@ -56,6 +59,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_memory()
     return packing.pack(docs, keep_ids=False).drop("ids")
 
 
