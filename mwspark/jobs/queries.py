@@ -718,12 +718,12 @@ def _(spark, sf_dir):
     return j.select("fn_id", *[F.round(F.col(p) + 3.7e-5, 2).alias(f"integral_{p}") for p in ("re", "im")])
 
 
-@query("g7_orthogonalize_complex", f"""{COMPLEX_SQL}, n AS (SELECT sum(f * f + g * g) AS n FROM z WHERE id = 'k0'), o AS (SELECT b.id, sum(a.f * b.f + a.g * b.g) AS re, sum(a.f * b.g - a.g * b.f) AS im FROM z a JOIN z b ON a.l = b.l WHERE a.id = 'k0' GROUP BY 1)
-SELECT o.id AS fn_id, round((sum(f * f + g * g) - any_value((re * re + im * im) / n)) / {2**LEAF} + 3.7e-5, 2) AS square_norm FROM z JOIN o ON o.id = z.id, n WHERE o.id <> 'k0' GROUP BY 1""")
+@query("g7_orthogonalize_complex", f"""{COMPLEX_SQL}, n AS (SELECT sum(f * f + g * g) AS n FROM z WHERE id = 'k1'), o AS (SELECT b.id, sum(a.f * b.f + a.g * b.g) AS re, sum(a.f * b.g - a.g * b.f) AS im FROM z a JOIN z b ON a.l = b.l WHERE a.id = 'k1' GROUP BY 1)
+SELECT o.id AS fn_id, round((sum(f * f + g * g) - any_value((re * re + im * im) / n)) / {2**LEAF} + 3.7e-5, 2) AS square_norm FROM z JOIN o ON o.id = z.id, n WHERE o.id <> 'k1' GROUP BY 1""")
 def _(spark, sf_dir):
     """What is left of each function without its component along the first."""
     functions, t = complex_functions(spark, sf_dir)
-    rows, out = components.orthogonalize(functions.where("fn_id <> 'k0'"), functions.where("fn_id = 'k0'"), t, HAAR)
+    rows, out = components.orthogonalize(functions.where("fn_id <> 'k1'"), functions.where("fn_id = 'k1'"), t, HAAR)
     return components.square_norm(rows, out).select("fn_id", F.round(F.col("square_norm") + 3.7e-5, 2).alias("square_norm"))
 
 
