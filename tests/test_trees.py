@@ -111,3 +111,11 @@ def test_gaussian_products_and_overlaps_with_powers(spark):
     at = spark.createDataFrame([(1, 0.3)], "pid long, x double")
     want = 1.3 * 0.1**2 * np.exp(-1.1 * 0.01) * 0.7 * 0.7 * np.exp(-0.6 * 0.49)
     assert G.evaluate(at, prod, 1).first()["value"] == pytest.approx(want, rel=1e-12)
+
+
+def test_lookups_below_leaves_broadcast_nothing(trees):
+    ends = trees.where("is_end")
+    cells = keys.children(ends.select(*TREE_KEY), 1, 3).select(*TREE_KEY)
+    for found in (transform.push_down(ends, cells, M), arith.lookup(trees, cells, M)):
+        assert found.count() == 8 * ends.count()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
