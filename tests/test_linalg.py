@@ -56,3 +56,11 @@ def test_overlaps_in_blocks(spark, block):
     some = nodes.where("tree_id < 'f4'")
     cross = {(r.i, r.j): r.re for r in linalg.cross_overlap(some, nodes, M, block=block).collect()}
     assert cross and all(np.isclose(v, want[names.index(i), names.index(j)]) for (i, j), v in cross.items())
+
+
+def test_inverse_root_of_a_large_dependent_set():
+    rng = np.random.default_rng(4)
+    f = 1e6 * rng.uniform(1, 2, (4, 64)).astype(complex)[np.arange(12) % 4]
+    s = f @ f.conj().T
+    root = s @ linalg._inverse_root(s)
+    assert np.abs(root @ root - s).max() < 1e-11 * np.abs(s).max()
