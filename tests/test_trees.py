@@ -119,3 +119,26 @@ def test_lookups_below_leaves_broadcast_nothing(trees):
     for found in (transform.push_down(ends, cells, M), arith.lookup(trees, cells, M)):
         assert found.count() == 8 * ends.count()
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _at(found):
+    return {(r["tree_id"], r["n"], r["lx"]): r["coef"] for r in found.collect()}
+
+
+def test_lookups_find_nodes_and_cells_below_leaves_by_one_join(trees):
+    inner, ends = trees.where("not is_end"), trees.where("is_end")
+    below = keys.children(ends.select(*TREE_KEY), 1, 2).select(*TREE_KEY)
+    cells = inner.select(*TREE_KEY).unionByName(ends.select(*TREE_KEY)).unionByName(below)
+    found = arith.lookup(trees, cells.withColumn("mark", F.col("n") + 1), M)
+    assert found._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1
+    assert found.where("mark <> n + 1").isEmpty() and found.count() == cells.count()
+    got, whole = _at(found), _at(trees) | _at(grid.refine_uniform(trees, M, 2).join(below, TREE_KEY, "left_semi"))
+    assert got.keys() == whole.keys()
+    assert max(np.abs(np.array(got[k]) - whole[k]).max() for k in got) < 1e-10
+
+
+def test_lookups_ask_only_scales_that_hold_leaves(trees):
+    ends = grid.refine_uniform(trees.where(F.col("n") == M.world.scale).withColumn("is_end", F.lit(True)), M, 2).where("is_end")
+    cells = keys.children(ends.select(*TREE_KEY), 1, 3).select(*TREE_KEY)
+    plan = transform.push_down(ends, cells, M)._jdf.queryExecution().optimizedPlan().toString()
+    assert "an#" in plan and f"= {M.world.scale + 2})" in plan  # the keys of all other scales are left out before the join
