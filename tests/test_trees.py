@@ -142,3 +142,26 @@ def test_lookups_ask_only_scales_that_hold_leaves(trees):
     cells = keys.children(ends.select(*TREE_KEY), 1, 3).select(*TREE_KEY)
     plan = transform.push_down(ends, cells, M)._jdf.queryExecution().optimizedPlan().toString()
     assert "an#" in plan and f"= {M.world.scale + 2})" in plan  # the keys of all other scales are left out before the join
+
+
+def test_union_grid_is_one_aggregation(spark, trees):
+    found = arith.union_leaves(spark.createDataFrame([("s", "a", 1.0), ("s", "b", 2.0)], TERMS), trees)
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = keys.end_nodes(trees.select(F.lit("s").alias("tree_id"), *TREE_KEY[1:]).distinct())
+    assert found.count() == want.count() and found.exceptAll(want).isEmpty()
+
+
+def test_pair_of_trees_reads_its_table_once(spark, monkeypatch):
+    from mwspark.jobs import queries
+
+    plans = []
+    write = queries.write_shared
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(queries, "write_shared", kept)
+    monkeypatch.setattr(transform, "write_shared", kept)
+    queries._pair(spark, "/root/testdata/sf0.001")
+    assert sum("l_suppkey" in p and "l_orderkey" in p for p in plans) == 1
