@@ -58,3 +58,11 @@ def test_digits_of_large_overlaps(spark, small, tmp_path):
     got = {(r.i, r.j): (r.re, r.im) for r in QUERIES["g2_overlap_complex"](spark, str(tmp_path)).collect()}
     assert max(re for re, _ in want.values()) > 1e12
     assert got.keys() == want.keys() and sum(got[k] != want[k] for k in want) == 0
+
+
+def test_g5_rotate_complex(spark, small):
+    folder, z = small
+    got = {r.fn_id: r.integral_re + 1j * r.integral_im for r in QUERIES["g5_rotate_complex"](spark, folder).collect()}
+    k = np.arange(1, 13)
+    want = {"a": (k * 0.5 + 1j / k) @ z.sum(1) / 64, "b": (-1 / k + 0.25j * k) @ z.sum(1) / 64}
+    assert got.keys() == want.keys() and all(abs(got[j] - want[j]) < 0.01 for j in want)
