@@ -66,3 +66,11 @@ def test_g5_rotate_complex(spark, small):
     k = np.arange(1, 13)
     want = {"a": (k * 0.5 + 1j / k) @ z.sum(1) / 64, "b": (-1 / k + 0.25j * k) @ z.sum(1) / 64}
     assert got.keys() == want.keys() and all(abs(got[j] - want[j]) < 0.01 for j in want)
+
+
+def test_g7_orthogonalize_complex(spark, small):
+    folder, z = small
+    got = {r.fn_id: r.square_norm for r in QUERIES["g7_orthogonalize_complex"](spark, folder).collect()}
+    rest = z - np.outer(z @ z[1].conj() / (abs(z[1]) ** 2).sum(), z[1])
+    want = {f"k{i}": (abs(x) ** 2).sum() / 64 for i, x in enumerate(rest) if i != 1}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.01 for k in want)
