@@ -74,3 +74,10 @@ def test_g7_orthogonalize_complex(spark, small):
     rest = z - np.outer(z @ z[1].conj() / (abs(z[1]) ** 2).sum(), z[1])
     want = {f"k{i}": (abs(x) ** 2).sum() / 64 for i, x in enumerate(rest) if i != 1}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.01 for k in want)
+
+
+def test_g8_orthonormalize_complex(spark, small):
+    folder, z = small
+    got = {(r.i, r.j): (r.re + 1j * r.im) * 10.0**r.exponent for r in QUERIES["g8_orthonormalize_complex"](spark, folder).collect()}
+    s = z.conj() @ z.T / 64
+    assert len(got) == 144 and all(abs(got[f"k{i}", f"k{j}"] - x) < 1e-8 * abs(s).max() for (i, j), x in np.ndenumerate(s))
